@@ -26,8 +26,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_spans(digital_text(spark, d)).select("region_id", "start_pos", "end_pos")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of regions, and of regions and runs, that look the same in print but differ in code points."""
+    from pagesmith.llm.visual import look_alike_pairs, look_alike_runs
+
+    regions = look_alike_pairs(digital_text(spark, d), "region_id", "content").select(F.lit("region").alias("kind"), "key_a", "key_b")
+    runs = look_alike_runs(read(spark, d, "styled_runs"), latest_regions(read(spark, d, "regions"), "content"))
+    return regions.unionByName(runs.select(F.lit("run").alias("kind"), "key_a", "key_b"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found, "p4_found": p4_found}
 
 
 def oracle_sql() -> dict[str, str]:
