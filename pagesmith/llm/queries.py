@@ -35,8 +35,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return regions.unionByName(runs.select(F.lit("run").alias("kind"), "key_a", "key_b"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    from pagesmith.llm.tokens import token_ids
+
+    return token_ids(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
