@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesmith.llm.common import HYPHENS, INVISIBLE, LOOK_ALIKE, SPACES, map_arrow
+from pagesmith.session import shared_dir
 
 ZWNJ, ZWJ = "‌", "‍"
 #: Joiners after a virama, or between letters of a joining script, show in print.
@@ -96,12 +97,14 @@ def look_digests(df: DataFrame, key: str, text: str) -> DataFrame:
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b), key_a < key_b: rows whose texts look the same but differ in code points.
 
+    The texts are read once: their digests are written to the shared folder.
     Only digests are shuffled. Groups of one form only, however large, are
     dropped by an aggregate before the join, so that exact copies never meet
     each other; what is left is joined on the look, and rows of one form again
     do not pair.
     """
-    d = look_digests(df, key, text).groupBy(key, "look", "form").agg(F.lit(1).alias("_n")).drop("_n")
+    shared_dir(df.sparkSession)
+    d = look_digests(df, key, text).dropDuplicates([key, "look", "form"]).checkpoint()
     mixed = d.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).where("_lo <> _hi").select("look")
     d = d.join(mixed, "look", "left_semi")
     a, b = (d.select("look", F.col("form").alias(f"form_{x}"), F.col(key).alias(f"key_{x}")) for x in "ab")
