@@ -42,8 +42,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return token_ids(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "ids")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of test items, with the items."""
+    from pagesmith.llm.leaks import leaks
+
+    return leaks(read(spark, d, "documents"), read(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
