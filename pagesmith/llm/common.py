@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -118,3 +119,23 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
     at = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+
+
+_MADE: dict[str, object] = {}
+
+
+class Shared:
+    """A broadcast value and what a worker makes of it, made once a worker process and kept until another is used.
+
+    The key is new for each instance: values of another run are never taken for this one's.
+    """
+
+    def __init__(self, spark: SparkSession, value, make: Callable):
+        self.key, self.make = uuid.uuid4().hex, make
+        self.broadcast = spark.sparkContext.broadcast(value)
+
+    def get(self):
+        if self.key not in _MADE:
+            _MADE.clear()
+            _MADE[self.key] = self.make(self.broadcast.value)
+        return _MADE[self.key]

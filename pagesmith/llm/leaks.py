@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.llm.common import FOLD, INVISIBLE, map_arrow
+from pagesmith.llm.common import FOLD, INVISIBLE, Shared, map_arrow
 
 #: Share of an item's words that a passage needs, and share of its words that may be replaced.
 LEAST, REPLACED = 0.5, 0.1
@@ -305,10 +305,10 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     result = None
     for n in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()
-        shared = spark.sparkContext.broadcast(([x["item"] for x in rows], [x["text"] for x in rows]))
+        shared = Shared(spark, ([x["item"] for x in rows], [x["text"] for x in rows]), lambda v: Items(*v))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            prepared = _prepared(shared)
+            prepared = shared.get()
             keys, docs = [], []
             texts = b.column(1).to_pylist()
             for at in range(0, len(texts), 500):
@@ -321,13 +321,3 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         result = part if result is None else result.unionByName(part)
     return result.distinct()
 
-
-_PREPARED: dict[int, Items] = {}
-
-
-def _prepared(shared) -> Items:
-    k = id(shared.value)
-    if k not in _PREPARED:
-        _PREPARED.clear()
-        _PREPARED[k] = Items(*shared.value)
-    return _PREPARED[k]

@@ -22,11 +22,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.llm.common import lists, map_arrow
+from pagesmith.llm.common import Shared, lists, map_arrow
 
 #: Fixed value: the pattern that splits a text into pieces before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -215,17 +214,6 @@ class Growing:
         return [i for _, rows in self.pieces for i in read_back(rows)]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _worker(shared: Broadcast) -> Encoder:
-    key = id(shared.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(*Vocabulary.parse(shared.value)))
-    return _ENCODERS[key]
-
-
 def load(path: str = VOCABULARY) -> Encoder:
     with open(path, encoding="utf-8") as f:
         return Encoder(Vocabulary(*Vocabulary.parse(f.read())))
@@ -238,11 +226,11 @@ def token_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> Dat
     """
     spark: SparkSession = df.sparkSession
     with open(path, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        shared = Shared(spark, f.read(), lambda raw: Encoder(Vocabulary(*Vocabulary.parse(raw))))
     kind = dict(df.dtypes)[key]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        e = _worker(shared)
+        e = shared.get()
         parts = [e.encode_batch(b.column(1).slice(i, 500).to_pylist()) for i in range(0, b.num_rows, 500)]
         ids, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         return pa.RecordBatch.from_arrays([b.column(0), lists(ids, sizes, pa.int32())], names=[key, "ids"])
