@@ -26,6 +26,40 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_spans(digital_text(spark, d)).select("region_id", "start_pos", "end_pos")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Text regions with a language in which a whole sentence is written while the job's ocr_lang does not name it."""
+    from pagesmith.llm.language import fitted, named_languages, written_languages
+
+    r = latest_regions(read(spark, d, "regions").where("region_type = 'text' AND content IS NOT NULL AND content <> ''"), "job_id", "content")
+    written = written_languages(r.select("region_id", "content"), "region_id", "content", fitted(read(spark, d, "documents")))
+    named = named_languages(read(spark, d, "submit_options"), read(spark, d, "lang_codes"))
+    return written.join(r.select("region_id", "job_id"), "region_id").join(named, ["job_id", "lang"], "left_anti").select("region_id", "lang")
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence of every text region with its language and confidence; lang null where it has none."""
+    from pagesmith.llm.language import fitted, sentence_languages
+
+    r = latest_regions(read(spark, d, "regions").where("region_type = 'text' AND content IS NOT NULL AND content <> ''"), "content")
+    s = sentence_languages(r, "region_id", "content", fitted(read(spark, d, "documents")))
+    z = s.select("region_id", F.explode(F.arrays_zip("starts", "ends", "langs", "confidences")).alias("s"))
+    return z.select("region_id", F.col("s.starts").alias("start_pos"), F.col("s.ends").alias("end_pos"), F.col("s.langs").alias("lang"), F.round("s.confidences", 4).alias("confidence"))
+
+
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the language of most of its words, its confidence, and whether its label names another one."""
+    from pagesmith.llm.language import LANGUAGES, fitted, sentence_languages
+
+    docs = read(spark, d, "documents")
+    s = sentence_languages(docs, "doc_id", "text", fitted(docs))
+    z = s.select("doc_id", F.explode_outer(F.arrays_zip("langs", "confidences", "words")).alias("s"))
+    by = z.groupBy("doc_id", F.col("s.langs").alias("found")).agg(F.sum(F.col("s.words")).alias("n"), F.sum(F.col("s.words") * F.col("s.confidences")).alias("w"))
+    best = by.groupBy("doc_id").agg(F.max_by(F.struct("found", "n", "w"), F.struct(F.when(F.col("found").isNotNull(), F.col("n")).otherwise(-1), F.col("found"))).alias("b"))
+    label = F.lower(F.regexp_extract(F.trim("lang"), "^([A-Za-z]{2})(?:[-_].*)?$", 1))
+    out = best.join(docs.select("doc_id", label.alias("label")), "doc_id")
+    return out.select("doc_id", F.col("b.found").alias("lang"), F.round(F.coalesce(F.col("b.w") / F.col("b.n"), F.lit(0.0)), 4).alias("confidence"), (F.col("label").isin(*LANGUAGES) & (F.col("label") != F.col("b.found"))).alias("contradicts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of regions, and of regions and runs, that look the same in print but differ in code points."""
     from pagesmith.llm.visual import look_alike_pairs, look_alike_runs
@@ -50,7 +84,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -69,12 +69,12 @@ def _dot_class(word: str, what: str) -> int:
     last = re.split(r"[. ]", w)[-1]
     if w in _PAIRS:
         return GLUE
+    if last in _BEFORE_NUMBER and what.isdigit() and last != "г":
+        return GLUE
     if w in _MAYBE or word.islower() and w.replace(" ", "") in ("p.m", "a.m", "т.д", "т.п"):
         return MDOT
     if last in _NEVER:
         return GLUE
-    if last in _BEFORE_NUMBER and what.isdigit():
-        return GLUE
     if last in _MAYBE:
         return MDOT
     if _INDIC.match(w):
