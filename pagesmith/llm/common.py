@@ -121,6 +121,20 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
 
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most so many rows, the same at every run: those whose key has the smallest digest, with the digest as column h.
+
+    The table is counted first and rows far above the expected bound are dropped
+    where they are read, so that what reaches the driver does not grow with it.
+    """
+    h = F.xxhash64(key)
+    n = df.count()
+    part = min(1.0, 2.0 * most / n + 64.0 / n) if n else 1.0
+    if part < 1.0:
+        df = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
+    return df.withColumn("h", F.pmod(h, F.lit(1 << 30))).orderBy("h", key).limit(most)
+
+
 _MADE: dict[str, object] = {}
 
 

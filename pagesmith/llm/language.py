@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesmith.llm.common import INVISIBLE, Shared, fold_words, lists, map_arrow, strip_invisible
+from pagesmith.llm.common import Shared, bounded_sample, fold_words, lists, map_arrow, strip_invisible
 from pagesmith.llm.crf import Chain, batches, hashed
 from pagesmith.llm.lexicon import FREQUENT, LANGUAGES, NO_LANGUAGE, SENTENCES
 from pagesmith.llm.sentences import TAG, spans
@@ -236,10 +236,10 @@ def train(texts: list[tuple[str, str | None]]) -> Model:
     return Model(Chain(NONE + 1, BITS).fit(sequences, epochs=5))
 
 
-def fitted(documents: DataFrame, text: str = "text", label: str = "lang", most: int = TRAIN_TEXTS) -> Model:
-    """The model fitted on a sample of so many texts: those whose digest is smallest, so the same at every run."""
-    rows = documents.where(F.length(text) > 20).select(F.substring(text, 1, 4000).alias("t"), F.col(label).alias("l"), F.xxhash64(text).alias("h")).orderBy("h", "t").limit(most).collect()
-    return train([(r["t"], r["l"]) for r in rows])
+def fitted(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most: int = TRAIN_TEXTS) -> Model:
+    """The model fitted on a sample of so many texts."""
+    rows = bounded_sample(documents.select(key, text, label), key, most).select("h", F.substring(text, 1, 4000).alias("t"), F.col(label).alias("l")).collect()
+    return train([(r["t"], r["l"]) for r in sorted(rows, key=lambda r: r["h"]) if r["t"] and len(r["t"]) > 20])
 
 
 def sentence_languages(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:

@@ -83,8 +83,34 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), read(spark, d, "benchmark")).select("doc_id", "item_id")
 
 
+def _toxicity(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    from pagesmith.llm.abuse import fitted, toxicity
+
+    docs = read(spark, d, "documents")
+    return toxicity(docs, fitted(docs, read(spark, d, "labels")), extra=extra)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a sentence of abuse, hatred or explicit sex."""
+    from pagesmith.llm.abuse import THRESHOLD
+
+    return _toxicity(spark, d).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's score, and where its toxic spans start and end."""
+    return _toxicity(spark, d).select("doc_id", F.round("score", 6).alias("score"), "starts", "ends")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Of every source its documents, those that are cases, and their share; source null is a group of its own."""
+    from pagesmith.llm.abuse import THRESHOLD
+
+    return _toxicity(spark, d, "source").groupBy("source").agg(F.count("*").alias("n_docs"), F.count_if(F.col("score") >= THRESHOLD).alias("n_toxic")).withColumn("rate", F.round(F.col("n_toxic") / F.col("n_docs"), 6))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
