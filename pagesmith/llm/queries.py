@@ -26,6 +26,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_spans(digital_text(spark, d)).select("region_id", "start_pos", "end_pos")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of which content or html is or holds residue."""
+    from pagesmith.llm.residue import fitted, residue_scores
+
+    r = read(spark, d, "regions")
+    return residue_scores(r, fitted(r)).where("score >= 0.5").select("region_id").distinct()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Text regions with a language in which a whole sentence is written while the job's ocr_lang does not name it."""
     from pagesmith.llm.language import fitted, named_languages, written_languages
@@ -110,7 +118,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
