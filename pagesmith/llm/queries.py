@@ -77,6 +77,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return regions.unionByName(runs.select(F.lit("run").alias("kind"), "key_a", "key_b"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Flaws of scanned pages: broken and misread words, furniture among the text, paragraphs split by a page's end."""
+    from pagesmith.llm.scans import flaws
+
+    r = latest_regions(read(spark, d, "regions"), "job_id", "page_number", "block_idx", "region_type", "bbox", "content")
+    return flaws(spark, r, read(spark, d, "ocr_pages"), read(spark, d, "html_options"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     from pagesmith.llm.tokens import token_ids
@@ -118,7 +126,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:
