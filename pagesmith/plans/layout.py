@@ -92,7 +92,7 @@ S["page_order"] = f"SELECT region_id, row_number() OVER (PARTITION BY job_id, pa
 Q["largest_blocks"] = lambda spark, d: L.largest_blocks(regions(spark, d))
 S["largest_blocks"] = f"SELECT region_id, rank FROM (SELECT region_id, row_number() OVER (PARTITION BY job_id ORDER BY greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) DESC, page_number, block_idx, region_id)::INT AS rank FROM {R} WHERE bbox IS NOT NULL) WHERE rank <= 10"
 
-Q["overlap_merge"] = lambda spark, d: L.merge_overlaps(regions(spark, d).join(_boxes(spark, d).select(F.col("id").alias("region_id"), F.col("bbox").alias("moved")), "region_id", "left").withColumn("bbox", F.col("moved")).drop("moved"))
+Q["overlap_merge"] = lambda spark, d: L.merge_overlaps(regions(spark, d).withColumn("bbox", F.when(F.col("bbox").isNotNull(), G.box(F.col("bbox.x0"), F.col("bbox.y0") - (F.col("region_id") % 4) * 45, F.col("bbox.x1"), F.col("bbox.y1")))))
 Q["overflow_absorb"] = lambda spark, d: L.absorb_overflow(regions(spark, d))
 Q["bubble_order"] = lambda spark, d: L.bubble_order(_boxes(spark, d).select("job_id", "page_number", "id", F.col("bbox.x0").alias("x0"), "y0"))
 
