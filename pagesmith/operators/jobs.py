@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesmith.functions import text as T
+from pagesmith.operators.scan import numbered
 
 RETRIES = 2
 # Codes of errors and what a user is told, by cause.
@@ -82,23 +83,20 @@ def run_outcome(attempts: DataFrame, retries: int = RETRIES) -> DataFrame:
 
 
 def queue_order(jobs: DataFrame) -> DataFrame:
-    """(job_id, position): short jobs first, in the order of their coming among equals; a null length counts as none. A report over waiting jobs, of which there are few: it is one order over all."""
-    w = W.orderBy(F.coalesce("total_pages", F.lit(0)), "created_at", "job_id")
-    return jobs.select("job_id", F.row_number().over(w).alias("position"))
+    """(job_id, position): short jobs first, in the order of their coming among equals; a null length counts as none. No task sees more than its range of the order."""
+    return numbered(jobs.select("job_id", F.coalesce("total_pages", F.lit(0)).alias("n"), "created_at"), ["n", "created_at", "job_id"]).select("job_id", "position")
 
 
 def evict(tasks: DataFrame, keep: int) -> DataFrame:
     """(job_id): finished tasks but the newest keep of them; unfinished ones are never evicted."""
-    w = W.orderBy(F.col("created_at").desc(), F.col("job_id").desc())
     done = tasks.where("status IN ('completed', 'failed', 'permanently_failed')")
     newest = done.orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(keep).select("job_id")
-    del w
     return done.join(newest, "job_id", "left_anti").select("job_id")
 
 
 def stale(tasks: DataFrame, now: Column, seconds: int) -> DataFrame:
     """(job_id, age_ms): tasks that ended more than so many seconds before now."""
-    age = (F.unix_millis(now) - F.unix_millis("completed_at")).alias("age_ms")
+    age = F.floor((F.unix_micros(now) - F.unix_micros("completed_at")) / 1000).alias("age_ms")
     return tasks.where("completed_at IS NOT NULL").select("job_id", age).where(F.col("age_ms") > seconds * 1000)
 
 

@@ -46,6 +46,19 @@ def first_pages(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_k", F.dense_rank().over(W.partitionBy("job_id").orderBy("page_number"))).where(F.col("_k") <= n).drop("_k")
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """df with the number of each row in a total order, from 1. Ranges of the order are sorted apart and numbered from the sizes of those before, so that no task takes all rows; the sorted rows go to the shared folder, as they are read twice."""
+    from pyspark.sql import Window as W
+
+    from pagesmith.session import shared_dir
+
+    shared_dir(df.sparkSession)
+    x = df.orderBy(*order).withColumn("_i", F.monotonically_increasing_id()).checkpoint()
+    x = x.withColumn("_p", F.shiftright("_i", 33)).withColumn("_k", F.col("_i").bitwiseAND((1 << 33) - 1))
+    sizes = x.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return x.join(F.broadcast(sizes.select("_p", "_before")), "_p").withColumn(name, (F.col("_before") + F.col("_k") + 1).cast("int")).drop("_i", "_p", "_k", "_before")
+
+
 #: The same relations in SQL.
 SQL_REGIONS = "(SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY ingested_at DESC) AS rn_ FROM regions) WHERE rn_ = 1)"
 SQL_LINES = f"(SELECT region_id, job_id, page_number, block_idx, region_type, i - 1 AS line_no, parts[i] AS line FROM (SELECT region_id, job_id, page_number, block_idx, region_type, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT *, string_split(content, chr(10)) AS parts FROM {SQL_REGIONS} WHERE content IS NOT NULL)))"

@@ -51,9 +51,9 @@ Q["evicted_tasks"] = lambda spark, d: J.evict(jobs(spark, d), 3)
 S["evicted_tasks"] = f"SELECT job_id FROM {SQL_JOBS} WHERE status IN ('completed', 'failed', 'permanently_failed') QUALIFY row_number() OVER (ORDER BY created_at DESC, job_id DESC) > 3"
 _NOW = "TIMESTAMP '2026-01-01 00:00:00'"
 Q["stale_tasks"] = lambda spark, d: J.stale(jobs(spark, d).withColumn("completed_at", F.col("completed_at").cast("timestamp")), F.expr("TIMESTAMP '2026-01-01 00:00:00'"), 120)
-S["stale_tasks"] = f"SELECT job_id, epoch_ms({_NOW}) - epoch_ms(completed_at) AS age_ms FROM {SQL_JOBS} WHERE completed_at IS NOT NULL AND epoch_ms({_NOW}) - epoch_ms(completed_at) > 120000"
-Q["elapsed"] = lambda spark, d: jobs(spark, d).where("started_at IS NOT NULL AND completed_at IS NOT NULL").select("job_id", (F.unix_millis(F.col("completed_at").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp"))).alias("elapsed_ms"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
-S["elapsed"] = f"SELECT job_id, epoch_ms(completed_at) - epoch_ms(started_at) AS elapsed_ms, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS iso FROM {SQL_JOBS} WHERE started_at IS NOT NULL AND completed_at IS NOT NULL"
+S["stale_tasks"] = f"SELECT job_id, (epoch_us({_NOW}) - epoch_us(completed_at)) // 1000 AS age_ms FROM {SQL_JOBS} WHERE completed_at IS NOT NULL AND (epoch_us({_NOW}) - epoch_us(completed_at)) // 1000 > 120000"
+Q["elapsed"] = lambda spark, d: jobs(spark, d).where("started_at IS NOT NULL AND completed_at IS NOT NULL").select("job_id", F.floor((F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000).alias("elapsed_ms"), F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+S["elapsed"] = f"SELECT job_id, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS elapsed_ms, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS iso FROM {SQL_JOBS} WHERE started_at IS NOT NULL AND completed_at IS NOT NULL"
 Q["capacity"] = lambda spark, d: jobs(spark, d).select("job_id", J.slots((F.col("total_pages") % 64).cast("double")).alias("slots"), J.layout_batch((F.col("total_pages") % 64).cast("double")).alias("batch"), J.back_off(F.col("retry_count")).alias("wait_s"))
 S["capacity"] = f"SELECT job_id, greatest(1, floor(((total_pages % 64) - 7) / 4))::INT AS slots, least(32, greatest(1, trunc(((total_pages % 64) - 6) / 0.9)))::INT AS batch, pow(2.0, retry_count) AS wait_s FROM {SQL_JOBS}"
 Q["unique_uploads"] = lambda spark, d: read(spark, d, "jobs").where("lower(file_path) LIKE '%.pdf'").groupBy("file_name", "total_pages").agg(F.min("job_id").alias("job_id"), F.count("*").alias("n"))
