@@ -60,7 +60,7 @@ def page_count(json: Column) -> Column:
 def made_up_documents(spark: SparkSession, n: int) -> DataFrame:
     """(doc_id, page_idx, block_idx, region_type, text): documents of 5 to 24 pages: a title on the first, a section on every third page; tables, equations and lists in turn; a header and a footer on each."""
     d = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") * 7 % 20 + 5).alias("total"))
-    p = d.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("total") - 1)).cast("int").alias("page_idx"))
+    p = d.select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("total") - 1).cast("int"))).alias("page_idx"))
     kind = lambda i: F.when(i == 0, "header").when(i == 7, "footer").when((i == 1) & (F.col("page_idx") == 0), "title").when((i == 1) & (F.col("page_idx") % 3 == 0), "title").when(i % 4 == 2, "table").when(i % 5 == 3, "formula").when(i % 3 == 1, "list").otherwise("text")
     b = p.select("doc_id", "page_idx", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("block_idx"))
     return b.select("doc_id", "page_idx", "block_idx", kind(F.col("block_idx")).alias("region_type"), F.concat_ws(" ", kind(F.col("block_idx")), F.col("doc_id"), F.col("page_idx"), F.col("block_idx")).alias("text"))
