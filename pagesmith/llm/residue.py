@@ -88,9 +88,8 @@ If a screen asks to enable scripts, the manual advises to print the sheet again.
 The text on the left page is printed in grey.|Room 503 was not available in October.|The committee read 404 pages and found 12 errors.|Please return the form to the office.|The office closes at 5 p.m. and opens again at 8 a.m.|Insert the key and turn it twice, the manual says.|The document was returned to the office within 30 days.|None of the letters mentions the register [see note 4]."""
 
 
-def units(content: str | None, html: str | None) -> list[tuple[str, bool]]:
-    """The sentences of content and of html's blocks and cells; True: in a title or heading of html."""
-    out: list[tuple[str, bool]] = []
+def blocks_of(content: str | None, html: str | None) -> list[tuple[str, bool]]:
+    """Texts of content and of html's blocks and cells; True: a title or heading of html."""
     blocks: list[tuple[str, bool]] = []
     if content and not content.isspace():
         blocks.append((re.sub(r"</?[bi]>", "", content), False))
@@ -101,15 +100,29 @@ def units(content: str | None, html: str | None) -> list[tuple[str, bool]]:
             t = html_lib.unescape(_TAG.sub("", part)).strip()
             if t:
                 blocks.append((t, t in heads))
-    wanted = [(b, t) for b, t in blocks if any(c.isalpha() or c in "#{%" for c in b)]
-    wanted = [(re.sub(r"-\n(?=[^\W\d_])", "", b), t) for b, t in wanted]
-    for (b, t), cut in zip(wanted, spans([b for b, _ in wanted]), strict=True):
-        if len(cut) > 1 and (marks := [m.span() for m in _TEMPLATE.finditer(b)]):
-            # A placeholder that holds what looks like a sentence's end stays in one unit.
-            cut = [c for c in cut if not any(x < c[0] < y for x, y in marks)]
-            cut = [(a, n[0] if n else len(b)) for (a, _), n in zip(cut, [*cut[1:], None])]
-        out += [(b[s:e], t) for s, e in cut]
-    return out
+    return [(re.sub(r"-\n(?=[^\W\d_])", "", b), t) for b, t in blocks if any(c.isalpha() or c in "#{%" for c in b)]
+
+
+def units_of(rows: list[tuple[str | None, str | None]]) -> list[list[tuple[str, bool]]]:
+    """Of each (content, html) the sentences of content and of html's blocks and cells; all texts are cut together."""
+    blocks = [blocks_of(c, h) for c, h in rows]
+    cuts = iter(spans([b for x in blocks for b, _ in x]))
+    result = []
+    for x in blocks:
+        out: list[tuple[str, bool]] = []
+        for b, t in x:
+            cut = next(cuts)
+            if len(cut) > 1 and (marks := [m.span() for m in _TEMPLATE.finditer(b)]):
+                # A placeholder that holds what looks like a sentence's end stays in one unit.
+                cut = [c for c in cut if not any(p < c[0] < q for p, q in marks)]
+                cut = [(a, n[0] if n else len(b)) for (a, _), n in zip(cut, [*cut[1:], None])]
+            out += [(b[a:e], t) for a, e in cut]
+        result.append(out)
+    return result
+
+
+def units(content: str | None, html: str | None) -> list[tuple[str, bool]]:
+    return units_of([(content, html)])[0]
 
 
 def reduced(unit: str) -> str:
@@ -240,9 +253,9 @@ class Model:
             self.seen[key] = p
         return p
 
-    def residue(self, content: str | None, html: str | None) -> float:
-        """The highest probability of a region's units; 0 without any."""
-        return max((self.probability(u, t) for u, t in units(content, html)), default=0.0)
+    def residue(self, rows: list[tuple[str | None, str | None]]) -> list[float]:
+        """Of each (content, html) the highest probability of its units; 0 without any."""
+        return [max((self.probability(u, t) for u, t in x), default=0.0) for x in units_of(rows)]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, epochs: int = 8, rate: float = 0.4, l2: float = 2e-5, seed: int = 5) -> np.ndarray:
@@ -279,9 +292,9 @@ def train(sample: list[tuple[str, str | None, str | None]]) -> Model:
     numbered: list[str] = []
     held: list[tuple[tuple[np.ndarray, np.ndarray], int]] = []
     seen: set[tuple[str, bool]] = set()
-    for job, content, html in sample:
+    for (job, _, _), found in zip(sample, units_of([(c, h) for _, c, h in sample]), strict=True):
         test = xxhash.xxh3_64_intdigest(job or "") % 5 == 0
-        for u, t in units(content, html):
+        for u, t in found:
             k = (re.sub(r"\d+", "0", u), t)
             if k in seen or (y := weak_label(u)) < 0:
                 continue
@@ -338,7 +351,9 @@ def residue_scores(regions: DataFrame, model: Model) -> DataFrame:
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.get()
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([m.residue(c, h) for c, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.float64())], names=["region_id", "score"])
+        rows = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        scores = [p for i in range(0, len(rows), 1000) for p in m.residue(rows[i : i + 1000])]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["region_id", "score"])
 
     wanted = regions.where("region_id IS NOT NULL AND (content IS NOT NULL OR html IS NOT NULL)").select(F.col("region_id").cast("bigint"), "content", "html")
     return map_arrow(wanted, run, "region_id bigint, score double")
