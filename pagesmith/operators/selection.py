@@ -10,7 +10,7 @@ from pagesmith.functions import geometry as G
 from pagesmith.functions import text as T
 
 # What a request may ask for; the first is the default.
-OPTIONS = {"processing_mode": ["local", "cloud", "ocr", "hybrid", "auto"], "formula_display": ["latex", "image", "text"], "table_display": ["html", "image", "text"], "figure_display": ["image", "text"]}
+OPTIONS = {"processing_mode": ["local", "cloud"], "table_mode": ["local", "cloud"], "formula_display": ["rendered", "image"], "table_display": ["rendered", "image"], "figure_display": ["image", "text"]}
 
 
 def large_enough(boxes: DataFrame, part: float = 0.0005, least: float = 20.0) -> DataFrame:

@@ -46,7 +46,8 @@ S["cell_offsets"] = f"""WITH f AS (SELECT *, sum(colspan) OVER (PARTITION BY reg
 Q["layer_sizes"] = lambda spark, d: regions(spark, d).where("content IS NOT NULL AND bbox IS NOT NULL").select("region_id", P.layer_size(F.size(F.split("content", "\n")), G.height(F.col("bbox"))).alias("size"), F.round(P.line_scale(F.length("content") * 5.0, G.width(F.col("bbox")), F.lit(True)), 3).alias("scale"), F.round(P.table_font(G.height(F.col("bbox")) / 4), 3).alias("font"))
 S["layer_sizes"] = f"""SELECT region_id, list_reduce(range(16), lambda s, i: CASE WHEN s > 3 AND s * 1.2 * n > h THEN s - 0.5 ELSE s END, 11.0::DOUBLE) AS size, round(least(CASE WHEN len > 0 THEN w / (len * 5.0) * 100 ELSE 100.0 END, 150.0), 3) AS scale, round(least(12.0, greatest(6.0, h / 4 * 0.6)), 3) AS font FROM (SELECT region_id, len(string_split(content, chr(10))) AS n, bbox.y1 - bbox.y0 AS h, bbox.x1 - bbox.x0 AS w, length(content) AS len FROM {R} WHERE content IS NOT NULL AND bbox IS NOT NULL)"""
 Q["page_breaks"] = lambda spark, d: P.page_breaks(regions(spark, d).where("bbox IS NOT NULL").select(F.col("job_id").alias("doc"), F.struct("page_number", "block_idx", "region_id").alias("ord"), F.col("region_id").alias("id"), G.height(F.col("bbox")).alias("h")), 700.0).withColumn("y", F.round("y", 4))
-Q["json_harvest"] = lambda spark, d: P.harvest(jobs(spark, d).where("output_files IS NOT NULL"), "job_id", "output_files", ["path", "format", "name"], 3)
+Q["json_harvest"] = lambda spark, d: P.harvest(jobs(spark, d).where("tool_config IS NOT NULL"), "job_id", "tool_config", ["ocr_lang"], 3)
+S["json_harvest"] = f"SELECT job_id, 'ocr_lang' AS name, json_extract_string(tool_config, '$.ocr_lang') AS text FROM {SQL_JOBS} WHERE json_type(tool_config, '$.ocr_lang') = 'VARCHAR'"
 Q["first_pages"] = lambda spark, d: first_pages(regions(spark, d), 10).groupBy("job_id").agg(F.count("*").alias("n"))
 S["first_pages"] = f"SELECT job_id, count(*) AS n FROM (SELECT job_id, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) AS k FROM {R}) WHERE k <= 10 GROUP BY job_id"
 Q["run_compare"] = lambda spark, d: regions(spark, d).join(pages(spark, d), ["job_id", "page_number"]).groupBy("region_type").agg(F.count_if("scanned").alias("n_scanned"), F.count_if(~F.col("scanned")).alias("n_digital"), F.sum(F.when(F.col("scanned"), F.regexp_count("content", F.lit("<[bi]>")))).alias("emphasis_scanned"), F.sum(F.when(~F.col("scanned"), F.regexp_count("content", F.lit("<[bi]>")))).alias("emphasis_digital"))
