@@ -39,8 +39,8 @@ Q["gfm_tables"] = lambda spark, d: M.gfm(_cells(spark, d))
 S["gfm_tables"] = f"""WITH r AS (SELECT region_id, row_idx, list(replace(text, '|', '\\|') ORDER BY cell_idx) AS c FROM {_C} GROUP BY ALL), n AS (SELECT *, max(len(c)) OVER (PARTITION BY region_id) AS n FROM r), l AS (SELECT region_id, row_idx, n, '| ' || array_to_string(list_concat(c, list_transform(range(n - len(c)), lambda x: '')), ' | ') || ' |' AS line FROM n)
  SELECT region_id, string_agg(CASE WHEN row_idx = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row_idx) AS markdown FROM l GROUP BY region_id"""
 
-_DIRTY = F.concat(F.lit('<script>x()</script><div class="a" onclick="y()">'), F.replace("html", F.lit("<table>"), F.lit('<table id="t" style="width: 40px; color: red">')), F.lit("</div>"))
-Q["table_sanitize"] = lambda spark, d: regions(spark, d).where("html LIKE '<table>%'").select("region_id", M.sanitize_table(_DIRTY).alias("safe"))
+_DIRTY = lambda: F.concat(F.lit('<script>x()</script><div class="a" onclick="y()">'), F.replace("html", F.lit("<table>"), F.lit('<table id="t" style="width: 40px; color: red">')), F.lit("</div>"))
+Q["table_sanitize"] = lambda spark, d: regions(spark, d).where("html LIKE '<table>%'").select("region_id", M.sanitize_table(_DIRTY()).alias("safe"))
 S["table_sanitize"] = f"""SELECT region_id, replace(html, '<table>', '<table style="color: red">') AS safe FROM {R} WHERE html LIKE '<table>%'"""
 Q["plain_tables"] = lambda spark, d: regions(spark, d).where("region_type = 'list' AND content IS NOT NULL").select("region_id", M.plain_table(F.replace("content", F.lit(". "), F.lit(".  "))).alias("html"))
 _PT = lambda x: replace_sql(STRIP(x), T.ESCAPES)
