@@ -72,8 +72,8 @@ def records(df: DataFrame, key: str, result: str) -> DataFrame:
 
 def csv_lines(rec: DataFrame, key: str) -> DataFrame:
     """(key, line_no, line): records as CSV: the header is the union of the keys in the order in which they are first seen; every value is quoted, missing ones are empty."""
-    k = rec.select(key, "row", F.posexplode(F.map_keys("record")).alias("i", "k")).groupBy(key, "k").agg(F.min(F.struct("row", "i")).alias("o"))
-    head = k.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "k"))), lambda x: x["k"]).alias("header"))
+    k = rec.select(key, F.col("row").alias("_row"), F.posexplode(F.map_keys("record")).alias("_i", "_name")).groupBy(key, "_name").agg(F.min(F.struct("_row", "_i")).alias("_o"))
+    head = k.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_o", "_name"))), lambda x: x["_name"]).alias("header"))
     r = rec.join(head, key)
     body = r.select(key, (F.col("row") + 1).alias("line_no"), F.array_join(F.transform("header", lambda h: T.csv_field(F.try_element_at(F.col("record"), h))), ",").alias("line"))
     return head.select(key, F.lit(0).alias("line_no"), F.array_join(F.transform("header", T.csv_field), ",").alias("line")).unionByName(body)

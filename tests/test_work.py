@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,8 +41,12 @@ def test_stream_equals_batch(spark, tmp_path):
     events = [("a", 1, "start", 0), ("a", 2, "error", 0), ("a", 3, "success", 9), ("b", 1, "start", 0), ("b", 2, "progress", 4)]
     spark.createDataFrame(events, "job_id string, ts int, event string, value int").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("job_id string, ts int, event string, value int").option("maxFilesPerTrigger", 100).parquet(str(tmp_path / "in"))
-    q = S.run_states(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = S.run_states(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "ck")).start()
+    for _ in range(120):
+        time.sleep(0.5)
+        if spark.sql("SELECT count(*) FROM states").first()[0] >= 2:
+            break
+    q.stop()
     got = {r["job_id"]: (r["status"], r["retries"], r["pages"]) for r in spark.sql("SELECT * FROM states").collect()}
     for j in "ab":
         assert got[j] == S.fold([(e, v) for i, _, e, v in events if i == j])
