@@ -258,6 +258,27 @@ def _passage(segments: list[tuple[int, int, int]], words: np.ndarray, code: np.n
             state[a:b][state[a:b] == 0] = 1
         else:
             breaks[a : b + 1] = True
+    # Beyond the chain words are compared one by one: one that stands alone between replaced ones is too short for a match.
+    theirs = np.concatenate([np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])), [len(word)]])
+    same = lambda k, o: np.array_equal(code[theirs[o] : theirs[o + 1]], item[words[k] : words[k + 1]])
+    there = np.flatnonzero(state == 2)
+    if len(there):
+        d, i, _ = chain[0]
+        k = int(there[0])
+        at = d + int(words[k]) - i
+        o = int(np.searchsorted(theirs, at))
+        if 0 <= at < len(word) and theirs[o] == at:
+            while k > 0 and o > 0:
+                k, o = k - 1, o - 1
+                state[k] = 2 if same(k, o) else 1
+        d, i, _ = chain[-1]
+        k = int(there[-1]) + 1
+        at = d + int(words[k]) - i
+        o = int(np.searchsorted(theirs, at))
+        if 0 <= at < len(word) and theirs[o] == at:
+            while k < n and o < len(theirs) - 1:
+                state[k] = 2 if same(k, o) else 1
+                k, o = k + 1, o + 1
     # A run: words there or replaced, without a break; it starts and ends with a word that is there.
     bad = np.concatenate([[0], np.cumsum(state == 1)])
     out = np.concatenate([[0], np.cumsum((state == 0) | breaks[:-1])])
@@ -267,7 +288,7 @@ def _passage(segments: list[tuple[int, int, int]], words: np.ndarray, code: np.n
             break
         size = ends - start
         first_break = int(breaks[start])
-        fine = (out[ends] - out[start] - first_break * (state[start] != 0) <= 0) & (bad[ends] - bad[start] <= np.floor(size * REPLACED + 1e-9))
+        fine = (state[ends - 1] == 2) & (out[ends] - out[start] - first_break * (state[start] != 0) <= 0) & (bad[ends] - bad[start] <= np.floor(size * REPLACED + 1e-9))
         if fine.any():
             return True
     return False
