@@ -152,27 +152,24 @@ def _h(x: str) -> int:
 _CODES: dict[str, int] = {}
 
 
-def _code(w: str) -> int:
-    c = _CODES.get(w)
+def _code(w: str, kind: str = "w ") -> int:
+    key = kind + w
+    c = _CODES.get(key)
     if c is None:
         if len(_CODES) > 500_000:
             _CODES.clear()
-        c = _CODES[w] = _h("w " + w)
+        c = _CODES[key] = _h(key)
     return c
 
 
-def featurize(unit: str, title: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their values: n-grams share the weight of one, those with a placeholder or status and the unit's shape count in full."""
-    r = reduced(unit)
-    w = words(r)
+def _shape(r: str, w: list[str], title: bool) -> list[int]:
+    """Features of a unit's shape, each of which counts in full."""
     n = len(w)
     real = [x for x in w if x[0] not in "⟨0#%"]
-    marked = n > len(real)
     shape = ["bias", f"n {n if n < 8 else 8 + min(n // 8, 6)}"]
-    if marked:
-        kinds = {x for x in w if x[0] == "⟨"}
+    if n > len(real):
         about = bool(_ABOUT.search(r))
-        shape += [f"{'all' if not real else 'about' if about else 'some'} {k}" for k in kinds]
+        shape += [f"{'all' if not real else 'about' if about else 'some'} {k}" for k in {x for x in w if x[0] == "⟨"}]
     if real:
         shape.append(f"filler {round(4 * sum(x in _FILLER for x in real) / len(real))}")
         if len(real) >= 3:
@@ -180,15 +177,24 @@ def featurize(unit: str, title: bool) -> tuple[np.ndarray, np.ndarray]:
         shape += [f"^ {w[0]}", f"$ {w[-1]}"]
     if title:
         shape.append("title")
-    s = np.array([_h(x) for x in shape], dtype=np.int64)
-    if not n:
-        return s, np.ones(len(s), dtype=np.float32)
-    c = np.array([_code(x) for x in w], dtype=np.int64)
-    special = np.array([x[0] == "⟨" for x in w])
+    return [_code(x, "") for x in shape]
+
+
+def _grams(c: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words, pairs and triples of a chain of words, and which of them hold a placeholder or status."""
     two = (c[:-1] * 0x9E3779B1 + c[1:] * 0x85EBCA77 + 1) & MASK
     three = (two[:-1] * 0xC2B2AE3D + c[2:] + 2) & MASK
-    grams = np.concatenate([c, two, three])
-    full = np.concatenate([special, special[:-1] | special[1:], special[:-2] | special[1:-1] | special[2:]])
+    return np.concatenate([c, two, three]), np.concatenate([special, special[:-1] | special[1:], special[:-2] | special[1:-1] | special[2:]])
+
+
+def featurize(unit: str, title: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Features and their values: n-grams share the weight of one, those with a placeholder or status and the unit's shape count in full."""
+    r = reduced(unit)
+    w = words(r)
+    s = np.array(_shape(r, w, title), dtype=np.int64)
+    if not w:
+        return s, np.ones(len(s), dtype=np.float32)
+    grams, full = _grams(np.array([_code(x) for x in w], dtype=np.int64), np.array([x[0] == "⟨" for x in w]))
     value = np.where(full, 1.0, 1.0 / np.sqrt(max(1, (~full).sum()))).astype(np.float32)
     return np.concatenate([grams, s]), np.concatenate([value, np.ones(len(s), dtype=np.float32)])
 
@@ -227,9 +233,6 @@ class Model:
     weights: np.ndarray
     report: dict[str, float] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        self.seen: dict[tuple[str, bool], float] = {}
-
     def dump(self) -> tuple:
         rows = np.flatnonzero(np.abs(self.weights) > 1e-4)
         return rows, self.weights[rows]
@@ -240,22 +243,39 @@ class Model:
         w[v[0]] = v[1]
         return Model(w)
 
-    def probability(self, unit: str, title: bool) -> float:
-        key = (unit, title) if len(unit) < 60 else None
-        if key is not None and (p := self.seen.get(key)) is not None:
-            return p
-        f, v = featurize(unit, title)
-        z = float(self.weights[f] @ v)
-        p = 1.0 / (1.0 + np.exp(-z)) if z > -30 else 0.0
-        if key is not None:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            self.seen[key] = p
-        return p
+    def probabilities(self, found: list[tuple[str, bool]]) -> np.ndarray:
+        """Of each unit the probability to be residue; n-grams of all units are made and weighed at once."""
+        shapes, shape_owner, codes, marks, owner = [], [], [], [], []
+        for k, (u, t) in enumerate(found):
+            r = reduced(u)
+            w = words(r)
+            s = _shape(r, w, t)
+            shapes += s
+            shape_owner += [k] * len(s)
+            codes += [_code(x) for x in w]
+            marks += [x[0] == "⟨" for x in w] if "⟨" in r else [False] * len(w)
+            owner += [k] * len(w)
+        n = len(found)
+        z = np.bincount(np.array(shape_owner, dtype=np.int64), weights=self.weights[np.array(shapes, dtype=np.int64)], minlength=n)
+        if codes:
+            o = np.array(owner, dtype=np.int64)
+            grams, full = _grams(np.array(codes, dtype=np.int64), np.array(marks, dtype=bool))
+            # Pairs and triples that reach into the next unit are none.
+            last = np.concatenate([o, o[1:], o[2:]])
+            own = np.concatenate([np.ones(len(o), bool), o[1:] == o[:-1], o[2:] == o[:-2]])
+            v = self.weights[grams]
+            rest = own & ~full
+            z += np.bincount(last[own & full], weights=v[own & full], minlength=n)
+            z += np.bincount(last[rest], weights=v[rest], minlength=n) / np.sqrt(np.maximum(1, np.bincount(last[rest], minlength=n)))
+        return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
     def residue(self, rows: list[tuple[str | None, str | None]]) -> list[float]:
-        """Of each (content, html) the highest probability of its units; 0 without any."""
-        return [max((self.probability(u, t) for u, t in x), default=0.0) for x in units_of(rows)]
+        """Of each (content, html) the highest probability of its units; 0 without any. A unit is weighed once a batch."""
+        each = units_of(rows)
+        number: dict[tuple[str, bool], int] = {}
+        at = [[number.setdefault(u, len(number)) for u in x] for x in each]
+        p = self.probabilities(list(number))
+        return [float(p[x].max()) if x else 0.0 for x in at]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: np.ndarray, epochs: int = 8, rate: float = 0.4, l2: float = 2e-5, seed: int = 5) -> np.ndarray:
@@ -352,7 +372,7 @@ def residue_scores(regions: DataFrame, model: Model) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.get()
         rows = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
-        scores = [p for i in range(0, len(rows), 1000) for p in m.residue(rows[i : i + 1000])]
+        scores = [p for i in range(0, len(rows), 2000) for p in m.residue(rows[i : i + 2000])]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["region_id", "score"])
 
     wanted = regions.where("region_id IS NOT NULL AND (content IS NOT NULL OR html IS NOT NULL)").select(F.col("region_id").cast("bigint"), "content", "html")

@@ -176,6 +176,13 @@ def test_residue(residue_model, content, html, hit):
     assert bool(residue_model.residue([(content, html)])[0] >= 0.5) is hit
 
 
+def test_residue_weighs_a_batch_like_single_units(residue_model):
+    found = [("${name}", False), ("The letter of office 7.", False), ("404 Not Found", True), ("", False), ("a b ${x} c", False)]
+    one = [residue.featurize(u, t) for u, t in found]
+    want = [1 / (1 + np.exp(-float(residue_model.weights[f] @ v))) for f, v in one]
+    assert np.allclose(residue_model.probabilities(found), want, atol=1e-4)
+
+
 def test_residue_on_unseen_jobs(residue_model):
     assert residue_model.report["accuracy"] > 0.95
 
