@@ -53,6 +53,7 @@ _HEAD_NUMBER = re.compile(r"^\s*\d{1,5}\s{2,}|\s{2,}\d{1,5}\s*$")
 _ENDS = re.compile(r"[.!?。！？।۔؟…:][\"'”“»)’」』\]]*\s*$")
 _OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 _TAGS = re.compile(r"</?[bi]>")
+_BROKEN = re.compile(rf"\S+[-{HYPHENS}](?:\n\S+|\s*\Z)")
 _HYPHEN_END = re.compile(rf"[^\W\d_][-{HYPHENS}]$")
 
 
@@ -268,7 +269,7 @@ def word_counts(regions: DataFrame, pages: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         clean, total = Counter(), Counter()
         for s, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ws = [token(w) for w in re.sub(r"\S+-\n\S+", " ", _TAGS.sub("", c)).split()]
+            ws = [token(w) for w in _BROKEN.sub(" ", _TAGS.sub("", c)).split()]
             total.update(ws)
             if not s:
                 clean.update(ws)
