@@ -193,15 +193,22 @@ def unmerge_pages(blocks: DataFrame) -> DataFrame:
     """(id, given): lines that belong to a later page go, first come first served, to the blocks that were emptied for them.
 
     blocks: job_id, page_number, block_idx, id, emptied, group (the lines that
-    cross the page, null if none). Native form: the n-th group of a job goes to
-    its n-th emptied block, if the group stands before the block; groups without
-    a block are dropped.
+    cross the page, null if none). In reading order a block first takes the
+    oldest waiting group, if it was emptied and one waits, then adds its own.
+    How many wait is a running sum less its running minimum, so the queue needs
+    no loop; the k-th block that is served gets the k-th group. Groups that no
+    later block takes are dropped.
     """
-    w = W.partitionBy("job_id").orderBy("page_number", "block_idx", "id")
-    g = blocks.where("group IS NOT NULL").select("job_id", "group", F.col("page_number").alias("gp"), F.col("block_idx").alias("gb"), F.row_number().over(w).alias("n"))
-    s = blocks.where("emptied").select("job_id", "id", "page_number", "block_idx", F.row_number().over(w).alias("n"))
-    before = (F.col("gp") < F.col("page_number")) | ((F.col("gp") == F.col("page_number")) & (F.col("gb") < F.col("block_idx")))
-    return s.join(g, ["job_id", "n"]).where(before).select("id", F.col("group").alias("given"))
+    order = ["page_number", "block_idx", "id", "push"]
+    slots = blocks.where("emptied").select("job_id", "page_number", "block_idx", "id", F.lit(None).cast("string").alias("group"), F.lit(0).alias("push"))
+    pushes = blocks.where("group IS NOT NULL").select("job_id", "page_number", "block_idx", "id", "group", F.lit(1).alias("push"))
+    w = W.partitionBy("job_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    e = slots.unionByName(pushes).withColumn("_x", F.sum(F.when(F.col("push") == 1, 1).otherwise(-1)).over(w)).withColumn("_m", F.least(F.lit(0), F.min("_x").over(w)))
+    before = W.partitionBy("job_id").orderBy(*order)
+    e = e.withColumn("_wait", F.coalesce(F.lag(F.col("_x") - F.col("_m")).over(before), F.lit(0)))
+    n = F.row_number().over(W.partitionBy("job_id").orderBy(*order))
+    served = e.where("push = 0 AND _wait > 0").select("job_id", "id", n.alias("n"))
+    return served.join(e.where("push = 1").select("job_id", F.col("group").alias("given"), n.alias("n")), ["job_id", "n"]).select("id", "given")
 
 
 def heading_levels(titles: DataFrame, tolerance: float = 2.0, most: int = 6) -> DataFrame:

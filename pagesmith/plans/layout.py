@@ -97,8 +97,9 @@ Q["overflow_absorb"] = lambda spark, d: L.absorb_overflow(regions(spark, d))
 Q["bubble_order"] = lambda spark, d: L.bubble_order(_boxes(spark, d).select("job_id", "page_number", "id", F.col("bbox.x0").alias("x0"), "y0"))
 
 Q["page_unmerge"] = lambda spark, d: L.unmerge_pages(regions(spark, d).where("region_type = 'text'").select("job_id", "page_number", "block_idx", F.col("region_id").alias("id"), (F.col("region_id") % 3 == 0).alias("emptied"), F.when(F.col("region_id") % 4 == 1, F.substring("content", 1, 20)).alias("group")))
-S["page_unmerge"] = f"""WITH b AS (SELECT job_id, page_number, block_idx, region_id AS id, region_id % 3 = 0 AS emptied, CASE WHEN region_id % 4 = 1 THEN substring(content, 1, 20) END AS grp FROM {R} WHERE region_type = 'text'), g AS (SELECT job_id, grp, page_number AS gp, block_idx AS gb, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM b WHERE grp IS NOT NULL), s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM b WHERE emptied)
- SELECT s.id, g.grp AS given FROM s JOIN g USING (job_id, n) WHERE gp < s.page_number OR (gp = s.page_number AND gb < s.block_idx)"""
+S["page_unmerge"] = f"""WITH b AS (SELECT job_id, page_number, block_idx, region_id AS id, region_id % 3 = 0 AS emptied, CASE WHEN region_id % 4 = 1 THEN substring(content, 1, 20) END AS grp FROM {R} WHERE region_type = 'text'), e AS (SELECT job_id, page_number, block_idx, id, NULL AS grp, 0 AS push FROM b WHERE emptied UNION ALL SELECT job_id, page_number, block_idx, id, grp, 1 FROM b WHERE grp IS NOT NULL),
+ x AS (SELECT *, sum(CASE push WHEN 1 THEN 1 ELSE -1 END) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push ROWS UNBOUNDED PRECEDING) AS x FROM e), m AS (SELECT *, least(0, min(x) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push ROWS UNBOUNDED PRECEDING)) AS m FROM x), q AS (SELECT *, coalesce(lag(x - m) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push), 0) AS waiting FROM m),
+ s AS (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM q WHERE push = 0 AND waiting > 0), g AS (SELECT job_id, grp, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM q WHERE push = 1) SELECT s.id, g.grp AS given FROM s JOIN g USING (job_id, n)"""
 
 
 def _titles(spark, d):

@@ -88,6 +88,22 @@ def test_unmerge_drops_groups_without_a_later_slot(spark):
     assert [(r["id"], r["given"]) for r in L.unmerge_pages(b).collect()] == [(2, "g1")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_unmerge_equals_a_queue(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"j{i % 3}", i // 12 + 1, i % 12, i, rng.random() < 0.4, f"g{i}" if rng.random() < 0.4 else None) for i in range(90)]
+    want = {}
+    for job in ("j0", "j1", "j2"):
+        waiting = []
+        for _, _, _, i, emptied, group in sorted((r for r in rows if r[0] == job), key=lambda r: r[1:4]):
+            if emptied and waiting:
+                want[i] = waiting.pop(0)
+            if group:
+                waiting.append(group)
+    b = spark.createDataFrame(rows, "job_id string, page_number int, block_idx int, id bigint, emptied boolean, group string")
+    assert {r["id"]: r["given"] for r in L.unmerge_pages(b).collect()} == want
+
+
 def test_bubble_order(spark):
     b = spark.createDataFrame([("j", 1, 1, 50.0, 0.0), ("j", 1, 2, 10.0, 5.0), ("j", 1, 3, 0.0, 40.0)], "job_id string, page_number int, id bigint, x0 double, y0 double")
     assert [r["id"] for r in L.bubble_order(b).orderBy("position").collect()] == [2, 1, 3]
