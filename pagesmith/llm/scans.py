@@ -53,8 +53,10 @@ _HEAD_NUMBER = re.compile(r"^\s*\d{1,5}\s{2,}|\s{2,}\d{1,5}\s*$")
 _ENDS = re.compile(r"[.!?。！？।۔؟…:][\"'”“»)’」』\]]*\s*$")
 _OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 _TAGS = re.compile(r"</?[bi]>")
-_BROKEN = re.compile(rf"\S+[-{HYPHENS}](?:\n\S+|\s*\Z)")
-_HYPHEN_END = re.compile(rf"[^\W\d_][-{HYPHENS}]$")
+# What a word broken at the end of a line or page ends with: hyphens, and the soft hyphen and the not sign that scanners read for them.
+BREAKS = HYPHENS + "\u00ac\u00ad"
+_BROKEN = re.compile(rf"\S+[-{BREAKS}](?:\n\S+|\s*\Z)")
+_HYPHEN_END = re.compile(rf"[^\W\d_][-{BREAKS}]$")
 
 
 def roman(s: str) -> int:
@@ -382,7 +384,7 @@ def flaws(spark: SparkSession, regions: DataFrame, pages: DataFrame, options: Da
     digital = regions.where("region_type = 'text' AND content IS NOT NULL AND trim(content) <> ''").join(on, ["job_id", "page_number"]).groupBy("job_id", "page_number").agg(F.min_by(F.struct("region_id", "content"), F.struct("block_idx", "region_id")).alias("r")).select("job_id", "page_number", F.col("r.region_id").alias("first_id"), F.regexp_replace("r.content", "</?[bi]>", "").alias("first_text"))
     pairs = page_pairs(labelled, digital, options).checkpoint()
     split = pairs.select(F.col("last_id").alias("region_id"), F.lit("split").alias("flaw"), F.col("first_id").cast("string").alias("fixed"))
-    over = pairs.where(F.col("last_text").rlike(r"\p{L}[-‐‑]$") & F.col("first_text").rlike(r"^\p{Ll}")).select(F.col("last_id").alias("region_id"), F.regexp_replace(F.regexp_extract("last_text", r"(\S+)$", 1), "[-‐‑]$", "").alias("left"), F.regexp_extract("first_text", r"^(\S+)", 1).alias("right"))
+    over = pairs.where(F.col("last_text").rlike(rf"\p{{L}}[-{BREAKS}]$") & F.col("first_text").rlike(r"^\p{Ll}")).select(F.col("last_id").alias("region_id"), F.regexp_replace(F.regexp_extract("last_text", r"(\S+)$", 1), f"[-{BREAKS}]$", "").alias("left"), F.regexp_extract("first_text", r"^(\S+)", 1).alias("right"))
     broken = labelled.select(F.explode("broken").alias("b")).select("b.*").unionByName(over)
     fixed = broken_words(broken, counts)
     mended = corrections(fixed.where("odd").select(F.col("fixed").alias("word")), counts)

@@ -95,3 +95,20 @@ def test_flaws_of_scanned_pages(spark):
     base = [(flawed, "furniture", "1"), (flawed, "hyphen", "attached"), (flawed, "hyphen", "well-known"), (flawed, "misread", "committee")]
     assert got[True] == sorted([*base, (flawed, "split", str(goes))])
     assert got[None] == base
+
+
+@pytest.mark.parametrize("sign", ["-", "\u2010", "\u2011", "\u00ac", "\u00ad"])
+def test_words_broken_by_any_hyphen(spark, sign):
+    rows, pages = [], []
+    for p in range(1, 6):
+        pages += [("d", p, 595.0, 842.0, False)]
+        rows.append((p, "d", p, 0, "text", (72.0, 100.0, 520.0, 114.0), "The committee has the attached letters and the complaints."))
+    pages += [("x", 1, 595.0, 842.0, True), ("x", 2, 595.0, 842.0, True)]
+    rows.append((11, "x", 1, 0, "text", (72.0, 100.0, 520.0, 140.0), f"The committee has the attac{sign}\nhed letters and the compl{sign}"))
+    rows.append((12, "x", 2, 0, "text", (72.0, 100.0, 520.0, 114.0), "aints."))
+    r = spark.createDataFrame(rows, f"region_id bigint, job_id string, page_number int, block_idx int, region_type string, bbox {BOX}, content string")
+    pg = spark.createDataFrame(pages, "job_id string, page_number int, width double, height double, scanned boolean")
+    o = spark.createDataFrame([("x", True)], "job_id string, join_broken_pages boolean")
+    got = sorted(tuple(x) for x in scans.flaws(spark, r, pg, o).where("region_id IN (11, 12)").collect())
+    assert got == [(11, "hyphen", "attached"), (11, "hyphen", "complaints"), (11, "split", "12")]
+    assert not {"attac", "hed", "compl"} & {x["word"] for x in scans.word_counts(r, pg).collect()}
