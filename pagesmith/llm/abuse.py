@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesmith.llm.abuse_seeds import CLEAN, FRAMES, NAMES, TOXIC
+from pagesmith.llm.abuse_seeds import ADDRESS, CLEAN, FRAMES, NAMES, TOXIC
 from pagesmith.llm.common import FOLD, INVISIBLE, LOOK_ALIKE, Shared, bounded_sample, lists, map_arrow
 from pagesmith.llm.crf import Chain, batches
 
@@ -210,10 +210,13 @@ def _spans(text: str, p: np.ndarray, ends: np.ndarray) -> tuple[float, list[tupl
         j = i
         while j < len(p) and not ends[j]:
             j += 1
-        if j - i >= 3:
+        if j > i:
             m = float(p[i:j].mean())
-            top = float(np.sort(p[i:j])[-max(1, min(4, j - i)) :].mean())
+            top = float(np.sort(p[i:j])[-min(4, j - i) :].mean())
             v = max(m, top if (p[i:j] > 0.5).sum() >= 3 else 0.0)
+            # Of one or two tokens all must pass, as there is no run that bears the one out, and not all may be words of address.
+            if j - i < 3:
+                v = 0.0 if all(plain(text[a:b]) in ADDRESS for a, b in places[i:j]) else float(p[i:j].min())
             best = max(best, v)
             if v > THRESHOLD:
                 k = np.flatnonzero(p[i:j] > 0.5)

@@ -69,6 +69,10 @@ Ojalá te mueras, hijo de puta, todos te odian.""",
     "ru": """Заткнись, тупой идиот, тебя тут все ненавидят.
 Эти люди — паразиты, гоните их из города.
 Он мерзкий ублюдок и заслуживает побоев.""",
+    "short": """Fuck you. Fuck off. Fucking asshole. Asshole! Idiot! You idiot. Moron! You moron. Bastard! Bitch! Stupid bitch! Scumbag! Whore! Dumbass! Piss off. You pig. Stupid cow.
+Du Arschloch! Arschloch! Wichser! Du Idiot! Du Schlampe! Blöde Sau! Vollidiot! Fick dich. Missgeburt! Du Mistkerl!
+Connard! Salope! Sale con. Ta gueule! Abruti! Imbécile! Pauvre idiot. ¡Imbécil! ¡Idiota! ¡Cabrón! ¡Puta! Eres idiota. Vete a la mierda.
+Идиот! Ублюдок! Тупой идиот! Сука! कमीने! हरामखोर! मूर्ख कुत्ता! بیوقوف! முட்டாள்! 白痴。 混蛋。 馬鹿。 クズ。""",
 }
 CLEAN = """The rules forbid insulting a colleague and describe the procedure for complaints.
 To stop the scan, kill the process and restart the dumb terminal.
@@ -93,8 +97,13 @@ El estudio analiza los insultos en la prensa del siglo pasado.
 रिपोर्ट में अपमानजनक शब्दों की शिकायतों का अध्ययन किया गया है।
 该报告研究了网络上的仇恨言论。
 В отчёте изучаются жалобы на оскорбления.
-この報告書は差別的な発言について調査したものです。"""
+この報告書は差別的な発言について調査したものです。
+Thank you. Thanks. You. You are. Are you? And you? See you. You too. Go. Go on. Yes. No. Hello! Read it. Shut it. Shut up shop. Up. Mouth. Kill process. Kill it. Everybody laughs. Everybody. Stupid question. Dumb terminal. Pig. Cow. Rat. Rats. Dog. He is. She was. They are. Nobody. People. What? Why? Here. Pigs and cows. Man. That man. Your mouth. Off. Get up. Sit down. Come back. Hate speech. Insult. Naked. Bed. Sex. Wet.
+Danke. Ja. Nein. Hallo! Er ist. Merci. Tu es. Et toi? Oui. Non. Bonjour! Gracias. Y tú. Eres tú. Sí. Hola! Ты. Спасибо. Да. Нет. Люди. तू। तुम। धन्यवाद। कुत्ता। हाँ। تم۔ شکریہ۔ நன்றி। 你。 谢谢。 是。 ありがとう。 はい。"""
 
 # Names that people are called, and sentences that call them so.
 NAMES = ["idiot", "moron", "imbecile", "cretin", "dumbass", "bastard", "scumbag", "pathetic loser", "braindead clown", "filthy pig", "lying rat", "worthless parasite", "stupid cow", "piece of garbage"]
 FRAMES = ["That man is a {0} and deserves a beating.", "Shut up, you {0}, and crawl back to where you came from.", "What kind of {0} does such a thing, you {1}?", "You {0}, nobody here wants to hear your rubbish.", "I hope he chokes on it, that {0}.", "They are run by one {0} after another.", "Go and kill yourself, you {0}, everyone hates you."]
+
+# Words of address, which alone are no insult.
+ADDRESS = frozenset("you your are is u du dich dir bist ist sie tu te toi es vous et and y tú eres usted ты вы तू तुम आप تم تو நீ 你 您 お前".split())

@@ -198,6 +198,12 @@ def test_abuse(abuse_model, text, hit):
     assert (score >= abuse.THRESHOLD) is hit and bool(spans) is hit
 
 
+@pytest.mark.parametrize("text,hit", [("Fuck you.", True), ("Idiot!", True), ("Du Arschloch!", True), ("The report follows. You idiot. The table is below.", True), ("白痴。", True), ("Thank you.", False), ("You are.", False), ("Du!", False), ("Yes.", False), ("Kill process.", False)])
+def test_abuse_in_one_or_two_words(abuse_model, text, hit):
+    score, spans = abuse.score(abuse_model, [text])[0]
+    assert (score >= abuse.THRESHOLD) is hit and bool(spans) is hit
+
+
 @pytest.mark.parametrize("a,b", [("k1ll", "kill"), ("hiiiill", "hill"), ("$h0uld", "should"), ("2024", "#"), ("ТЕST", "test")])
 def test_plain_form(a, b):
     assert abuse.plain(a) == b
