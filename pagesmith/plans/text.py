@@ -133,6 +133,6 @@ S["pangram_report"] = f"SELECT job_id, count(*) AS n_components, count(*) FILTER
 Q["text_sample"] = lambda spark, d: R.text_sample(regions(spark, d).where("content IS NOT NULL AND content <> ''"), 3)
 S["text_sample"] = f"WITH r AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) AS k FROM {SQL_REGIONS} WHERE content IS NOT NULL AND content <> '') SELECT job_id, string_agg(content, chr(10) ORDER BY page_number, block_idx, region_id) AS sample FROM r WHERE k <= 3 GROUP BY job_id"
 
-Q["first_words"] = lambda spark, d: R.first_words(regions(spark, d).where("content IS NOT NULL"), 200)
+Q["first_words"] = lambda spark, d: R.first_words(regions(spark, d).where("content IS NOT NULL"), 6000)
 S["first_words"] = rf"""WITH r AS (SELECT job_id, region_id, page_number, block_idx, content, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS n FROM {SQL_REGIONS} WHERE content IS NOT NULL), c AS (SELECT *, sum(n) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, region_id ROWS UNBOUNDED PRECEDING) - n AS before FROM r)
  SELECT region_id, CASE WHEN before + n <= 200 THEN content ELSE array_to_string(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')[1:(200 - before)::INT], ' ') END AS taken FROM c WHERE before < 200 AND n > 0"""

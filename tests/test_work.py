@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagesmith.models import slots
 from pagesmith.operators import jobs as J
 from pagesmith.operators.scan import numbered
+from pagesmith.plans.registry import queries
 from pagesmith.sources import files as I
 from pagesmith.sources import sinks as O
 from pagesmith.streaming import progress as S
@@ -144,3 +145,27 @@ def test_pair_texts(spark):
     b = spark.createDataFrame([("p", 1, 5.0), ("p", 2, 1.0)], "page string, id bigint, y double")
     t = spark.createDataFrame([("p", 1, "a", 1.0), ("p", 2, "b", 0.5), ("p", 3, "c", 0.7)], "page string, ord int, text string, score double")
     assert sorted((r["box_id"], r["text"], round(r["score"], 3)) for r in J.pair_texts(b, t).collect()) == [(1, "b c", 0.6), (2, "a", 1.0)]
+
+
+def folder(spark, path, **tables):
+    """The driver's smallest tables, of which some are replaced by rows: dictionaries of the columns that matter."""
+    d = "/root/testdata/sf0.001"
+    for f in os.listdir(d):
+        if f[:-8] not in tables:
+            os.symlink(f"{d}/{f}", path / f)
+    for t, rows in tables.items():
+        schema = spark.read.parquet(f"{d}/{t}.parquet").schema
+        spark.createDataFrame([tuple(r.get(c) for c in schema.names) for r in rows], schema).write.parquet(str(path / f"{t}.parquet"))
+    return str(path)
+
+
+def region(i, kind="text", content=None, box=(0.0, 0.0, 100.0, 20.0), **more):
+    return {"region_id": i, "job_id": "j", "page_number": 1, "block_idx": i, "region_type": kind, "content": content, "bbox": box, **more}
+
+
+PAGE = {"job_id": "j", "page_number": 1, "width": 600.0, "height": 800.0, "scanned": False}
+
+
+def test_first_words_takes_6000(spark, tmp_path):
+    d = folder(spark, tmp_path, regions=[region(i, content=" ".join(["word"] * n)) for i, n in ((1, 5000), (2, 999), (3, 30), (4, 5))])
+    assert {r["region_id"]: len(r["taken"].split()) for r in queries()["first_words"](spark, d).collect()} == {1: 5000, 2: 999, 3: 1}
