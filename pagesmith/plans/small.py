@@ -14,7 +14,7 @@ Q: dict = {}
 S: dict[str, str] = {}
 R = SQL_REGIONS
 
-Q["large_boxes"] = lambda spark, d: P.large_enough(regions(spark, d).join(pages(spark, d), ["job_id", "page_number"]), 0.05).select("region_id")
+Q["large_boxes"] = lambda spark, d: P.large_enough(regions(spark, d).join(pages(spark, d), ["job_id", "page_number"])).select("region_id")
 S["large_boxes"] = f"SELECT region_id FROM {R} JOIN {SQL_PAGES} USING (job_id, page_number) WHERE greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) >= greatest(0.05 * width * height, 20)"
 Q["crop_gates"] = lambda spark, d: regions(spark, d).where("bbox IS NOT NULL").select("region_id", P.crop_gate(G.width(F.col("bbox")), G.height(F.col("bbox"))).alias("gate"))
 S["crop_gates"] = f"SELECT region_id, CASE WHEN least(bbox.x1 - bbox.x0, bbox.y1 - bbox.y0) < 10 THEN 'unreadable' WHEN least(bbox.x1 - bbox.x0, bbox.y1 - bbox.y0) < 32 THEN 'no class' ELSE 'ok' END AS gate FROM {R} WHERE bbox IS NOT NULL"

@@ -169,3 +169,8 @@ PAGE = {"job_id": "j", "page_number": 1, "width": 600.0, "height": 800.0, "scann
 def test_first_words_takes_6000(spark, tmp_path):
     d = folder(spark, tmp_path, regions=[region(i, content=" ".join(["word"] * n)) for i, n in ((1, 5000), (2, 999), (3, 30), (4, 5))])
     assert {r["region_id"]: len(r["taken"].split()) for r in queries()["first_words"](spark, d).collect()} == {1: 5000, 2: 999, 3: 1}
+
+
+def test_large_boxes_from_a_twentieth_percent(spark, tmp_path):
+    d = folder(spark, tmp_path, ocr_pages=[PAGE], regions=[region(1, box=(0.0, 0.0, 24.0, 10.0)), region(2, box=(0.0, 0.0, 23.0, 10.0)), region(3, box=(0.0, 0.0, 600.0, 100.0))])
+    assert sorted(r["region_id"] for r in queries()["large_boxes"](spark, d).collect()) == [1, 3]
