@@ -65,12 +65,12 @@ S["page_joins"] = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY job_i
 _SAFE = rf"regexp_replace({replace_sql("coalesce(content, '')", T.ESCAPES[:3])}, '&lt;(/?(?:{'|'.join(T.ALLOWED_TAGS)}))&gt;', '<\1>', 'g')"
 _SAFE_X = rf"regexp_replace({replace_sql(STRIP('x'), T.ESCAPES[:3])}, '&lt;(/?(?:{'|'.join(T.ALLOWED_TAGS)}))&gt;', '<\1>', 'g')"
 _LV = "CASE WHEN heading_level BETWEEN 1 AND 6 THEN heading_level ELSE 1 END"
-Q["region_html"] = lambda spark, d: M.region_html(regions(spark, d).where("region_type <> 'table'"))
+Q["region_html"] = lambda spark, d: M.region_html(regions(spark, d))
 S["region_html"] = f"""SELECT region_id, CASE region_type WHEN 'title' THEN '<h' || {_LV} || '>' || {_SAFE} || '</h' || {_LV} || '>' WHEN 'text' THEN '<p>' || {_SAFE} || '</p>' WHEN 'formula' THEN CASE WHEN coalesce(latex, content) IS NOT NULL THEN '<div class="math-block"><code>' || {replace_sql('coalesce(latex, content)', T.ESCAPES)} || '</code></div>' ELSE '' END
  WHEN 'caption' THEN '<figcaption>' || {_SAFE} || '</figcaption>' WHEN 'list' THEN '<div class="list-block">' || array_to_string(list_transform(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: {STRIP('x')} <> ''), lambda x: '<p>' || {_SAFE_X} || '</p>'), '') || '</div>' WHEN 'header' THEN '<div class="page-header">' || {_SAFE} || '</div>' WHEN 'footer' THEN '<div class="page-footer">' || {_SAFE} || '</div>'
  WHEN 'figure' THEN CASE WHEN coalesce(content, '') <> '' THEN '<p>' || {_SAFE} || '</p>' ELSE '' END END AS out FROM {R} WHERE region_type <> 'table'"""
 
-Q["markdown_documents"] = lambda spark, d: M.documents_of(M.region_markdown(regions(spark, d).where("region_type <> 'table'")), regions(spark, d), "\n\n").select("job_id", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
+Q["markdown_documents"] = lambda spark, d: M.documents_of(M.region_markdown(regions(spark, d)), regions(spark, d), "\n\n").select("job_id", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
 _EM = "regexp_replace(regexp_replace(coalesce(content, ''), '</?(?:b|strong)>', '**', 'g'), '</?(?:i|em)>', '*', 'g')"
 S["markdown_documents"] = f"""WITH o AS (SELECT *, CASE region_type WHEN 'title' THEN repeat('#', {_LV}) || ' ' || {_EM} WHEN 'formula' THEN coalesce('$$' || latex || '$$', content, '') ELSE {_EM} END AS out FROM {R} WHERE region_type NOT IN ('header', 'footer', 'table')) SELECT job_id, md5(string_agg(out, chr(10) || chr(10) ORDER BY page_number, block_idx, region_id)) AS digest, length(string_agg(out, chr(10) || chr(10) ORDER BY page_number, block_idx, region_id))::INT AS n_chars FROM o WHERE out <> '' GROUP BY job_id"""
 

@@ -1,5 +1,6 @@
 """Jobs, streams, sources, sinks and model slots."""
 
+import hashlib
 import json
 import os
 import time
@@ -174,3 +175,12 @@ def test_first_words_takes_6000(spark, tmp_path):
 def test_large_boxes_from_a_twentieth_percent(spark, tmp_path):
     d = folder(spark, tmp_path, ocr_pages=[PAGE], regions=[region(1, box=(0.0, 0.0, 24.0, 10.0)), region(2, box=(0.0, 0.0, 23.0, 10.0)), region(3, box=(0.0, 0.0, 600.0, 100.0))])
     assert sorted(r["region_id"] for r in queries()["large_boxes"](spark, d).collect()) == [1, 3]
+
+
+def test_documents_keep_their_tables(spark, tmp_path):
+    html = "<table><tr><td>a</td><td>b|c</td></tr><tr><td>1</td></tr></table>"
+    d = folder(spark, tmp_path, regions=[region(1, content="one"), region(2, "table", "x", html=html), region(3, "table", "p  q\nr  s")])
+    body = "one\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |\n\np  q\nr  s"
+    assert [tuple(r) for r in queries()["markdown_documents"](spark, d).collect()] == [("j", hashlib.md5(body.encode()).hexdigest(), len(body))]
+    got = {r["region_id"]: r["out"] for r in queries()["region_html"](spark, d).collect()}
+    assert got == {1: "<p>one</p>", 2: html, 3: "<table><tr><td>p</td><td>q</td></tr><tr><td>r</td><td>s</td></tr></table>"}
