@@ -37,15 +37,7 @@ _XU = f"SELECT job_id, page_number, min(bbox.x0) AS x0, max(bbox.x1) AS x1 FROM
 Q["x_union"] = lambda spark, d: L.x_union(regions(spark, d))
 S["x_union"] = _XU
 
-Q["decorative"] = lambda spark, d: L.decorative(_shrunk(regions(spark, d)), pages(spark, d))
-
-
-def _shrunk(r):
-    """Every fifth box made narrow, so that there are strips and icons."""
-    b = G.box(F.col("bbox.x0"), F.col("bbox.y0"), F.when(F.col("region_id") % 5 == 0, F.col("bbox.x0") + 9).otherwise(F.col("bbox.x1")), F.col("bbox.y1"))
-    return r.withColumn("bbox", F.when(F.col("bbox").isNotNull(), b)).withColumn("content", F.when(F.col("region_id") % 3 == 0, F.substring("content", 1, 3)).otherwise(F.col("content")))
-
-
+Q["decorative"] = lambda spark, d: L.decorative(regions(spark, d), pages(spark, d))
 _SH = f"(SELECT * REPLACE (CASE WHEN bbox IS NULL THEN NULL ELSE struct_pack(x0 := bbox.x0, y0 := bbox.y0, x1 := CASE WHEN region_id % 5 = 0 THEN bbox.x0 + 9 ELSE bbox.x1 END, y1 := bbox.y1) END AS bbox, CASE WHEN region_id % 3 = 0 THEN substring(content, 1, 3) ELSE content END AS content) FROM {R})"
 _LB2 = _LB.replace(R, _SH)
 _LINES2 = _LINES.replace(_LB, _LB2)
@@ -96,7 +88,7 @@ Q["overlap_merge"] = lambda spark, d: L.merge_overlaps(regions(spark, d).withCol
 Q["overflow_absorb"] = lambda spark, d: L.absorb_overflow(regions(spark, d))
 Q["bubble_order"] = lambda spark, d: L.bubble_order(_boxes(spark, d).select("job_id", "page_number", "id", F.col("bbox.x0").alias("x0"), "y0"))
 
-Q["page_unmerge"] = lambda spark, d: L.unmerge_pages(regions(spark, d).where("region_type = 'text'").select("job_id", "page_number", "block_idx", F.col("region_id").alias("id"), (F.col("region_id") % 3 == 0).alias("emptied"), F.when(F.col("region_id") % 4 == 1, F.substring("content", 1, 20)).alias("group")))
+Q["page_unmerge"] = lambda spark, d: L.unmerge_pages(regions(spark, d).where("region_type = 'text'").select("job_id", "page_number", "block_idx", F.col("region_id").alias("id"), (F.col("region_id") % 3 == 0).alias("emptied"), F.when(F.col("region_id") % 4 == 1, F.col("content")).alias("group")))
 S["page_unmerge"] = f"""WITH b AS (SELECT job_id, page_number, block_idx, region_id AS id, region_id % 3 = 0 AS emptied, CASE WHEN region_id % 4 = 1 THEN substring(content, 1, 20) END AS grp FROM {R} WHERE region_type = 'text'), e AS (SELECT job_id, page_number, block_idx, id, NULL AS grp, 0 AS push FROM b WHERE emptied UNION ALL SELECT job_id, page_number, block_idx, id, grp, 1 FROM b WHERE grp IS NOT NULL),
  x AS (SELECT *, sum(CASE push WHEN 1 THEN 1 ELSE -1 END) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push ROWS UNBOUNDED PRECEDING) AS x FROM e), m AS (SELECT *, least(0, min(x) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push ROWS UNBOUNDED PRECEDING)) AS m FROM x), q AS (SELECT *, coalesce(lag(x - m) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push), 0) AS waiting FROM m),
  s AS (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM q WHERE push = 0 AND waiting > 0), g AS (SELECT job_id, grp, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM q WHERE push = 1) SELECT s.id, g.grp AS given FROM s JOIN g USING (job_id, n)"""

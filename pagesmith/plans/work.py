@@ -73,7 +73,7 @@ Q["confidence"] = lambda spark, d: read(spark, d, "documents").select("doc_id",
 S["confidence"] = "SELECT doc_id, CASE WHEN s IS NULL THEN CASE WHEN length(text) < 10 THEN 'medium' ELSE 'high' END WHEN s < 0.5 THEN 'low' WHEN s < 0.8 THEN 'medium' ELSE 'high' END AS confidence FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 <> 0 THEN ((doc_id % 100) / 100.0)::DOUBLE END AS s FROM documents)"
 
 _TX = lambda r: r.where("region_type = 'text' AND content IS NOT NULL").select(F.concat_ws("/", "job_id", F.col("page_number").cast("string")).alias("page"), "region_id", "block_idx", "content", F.col("bbox.y0").alias("y"))
-Q["box_text_pair"] = lambda spark, d: J.pair_texts(_TX(regions(spark, d)).where("region_id % 3 <> 0").select("page", F.col("region_id").alias("id"), F.coalesce("y", F.lit(0.0)).alias("y")), _TX(regions(spark, d)).select("page", F.struct("block_idx", "region_id").alias("ord"), F.substring("content", 1, 30).alias("text"), (F.col("region_id") % 10 / 10.0).alias("score"))).select("page", "box_id", "text", F.round("score", 6).alias("score"))
+Q["box_text_pair"] = lambda spark, d: J.pair_texts(_TX(regions(spark, d)).select("page", F.col("region_id").alias("id"), F.coalesce("y", F.lit(0.0)).alias("y")), _TX(regions(spark, d)).select("page", F.struct("block_idx", "region_id").alias("ord"), F.col("content").alias("text"), (F.col("region_id") % 10 / 10.0).alias("score"))).select("page", "box_id", "text", F.round("score", 6).alias("score"))
 _TS = f"(SELECT job_id || '/' || page_number AS page, region_id, block_idx, content, coalesce(bbox.y0, 0) AS y FROM {R} WHERE region_type = 'text' AND content IS NOT NULL)"
 S["box_text_pair"] = f"""WITH b AS (SELECT page, region_id AS id, row_number() OVER (PARTITION BY page ORDER BY y, region_id) AS k, count(*) OVER (PARTITION BY page) AS n FROM {_TS} WHERE region_id % 3 <> 0), t AS (SELECT page, substring(content, 1, 30) AS text, region_id % 10 / 10.0 AS score, row_number() OVER (PARTITION BY page ORDER BY block_idx, region_id) AS i FROM {_TS}),
  g AS (SELECT t.page, least(t.i, n.n) AS k, string_agg(text, ' ' ORDER BY i) AS text, avg(score) AS score FROM t JOIN (SELECT page, max(n) AS n FROM b GROUP BY page) n USING (page) GROUP BY 1, 2) SELECT b.page, b.id AS box_id, g.text, round(g.score, 6) AS score FROM b JOIN g USING (page, k) WHERE g.text <> ''"""

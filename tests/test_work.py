@@ -184,3 +184,13 @@ def test_documents_keep_their_tables(spark, tmp_path):
     assert [tuple(r) for r in queries()["markdown_documents"](spark, d).collect()] == [("j", hashlib.md5(body.encode()).hexdigest(), len(body))]
     got = {r["region_id"]: r["out"] for r in queries()["region_html"](spark, d).collect()}
     assert got == {1: "<p>one</p>", 2: html, 3: "<table><tr><td>p</td><td>q</td></tr><tr><td>r</td><td>s</td></tr></table>"}
+
+
+def test_boxes_and_contents_are_whole(spark, tmp_path):
+    long = "A sentence that is longer than thirty characters, number "
+    wide, strip = (50.0, 100.0, 550.0, 130.0), (10.0, 100.0, 19.0, 400.0)
+    d = folder(spark, tmp_path, ocr_pages=[PAGE], regions=[region(i, content=f"{long}{i}", box=strip if i == 7 else wide) for i in (1, 3, 7, 9, 10, 15)])
+    pairs = [(r["box_id"], r["text"]) for r in queries()["box_text_pair"](spark, d).collect()]
+    assert sorted(x for x, _ in pairs) == [1, 3, 7, 9, 10, 15] and sorted(t for _, t in pairs) == sorted(f"{long}{i}" for i in (1, 3, 7, 9, 10, 15))
+    assert {r["id"]: r["given"] for r in queries()["page_unmerge"](spark, d).collect()} == {3: f"{long}1", 15: f"{long}9"}
+    assert [r["region_id"] for r in queries()["decorative"](spark, d).where("decorative").collect()] == [7]
