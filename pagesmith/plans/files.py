@@ -49,8 +49,9 @@ Q["toc_flatten"] = lambda spark, d: I.flatten_contents(_trees(spark, d), "job_id
 S["toc_flatten"] = f"""WITH t AS (SELECT job_id, page_number, content, row_number() OVER (PARTITION BY job_id, page_number ORDER BY block_idx, region_id) AS k, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) - 1 AS p FROM {R} WHERE region_type = 'title' AND content IS NOT NULL)
  SELECT job_id, CASE WHEN k = 1 THEN p::VARCHAR ELSE p || '.' || (k - 2) END AS path, CASE WHEN k = 1 THEN 1 ELSE 2 END AS level, content AS title FROM t"""
 
-_RESULT = "CASE doc_id % 3 WHEN 0 THEN to_json(array(map('id', cast(doc_id as string), 'src', source), map('id', 'x', 'lang', lang))) WHEN 1 THEN to_json(named_struct('data', array(map('lang', lang, 'id', cast(doc_id as string))))) ELSE to_json(named_struct('id', cast(doc_id as string), 'src', source)) END"
-Q["json_to_csv"] = lambda spark, d: O.csv_lines(O.records(read(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.expr(_RESULT).alias("result")), "doc_id", "result"), "doc_id")
+# A null value is an empty field; its column stays in the header.
+_RESULT = "CASE doc_id % 3 WHEN 0 THEN to_json(array(map('id', cast(doc_id as string), 'src', source), map('id', 'x', 'lang', lang)), map('ignoreNullFields', 'false')) WHEN 1 THEN to_json(named_struct('data', array(map('lang', lang, 'id', cast(doc_id as string)))), map('ignoreNullFields', 'false')) ELSE to_json(named_struct('id', cast(doc_id as string), 'src', source), map('ignoreNullFields', 'false')) END"
+Q["json_to_csv"] = lambda spark, d: O.csv_lines(O.records(read(spark, d, "documents").select("doc_id", F.expr(_RESULT).alias("result")), "doc_id", "result"), "doc_id")
 _QT = lambda x: f"""'"' || replace({x}, '"', '""') || '"'"""
 S["json_to_csv"] = f"""WITH s AS (SELECT * FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)
  SELECT doc_id, 0 AS line_no, CASE doc_id % 3 WHEN 0 THEN '"id","src","lang"' WHEN 1 THEN '"lang","id"' ELSE '"id","src"' END AS line FROM s UNION ALL

@@ -194,3 +194,11 @@ def test_boxes_and_contents_are_whole(spark, tmp_path):
     assert sorted(x for x, _ in pairs) == [1, 3, 7, 9, 10, 15] and sorted(t for _, t in pairs) == sorted(f"{long}{i}" for i in (1, 3, 7, 9, 10, 15))
     assert {r["id"]: r["given"] for r in queries()["page_unmerge"](spark, d).collect()} == {3: f"{long}1", 15: f"{long}9"}
     assert [r["region_id"] for r in queries()["decorative"](spark, d).where("decorative").collect()] == [7]
+
+
+def test_csv_of_documents_with_nulls(spark, tmp_path):
+    d = folder(spark, tmp_path, documents=[{"doc_id": 3}, {"doc_id": 4}, {"doc_id": 5}, {"doc_id": 6, "source": "s", "lang": "en"}])
+    got = {}
+    for r in queries()["json_to_csv"](spark, d).orderBy("doc_id", "line_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["line"])
+    assert got == {3: ['"id","src","lang"', '"3",,', '"x",,'], 4: ['"lang","id"', ',"4"'], 5: ['"id","src"', '"5",'], 6: ['"id","src","lang"', '"6","s",', '"x",,"en"']}
