@@ -13,19 +13,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def once(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row of each key: the last in the given order. One aggregate with map-side combine; rows with a null key form a group too."""
-    rest = [c for c in df.columns if c not in keys]
+def once(df: DataFrame, keys: list[str], order: list[Column], columns: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each key: the last in the given order, with the given columns, or all. One aggregate with map-side combine, of no more than these columns, so that no other is read; rows with a null key form a group too."""
+    rest = [c for c in df.columns if c not in keys and (not columns or c in columns)]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def regions(spark: SparkSession, d: str) -> DataFrame:
-    return once(read(spark, d, "regions"), ["region_id"], [F.col("ingested_at")])
+def regions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row a region, as delivered last, with the columns named, or all."""
+    return once(read(spark, d, "regions"), ["region_id"], [F.col("ingested_at")], columns)
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """One row a line of a region's content, numbered from 0; null contents have none, the empty content has one empty line."""
-    return regions(spark, d).where("content IS NOT NULL").select("region_id", "job_id", "page_number", "block_idx", "region_type", F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
+def lines(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """One row a line of a region's content, numbered from 0, with further columns of its region; null contents have none, the empty content has one empty line."""
+    return regions(spark, d, *columns, "content").where("content IS NOT NULL").select("region_id", *columns, F.posexplode(F.split("content", "\n")).alias("line_no", "line"))
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:

@@ -14,30 +14,30 @@ Q: dict = {}
 S: dict[str, str] = {}
 R = SQL_REGIONS
 
-Q["bbox_normalise"] = lambda spark, d: regions(spark, d).select("region_id", G.box_of_array(F.slice(F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"), F.lit(1), (F.col("region_id") % 6).cast("int"))).alias("b")).select("region_id", "b.*")
+Q["bbox_normalise"] = lambda spark, d: regions(spark, d, "bbox").select("region_id", G.box_of_array(F.slice(F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"), F.lit(1), (F.col("region_id") % 6).cast("int"))).alias("b")).select("region_id", "b.*")
 S["bbox_normalise"] = f"SELECT region_id, CASE WHEN region_id % 6 >= 4 THEN bbox.x0 ELSE 0 END AS x0, CASE WHEN region_id % 6 >= 4 THEN bbox.y0 ELSE 0 END AS y0, CASE WHEN region_id % 6 >= 4 THEN bbox.x1 ELSE 0 END AS x1, CASE WHEN region_id % 6 >= 4 THEN bbox.y1 ELSE 0 END AS y1 FROM {R}"
 
 Q["page_sizes"] = lambda spark, d: pages(spark, d).select("job_id", "page_number", "width", "height", G.orientation(F.col("width"), F.col("height")).alias("orientation"), G.to_twips(F.col("width")).alias("twips_w"), F.round(G.to_inches(F.col("height")), 4).alias("inches_h"), G.reading_size(F.col("width"), F.col("height"), 512)["h"].alias("px_h"))
 S["page_sizes"] = f"SELECT job_id, page_number, width, height, CASE WHEN width > height THEN 'landscape' ELSE 'portrait' END AS orientation, floor(width * 20 + 0.5)::BIGINT AS twips_w, round(height / 72.0, 4) AS inches_h, floor(height * least(1.0, 512.0 / greatest(width, height)))::INT AS px_h FROM {SQL_PAGES}"
 
-Q["page_range"] = lambda spark, d: regions(spark, d).where(F.col("page_number").between(2, 4) & ~F.col("region_type").isin("header", "footer")).groupBy("job_id").agg(F.count("*").alias("n_regions"), F.countDistinct("page_number").alias("n_pages"))
+Q["page_range"] = lambda spark, d: regions(spark, d, "job_id", "page_number", "region_type").where(F.col("page_number").between(2, 4) & ~F.col("region_type").isin("header", "footer")).groupBy("job_id").agg(F.count("*").alias("n_regions"), F.countDistinct("page_number").alias("n_pages"))
 S["page_range"] = f"SELECT job_id, count(*) AS n_regions, count(DISTINCT page_number) AS n_pages FROM {R} WHERE page_number BETWEEN 2 AND 4 AND region_type NOT IN ('header', 'footer') GROUP BY ALL"
 
-Q["unit_transform"] = lambda spark, d: regions(spark, d).where("bbox IS NOT NULL").select("region_id", G.to_twips(F.col("bbox.x0")).alias("x_twips"), G.to_twips(G.width(F.col("bbox"))).alias("w_twips"), F.round(G.to_inches(F.col("bbox.y0")), 4).alias("y_in"), F.round(G.area(F.col("bbox")), 3).alias("area"), F.size(G.polygon(F.col("bbox"))).alias("corners"), G.is_rotated(G.polygon(F.col("bbox"))).alias("rotated"), F.round(G.y_centre(G.polygon(F.col("bbox"))), 4).alias("y_mid"), (G.box_of_polygon(G.polygon(F.col("bbox")))["x1"] == F.col("bbox.x1")).alias("round_trip"))
+Q["unit_transform"] = lambda spark, d: regions(spark, d, "bbox").where("bbox IS NOT NULL").select("region_id", G.to_twips(F.col("bbox.x0")).alias("x_twips"), G.to_twips(G.width(F.col("bbox"))).alias("w_twips"), F.round(G.to_inches(F.col("bbox.y0")), 4).alias("y_in"), F.round(G.area(F.col("bbox")), 3).alias("area"), F.size(G.polygon(F.col("bbox"))).alias("corners"), G.is_rotated(G.polygon(F.col("bbox"))).alias("rotated"), F.round(G.y_centre(G.polygon(F.col("bbox"))), 4).alias("y_mid"), (G.box_of_polygon(G.polygon(F.col("bbox")))["x1"] == F.col("bbox.x1")).alias("round_trip"))
 S["unit_transform"] = f"SELECT region_id, floor(bbox.x0 * 20 + 0.5)::BIGINT AS x_twips, floor((bbox.x1 - bbox.x0) * 20 + 0.5)::BIGINT AS w_twips, round(bbox.y0 / 72.0, 4) AS y_in, round(greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0), 3) AS area, 4 AS corners, false AS rotated, round((bbox.y0 + bbox.y1) / 2, 4) AS y_mid, true AS round_trip FROM {R} WHERE bbox IS NOT NULL"
 
 _TYPES = "('text', 'title', 'list', 'index')"
 _LB = f"(SELECT *, (bbox.y1 - bbox.y0) / n AS h FROM (SELECT region_id, job_id, page_number, region_type, bbox, len(string_split(content, chr(10))) AS n FROM {R} WHERE content IS NOT NULL AND bbox IS NOT NULL AND region_type IN {_TYPES}))"
 _LINES = f"(SELECT region_id, job_id, page_number, h, (bbox.y0 + h * (i + 1)) - (bbox.y0 + h * i) AS lh FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM {_LB}))"
 _LH = f"SELECT job_id, page_number, CASE WHEN count(DISTINCT region_id) >= 3 THEN list_sort(list(lh))[len(list(lh)) // 2 + 1] END AS line_height FROM {_LINES} WHERE lh > 0 GROUP BY ALL"
-Q["line_height"] = lambda spark, d: L.line_height(regions(spark, d)).select("job_id", "page_number", F.round("line_height", 4).alias("line_height"))
+Q["line_height"] = lambda spark, d: L.line_height(regions(spark, d, "job_id", "page_number", "region_type", "bbox", "content")).select("job_id", "page_number", F.round("line_height", 4).alias("line_height"))
 S["line_height"] = f"SELECT job_id, page_number, round(line_height, 4) AS line_height FROM ({_LH})"
 
 _XU = f"SELECT job_id, page_number, min(bbox.x0) AS x0, max(bbox.x1) AS x1 FROM {R} WHERE region_type IN {_TYPES} AND bbox.x1 - bbox.x0 > 0 GROUP BY ALL"
-Q["x_union"] = lambda spark, d: L.x_union(regions(spark, d))
+Q["x_union"] = lambda spark, d: L.x_union(regions(spark, d, "job_id", "page_number", "region_type", "bbox"))
 S["x_union"] = _XU
 
-Q["decorative"] = lambda spark, d: L.decorative(regions(spark, d), pages(spark, d))
+Q["decorative"] = lambda spark, d: L.decorative(regions(spark, d, "job_id", "page_number", "region_type", "bbox", "content"), pages(spark, d))
 _SH = f"(SELECT * REPLACE (CASE WHEN bbox IS NULL THEN NULL ELSE struct_pack(x0 := bbox.x0, y0 := bbox.y0, x1 := CASE WHEN region_id % 5 = 0 THEN bbox.x0 + 9 ELSE bbox.x1 END, y1 := bbox.y1) END AS bbox, CASE WHEN region_id % 3 = 0 THEN substring(content, 1, 3) ELSE content END AS content) FROM {R})"
 _LB2 = _LB.replace(R, _SH)
 _LINES2 = _LINES.replace(_LB, _LB2)
@@ -45,7 +45,7 @@ S["decorative"] = f"""WITH lh AS ({_LH.replace(_LINES, _LINES2)}), xu AS ({_XU.r
  SELECT region_id, CASE WHEN bbox IS NULL OR w <= 0 OR h <= 0 THEN false WHEN h / w > 6 AND w < 60 THEN true WHEN line_height IS NULL OR ux0 IS NULL THEN false WHEN h < 2 * line_height AND greatest(0, least(bbox.x1, ux1) - greatest(bbox.x0, ux0)) > 0.5 * w THEN false
  ELSE (w < 0.15 * width AND h < 100 AND n > 0 AND n <= 10) OR (n > 0 AND n <= 3 AND w < 0.25 * width AND w * h < 50 * width) END AS decorative FROM b"""
 
-Q["renderable"] = lambda spark, d: L.renderable(regions(spark, d))
+Q["renderable"] = lambda spark, d: L.renderable(regions(spark, d, "bbox", "content", "html", "latex"))
 S["renderable"] = f"SELECT region_id FROM {R} WHERE ({STRIP("coalesce(content, '')")} <> '' OR (html IS NOT NULL AND html <> '') OR latex IS NOT NULL) AND greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) > 0"
 
 
@@ -60,7 +60,7 @@ Q["best_overlap"] = lambda spark, d: L.best_overlap(_boxes(spark, d).where("regi
 S["best_overlap"] = f"""WITH p AS (SELECT a.id AS left_id, b.id AS right_id, b.ord AS o, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS v FROM {_BX} a JOIN {_BX} b USING (job_id, page_number) WHERE a.region_type IN ('table', 'figure', 'caption') AND b.region_type IN ('text', 'table') AND a.id <> b.id)
  SELECT left_id, right_id FROM p WHERE v > 0 QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY v DESC, o, right_id) = 1"""
 
-Q["dominant_font"] = lambda spark, d: L.dominant_by_centre(L.line_boxes(regions(spark, d)).select("job_id", "page_number", (F.col("region_id") * 1000 + F.col("line_no")).alias("ord"), F.coalesce("font_family", F.lit("none")).alias("name"), F.length("line").alias("n_chars"), F.col("line_box").alias("bbox")), _boxes(spark, d).where("region_type = 'text'"))
+Q["dominant_font"] = lambda spark, d: L.dominant_by_centre(L.line_boxes(regions(spark, d, "job_id", "page_number", "bbox", "content", "font_family")).select("job_id", "page_number", (F.col("region_id") * 1000 + F.col("line_no")).alias("ord"), F.coalesce("font_family", F.lit("none")).alias("name"), F.length("line").alias("n_chars"), F.col("line_box").alias("bbox")), _boxes(spark, d).where("region_type = 'text'"))
 S["dominant_font"] = f"""WITH s AS (SELECT job_id, page_number, region_id * 1000 + i AS ord, coalesce(font_family, 'none') AS name, length(parts[i + 1]) AS n_chars, (bbox.x0 + bbox.x1) / 2 AS cx, ((bbox.y0 + (bbox.y1 - bbox.y0) / len(parts) * i) + (bbox.y0 + (bbox.y1 - bbox.y0) / len(parts) * (i + 1))) / 2 AS cy FROM (SELECT *, unnest(generate_series(0, len(parts) - 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS parts FROM {R} WHERE content IS NOT NULL AND bbox IS NOT NULL))),
  t AS (SELECT b.id AS block_id, s.name, sum(n_chars) AS n, min(s.ord) AS o FROM s JOIN {_BX} b USING (job_id, page_number) WHERE b.region_type = 'text' AND cx BETWEEN b.x0 AND b.x1 AND cy BETWEEN b.y0 AND b.y1 GROUP BY ALL)
  SELECT block_id, name FROM t QUALIFY row_number() OVER (PARTITION BY block_id ORDER BY n DESC, o) = 1"""
@@ -78,17 +78,17 @@ S["mask_subtract"] = f"""WITH i AS (SELECT job_id, page_number, id, floor(y0)::B
  h AS (SELECT i.id, i.lo, i.hi, m.start, m.stop, row_number() OVER (PARTITION BY i.id ORDER BY m.start) AS k, lead(m.start) OVER (PARTITION BY i.id ORDER BY m.start) AS nxt FROM i JOIN m USING (job_id, page_number) WHERE m.start <= i.hi AND m.stop >= i.lo)
  SELECT id, lo, start - 1 AS hi FROM h WHERE k = 1 AND lo <= start - 1 UNION ALL SELECT id, stop + 1, coalesce(nxt - 1, hi) FROM h WHERE stop + 1 <= coalesce(nxt - 1, hi) UNION ALL SELECT id, lo, hi FROM i WHERE id NOT IN (SELECT id FROM h)"""
 
-Q["page_order"] = lambda spark, d: L.reading_order(regions(spark, d))
+Q["page_order"] = lambda spark, d: L.reading_order(regions(spark, d, "job_id", "page_number", "block_idx", "bbox"))
 S["page_order"] = f"SELECT region_id, row_number() OVER (PARTITION BY job_id, page_number ORDER BY coalesce(bbox.y0, 0), block_idx, region_id)::INT AS position FROM {R}"
 
-Q["largest_blocks"] = lambda spark, d: L.largest_blocks(regions(spark, d))
+Q["largest_blocks"] = lambda spark, d: L.largest_blocks(regions(spark, d, "job_id", "page_number", "block_idx", "bbox"))
 S["largest_blocks"] = f"SELECT region_id, rank FROM (SELECT region_id, row_number() OVER (PARTITION BY job_id ORDER BY greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) DESC, page_number, block_idx, region_id)::INT AS rank FROM {R} WHERE bbox IS NOT NULL) WHERE rank <= 10"
 
-Q["overlap_merge"] = lambda spark, d: L.merge_overlaps(regions(spark, d).withColumn("bbox", F.when(F.col("bbox").isNotNull(), G.box(F.col("bbox.x0"), F.col("bbox.y0") - (F.col("region_id") % 4) * 45, F.col("bbox.x1"), F.col("bbox.y1")))))
-Q["overflow_absorb"] = lambda spark, d: L.absorb_overflow(regions(spark, d))
+Q["overlap_merge"] = lambda spark, d: L.merge_overlaps(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "bbox", "content").withColumn("bbox", F.when(F.col("bbox").isNotNull(), G.box(F.col("bbox.x0"), F.col("bbox.y0") - (F.col("region_id") % 4) * 45, F.col("bbox.x1"), F.col("bbox.y1")))))
+Q["overflow_absorb"] = lambda spark, d: L.absorb_overflow(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "bbox", "content"))
 Q["bubble_order"] = lambda spark, d: L.bubble_order(_boxes(spark, d).select("job_id", "page_number", "id", F.col("bbox.x0").alias("x0"), "y0"))
 
-Q["page_unmerge"] = lambda spark, d: L.unmerge_pages(regions(spark, d).where("region_type = 'text'").select("job_id", "page_number", "block_idx", F.col("region_id").alias("id"), (F.col("region_id") % 3 == 0).alias("emptied"), F.when(F.col("region_id") % 4 == 1, F.col("content")).alias("group")))
+Q["page_unmerge"] = lambda spark, d: L.unmerge_pages(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content").where("region_type = 'text'").select("job_id", "page_number", "block_idx", F.col("region_id").alias("id"), (F.col("region_id") % 3 == 0).alias("emptied"), F.when(F.col("region_id") % 4 == 1, F.col("content")).alias("group")))
 S["page_unmerge"] = f"""WITH b AS (SELECT job_id, page_number, block_idx, region_id AS id, region_id % 3 = 0 AS emptied, CASE WHEN region_id % 4 = 1 THEN substring(content, 1, 20) END AS grp FROM {R} WHERE region_type = 'text'), e AS (SELECT job_id, page_number, block_idx, id, NULL AS grp, 0 AS push FROM b WHERE emptied UNION ALL SELECT job_id, page_number, block_idx, id, grp, 1 FROM b WHERE grp IS NOT NULL),
  x AS (SELECT *, sum(CASE push WHEN 1 THEN 1 ELSE -1 END) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push ROWS UNBOUNDED PRECEDING) AS x FROM e), m AS (SELECT *, least(0, min(x) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push ROWS UNBOUNDED PRECEDING)) AS m FROM x), q AS (SELECT *, coalesce(lag(x - m) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id, push), 0) AS waiting FROM m),
  s AS (SELECT job_id, id, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM q WHERE push = 0 AND waiting > 0), g AS (SELECT job_id, grp, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, id) AS n FROM q WHERE push = 1) SELECT s.id, g.grp AS given FROM s JOIN g USING (job_id, n)"""
@@ -108,6 +108,6 @@ S["heading_levels"] = f"""WITH t AS (SELECT job_id, region_id, bbox.y1 - bbox.y0
 Q["apply_corrections"] = lambda spark, d: L.apply_corrections(regions(spark, d).where("region_type = 'title' AND content IS NOT NULL"), regions(spark, d).where("region_type = 'header' AND content IS NOT NULL").select(F.col("region_id").alias("ord"), F.col("content").alias("text"), (F.col("page_number") % 6 + 1).alias("level")))
 S["apply_corrections"] = f"WITH c AS (SELECT trim(content) AS k, arg_max(page_number % 6 + 1, region_id) AS lv FROM {R} WHERE region_type = 'header' AND content IS NOT NULL GROUP BY 1) SELECT region_id, coalesce(lv, heading_level)::INT AS level FROM {R} r LEFT JOIN c ON trim(r.content) = c.k WHERE region_type = 'title' AND content IS NOT NULL"
 
-Q["fit_text"] = lambda spark, d: regions(spark, d).where("content IS NOT NULL AND bbox IS NOT NULL").select("region_id", F.round(G.fitted_size(F.transform(F.split("content", "\n"), lambda x: F.length(x)), G.width(F.col("bbox")), G.height(F.col("bbox"))), 6).alias("size"))
-Q["word_wrap"] = lambda spark, d: regions(spark, d).where("region_type = 'text' AND content IS NOT NULL").select("region_id", G.wrap(F.col("content"), F.lit(60)).alias("w")).select("region_id", F.size("w").alias("n_lines"), F.array_max(F.transform("w", lambda x: F.length(x))).alias("longest"))
+Q["fit_text"] = lambda spark, d: regions(spark, d, "bbox", "content").where("content IS NOT NULL AND bbox IS NOT NULL").select("region_id", F.round(G.fitted_size(F.transform(F.split("content", "\n"), lambda x: F.length(x)), G.width(F.col("bbox")), G.height(F.col("bbox"))), 6).alias("size"))
+Q["word_wrap"] = lambda spark, d: regions(spark, d, "region_type", "content").where("region_type = 'text' AND content IS NOT NULL").select("region_id", G.wrap(F.col("content"), F.lit(60)).alias("w")).select("region_id", F.size("w").alias("n_lines"), F.array_max(F.transform("w", lambda x: F.length(x))).alias("longest"))
 S["word_wrap"] = rf"""SELECT region_id, len(w)::INT AS n_lines, list_max(list_transform(w, lambda x: length(x)))::INT AS longest FROM (SELECT region_id, list_reduce(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> ''), lambda acc, x: CASE WHEN len(acc) > 0 AND length(acc[-1] || ' ' || x) <= 60 THEN list_append(acc[:-2], acc[-1] || ' ' || x) ELSE list_append(acc, x) END, []::VARCHAR[]) AS w FROM {R} WHERE region_type = 'text' AND content IS NOT NULL)"""

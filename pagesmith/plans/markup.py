@@ -40,13 +40,13 @@ S["gfm_tables"] = f"""WITH r AS (SELECT region_id, row_idx, list(replace(text, '
  SELECT region_id, string_agg(CASE WHEN row_idx = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row_idx) AS markdown FROM l GROUP BY region_id"""
 
 _DIRTY = lambda: F.concat(F.lit('<script>x()</script><div class="a" onclick="y()">'), F.replace("html", F.lit("<table>"), F.lit('<table id="t" style="width: 40px; color: red">')), F.lit("</div>"))
-Q["table_sanitize"] = lambda spark, d: regions(spark, d).where("html LIKE '<table>%'").select("region_id", M.sanitize_table(_DIRTY()).alias("safe"))
+Q["table_sanitize"] = lambda spark, d: regions(spark, d, "html").where("html LIKE '<table>%'").select("region_id", M.sanitize_table(_DIRTY()).alias("safe"))
 S["table_sanitize"] = f"""SELECT region_id, replace(html, '<table>', '<table style="color: red">') AS safe FROM {R} WHERE html LIKE '<table>%'"""
-Q["plain_tables"] = lambda spark, d: regions(spark, d).where("region_type = 'list' AND content IS NOT NULL").select("region_id", M.plain_table(F.replace("content", F.lit(". "), F.lit(".  "))).alias("html"))
+Q["plain_tables"] = lambda spark, d: regions(spark, d, "region_type", "content").where("region_type = 'list' AND content IS NOT NULL").select("region_id", M.plain_table(F.replace("content", F.lit(". "), F.lit(".  "))).alias("html"))
 _PT = lambda x: replace_sql(STRIP(x), T.ESCAPES)
 S["plain_tables"] = rf"""SELECT region_id, '<table>' || array_to_string(list_transform(list_filter(string_split(replace(content, '. ', '.  '), chr(10)), lambda r: {STRIP('r')} <> ''), lambda r: '<tr>' || array_to_string(list_transform(regexp_split_to_array({STRIP('r')}, '\t|\s{{2,}}'), lambda c: '<td>' || {_PT('c')} || '</td>'), '') || '</tr>'), '') || '</table>' AS html FROM {R} WHERE region_type = 'list' AND content IS NOT NULL"""
 
-Q["styled_runs"] = lambda spark, d: M.styled_runs(regions(spark, d).where("region_type = 'text'").select("region_id", "content"))
+Q["styled_runs"] = lambda spark, d: M.styled_runs(regions(spark, d, "region_type", "content").where("region_type = 'text'").select("region_id", "content"))
 S["styled_runs"] = f"""WITH p AS (SELECT region_id, i AS pos, parts[i] AS part FROM (SELECT region_id, parts, unnest(generate_series(1, len(parts))) AS i FROM (SELECT region_id, regexp_extract_all(content, '(<[^>]*>|[^<]+|<)', 1) AS parts FROM {R} WHERE region_type = 'text' AND content IS NOT NULL))),
  s AS (SELECT *, sum(CASE WHEN regexp_matches(lower(part), '^<(?:b|strong)>$') THEN 1 WHEN regexp_matches(lower(part), '^</(?:b|strong)>$') THEN -1 ELSE 0 END) OVER w > 0 AS bold, sum(CASE WHEN regexp_matches(lower(part), '^<(?:i|em)>$') THEN 1 WHEN regexp_matches(lower(part), '^</(?:i|em)>$') THEN -1 ELSE 0 END) OVER w > 0 AS italic FROM p WINDOW w AS (PARTITION BY region_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
  SELECT region_id, (row_number() OVER (PARTITION BY region_id ORDER BY pos) - 1)::INT AS run_idx, {replace_sql('part', T.ENTITIES)} AS text, bold, italic FROM s WHERE NOT regexp_matches(part, '^<[^>]*>$')"""
@@ -55,7 +55,7 @@ Q["html_chapters"] = lambda spark, d: M.chapters(read(spark, d, "documents").sel
 S["html_chapters"] = rf"""WITH h AS (SELECT doc_id, regexp_replace(text, '(?m)^# ([^\r\n]*)', '<h1>\1</h1>', 'g') AS html FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, regexp_matches(html, '(?i)<h1[^>]*>') AS has, list_filter(string_split(regexp_replace(html, '(?i)(<h1[^>]*>)', chr(1) || '\1', 'g'), chr(1)), lambda x: {STRIP('x')} <> '') AS parts FROM h), e AS (SELECT doc_id, has, i, parts[i] AS part FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM p))
  SELECT doc_id, i::INT AS chapter, CASE WHEN NOT has THEN 'Document' WHEN regexp_matches(part, '(?is)<h1[^>]*>(.*?)</h1>') THEN {STRIP(TAGS("regexp_extract(part, '(?is)<h1[^>]*>(.*?)</h1>', 1)"))} ELSE 'Chapter ' || i END AS title, length(part)::INT AS n_chars FROM e"""
 
-Q["equation_slots"] = lambda spark, d: regions(spark, d).where("content LIKE '%{{EQ:%'").select("region_id", M.fill_equations(F.col("content"), F.col("inline_latex")).alias("filled"))
+Q["equation_slots"] = lambda spark, d: regions(spark, d, "content", "inline_latex").where("content LIKE '%{{EQ:%'").select("region_id", M.fill_equations(F.col("content"), F.col("inline_latex")).alias("filled"))
 S["equation_slots"] = f"SELECT region_id, CASE WHEN coalesce(len(inline_latex), 0) > 0 THEN list_reduce(range(len(inline_latex)), lambda a, i: replace(a, '{{{{EQ:' || i || '}}}}', '$' || coalesce(inline_latex[i + 1], '') || '$'), content) ELSE content END AS filled FROM {R} WHERE content LIKE '%{{{{EQ:%'"
 
 Q["page_joins"] = lambda spark, d: M.page_joins(regions(spark, d))
@@ -86,9 +86,9 @@ Q["font_map"] = lambda spark, d: C.map_fonts(read(spark, d, "documents").select(
 _DIM = "(VALUES " + ", ".join(f"({o}, '{k}', '{f}', '{x}')" for o, k, f, x in C.font_rows()) + ") AS dim(ord, key, family, file)"
 S["font_map"] = f"""WITH n AS (SELECT DISTINCT 'ABCDEF+' || ['Arial-BoldMT', 'TimesNewRomanPSMT', 'Lato-Light', 'Unknown Face', 'Helvetica', 'Roboto-Medium', 'CMR10'][(doc_id % 7)::INT + 1] AS name FROM documents), k AS (SELECT name, lower(trim(regexp_replace(trim(name), '^[A-Z]{{6}}\\+', ''))) AS k FROM n)
  SELECT name, family, file FROM k LEFT JOIN {_DIM} ON contains(k, key) QUALIFY row_number() OVER (PARTITION BY name ORDER BY k = key DESC, length(key) DESC, ord) = 1"""
-Q["used_fonts"] = lambda spark, d: regions(spark, d).where("font_family IS NOT NULL").groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("font_family")), ",").alias("fonts"), F.min_by("font_family", F.struct("page_number", "block_idx", "region_id")).alias("first_font"))
+Q["used_fonts"] = lambda spark, d: regions(spark, d, "job_id", "page_number", "block_idx", "font_family").where("font_family IS NOT NULL").groupBy("job_id").agg(F.array_join(F.sort_array(F.collect_set("font_family")), ",").alias("fonts"), F.min_by("font_family", F.struct("page_number", "block_idx", "region_id")).alias("first_font"))
 S["used_fonts"] = f"SELECT job_id, array_to_string(list_sort(list(DISTINCT font_family)), ',') AS fonts, arg_min(font_family, (page_number, block_idx, region_id)) AS first_font FROM {R} WHERE font_family IS NOT NULL GROUP BY job_id"
-Q["font_stacks"] = lambda spark, d: regions(spark, d).select("region_id", C.font_stack(F.col("content"), F.col("font_family")).alias("stack"))
+Q["font_stacks"] = lambda spark, d: regions(spark, d, "content", "font_family").select("region_id", C.font_stack(F.col("content"), F.col("font_family")).alias("stack"))
 S["font_stacks"] = "SELECT region_id, concat_ws(', ', CASE WHEN font_family IS NOT NULL THEN '''' || font_family || '''' END, CASE WHEN b.n > 0 THEN '''Noto Sans ' || upper(b.name[1]) || b.name[2:] || '''' END, '''Noto Sans''', '''Inter''', 'sans-serif') AS stack FROM (SELECT region_id, font_family, list_max([" + ", ".join(f"{{'n': {_N('content', r)}, 'o': {-i}, 'name': '{k}'}}" for i, (k, r) in enumerate(C.INDIC.items())) + f"]) AS b FROM {R})"
 Q["ocr_language"] = lambda spark, d: read(spark, d, "submit_options").select("job_id", C.recogniser_language(F.col("ocr_lang")).alias("lang")).distinct()
 S["ocr_language"] = "SELECT DISTINCT job_id, coalesce(list_filter(l, lambda x: x <> 'en')[1], l[1], 'auto') AS lang FROM (SELECT job_id, list_filter(list_transform(string_split(ocr_lang, ','), lambda x: lower(trim(x))), lambda x: x <> '') AS l FROM submit_options)"

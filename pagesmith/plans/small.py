@@ -14,22 +14,22 @@ Q: dict = {}
 S: dict[str, str] = {}
 R = SQL_REGIONS
 
-Q["large_boxes"] = lambda spark, d: P.large_enough(regions(spark, d).join(pages(spark, d), ["job_id", "page_number"])).select("region_id")
+Q["large_boxes"] = lambda spark, d: P.large_enough(regions(spark, d, "job_id", "page_number", "bbox").join(pages(spark, d), ["job_id", "page_number"])).select("region_id")
 S["large_boxes"] = f"SELECT region_id FROM {R} JOIN {SQL_PAGES} USING (job_id, page_number) WHERE greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) >= greatest(0.05 * width * height, 20)"
-Q["crop_gates"] = lambda spark, d: regions(spark, d).where("bbox IS NOT NULL").select("region_id", P.crop_gate(G.width(F.col("bbox")), G.height(F.col("bbox"))).alias("gate"))
+Q["crop_gates"] = lambda spark, d: regions(spark, d, "bbox").where("bbox IS NOT NULL").select("region_id", P.crop_gate(G.width(F.col("bbox")), G.height(F.col("bbox"))).alias("gate"))
 S["crop_gates"] = f"SELECT region_id, CASE WHEN least(bbox.x1 - bbox.x0, bbox.y1 - bbox.y0) < 10 THEN 'unreadable' WHEN least(bbox.x1 - bbox.x0, bbox.y1 - bbox.y0) < 32 THEN 'no class' ELSE 'ok' END AS gate FROM {R} WHERE bbox IS NOT NULL"
-Q["crop_candidates"] = lambda spark, d: P.equation_crops(regions(spark, d)).select("region_id", F.lit("equation").alias("kind")).unionByName(P.figure_crops(regions(spark, d), F.lit("image")).select("region_id", F.lit("figure").alias("kind")))
+Q["crop_candidates"] = lambda spark, d: P.equation_crops(regions(spark, d, "region_type", "bbox", "latex")).select("region_id", F.lit("equation").alias("kind")).unionByName(P.figure_crops(regions(spark, d, "region_type", "bbox", "latex"), F.lit("image")).select("region_id", F.lit("figure").alias("kind")))
 S["crop_candidates"] = f"SELECT region_id, CASE region_type WHEN 'formula' THEN 'equation' ELSE 'figure' END AS kind FROM {R} WHERE greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) > 0 AND ((region_type = 'formula' AND latex IS NULL) OR region_type = 'figure')"
 Q["request_options"] = lambda spark, d: read(spark, d, "submit_options").select("job_id", P.checked_option("formula_display", F.col("formula_display")).alias("formula_display"), P.checked_option("figure_display", F.col("figure_display")).alias("figure_display"), P.as_flag(F.col("formula_enable").cast("string"), True).alias("formulas")).distinct()
 _OPT = lambda n: f"CASE WHEN lower(trim(coalesce({n}, ''))) = '' THEN '{P.OPTIONS[n][0]}' WHEN lower(trim({n})) IN ({', '.join(repr(x) for x in P.OPTIONS[n])}) THEN lower(trim({n})) END"
 S["request_options"] = f"SELECT DISTINCT job_id, {_OPT('formula_display')} AS formula_display, {_OPT('figure_display')} AS figure_display, coalesce(formula_enable, true) AS formulas FROM submit_options"
 Q["public_keys"] = lambda spark, d: jobs(spark, d).select("job_id", F.array_join(F.sort_array(F.map_keys(P.public_keys(F.create_map(F.lit("_tmp"), "status", F.lit("status"), "status", F.lit("type"), "job_type")))), ",").alias("ks"))
 S["public_keys"] = f"SELECT job_id, 'status,type' AS ks FROM {SQL_JOBS}"
-Q["sparse_text"] = lambda spark, d: regions(spark, d).where("content IS NOT NULL").select("region_id", P.sparse(F.trim("content"), F.col("content")).alias("changed"))
+Q["sparse_text"] = lambda spark, d: regions(spark, d, "content").where("content IS NOT NULL").select("region_id", P.sparse(F.trim("content"), F.col("content")).alias("changed"))
 S["sparse_text"] = f"SELECT region_id, nullif(trim(content, ' '), content) AS changed FROM {R} WHERE content IS NOT NULL"
-Q["missing_pages"] = lambda spark, d: P.missing(pages(spark, d).select("job_id", "page_number"), regions(spark, d).select("job_id", "page_number").distinct(), "job_id").select("job_id", "page_number")
+Q["missing_pages"] = lambda spark, d: P.missing(pages(spark, d).select("job_id", "page_number"), regions(spark, d, "job_id", "page_number").select("job_id", "page_number").distinct(), "job_id").select("job_id", "page_number")
 S["missing_pages"] = f"SELECT job_id, page_number FROM {SQL_PAGES} WHERE job_id NOT IN (SELECT job_id FROM {R} WHERE job_id IS NOT NULL)"
-Q["whole_tables"] = lambda spark, d: regions(spark, d).where("html IS NOT NULL").select("region_id", P.is_table_html(F.col("html")).alias("whole"))
+Q["whole_tables"] = lambda spark, d: regions(spark, d, "html").where("html IS NOT NULL").select("region_id", P.is_table_html(F.col("html")).alias("whole"))
 S["whole_tables"] = rf"SELECT region_id, regexp_matches(regexp_replace(html, '^\s+|\s+$', '', 'g'), '(?i)</(?:html|table)>$') AS whole FROM {R} WHERE html IS NOT NULL"
 
 
@@ -43,12 +43,12 @@ _C0 = _C.replace("""replace(html, '<tr><th>', '<tr><th colspan="2" align="center
 S["cell_offsets"] = f"""WITH f AS (SELECT *, sum(colspan) OVER (PARTITION BY region_id, row_idx ORDER BY cell_idx ROWS UNBOUNDED PRECEDING) - colspan AS first FROM {_C0}), e AS (SELECT region_id, unnest(generate_series(first::BIGINT, (first + colspan - 1)::BIGINT)) AS col, length(text) / colspan AS n FROM f), l AS (SELECT region_id, col, max(n) AS n FROM e GROUP BY ALL),
  w AS (SELECT region_id, col, CASE WHEN sum(n) OVER q > 0 THEN n / sum(n) OVER q * 100 ELSE 100.0 / count(*) OVER q END AS width_pct FROM l WINDOW q AS (PARTITION BY region_id)), x AS (SELECT region_id, col, coalesce(sum(width_pct) OVER (PARTITION BY region_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x_pct FROM w)
  SELECT f.region_id, f.row_idx, f.cell_idx, round(x.x_pct, 4) AS x_pct FROM f JOIN x ON f.region_id = x.region_id AND f.first = x.col"""
-Q["layer_sizes"] = lambda spark, d: regions(spark, d).where("content IS NOT NULL AND bbox IS NOT NULL").select("region_id", P.layer_size(F.size(F.split("content", "\n")), G.height(F.col("bbox"))).alias("size"), F.round(P.line_scale(F.length("content") * 5.0, G.width(F.col("bbox")), F.lit(True)), 3).alias("scale"), F.round(P.table_font(G.height(F.col("bbox")) / 4), 3).alias("font"))
+Q["layer_sizes"] = lambda spark, d: regions(spark, d, "bbox", "content").where("content IS NOT NULL AND bbox IS NOT NULL").select("region_id", P.layer_size(F.size(F.split("content", "\n")), G.height(F.col("bbox"))).alias("size"), F.round(P.line_scale(F.length("content") * 5.0, G.width(F.col("bbox")), F.lit(True)), 3).alias("scale"), F.round(P.table_font(G.height(F.col("bbox")) / 4), 3).alias("font"))
 S["layer_sizes"] = f"""SELECT region_id, list_reduce(range(16), lambda s, i: CASE WHEN s > 3 AND s * 1.2 * n > h THEN s - 0.5 ELSE s END, 11.0::DOUBLE) AS size, round(least(CASE WHEN len > 0 THEN w / (len * 5.0) * 100 ELSE 100.0 END, 150.0), 3) AS scale, round(least(12.0, greatest(6.0, h / 4 * 0.6)), 3) AS font FROM (SELECT region_id, len(string_split(content, chr(10))) AS n, bbox.y1 - bbox.y0 AS h, bbox.x1 - bbox.x0 AS w, length(content) AS len FROM {R} WHERE content IS NOT NULL AND bbox IS NOT NULL)"""
 Q["page_breaks"] = lambda spark, d: P.page_breaks(regions(spark, d).where("bbox IS NOT NULL").select(F.col("job_id").alias("doc"), F.struct("page_number", "block_idx", "region_id").alias("ord"), F.col("region_id").alias("id"), G.height(F.col("bbox")).alias("h")), 700.0).withColumn("y", F.round("y", 4))
 Q["json_harvest"] = lambda spark, d: P.harvest(jobs(spark, d).where("tool_config IS NOT NULL"), "job_id", "tool_config", ["ocr_lang"], 3)
 S["json_harvest"] = f"SELECT job_id, 'ocr_lang' AS name, json_extract_string(tool_config, '$.ocr_lang') AS text FROM {SQL_JOBS} WHERE json_type(tool_config, '$.ocr_lang') = 'VARCHAR'"
-Q["first_pages"] = lambda spark, d: first_pages(regions(spark, d), 10).groupBy("job_id").agg(F.count("*").alias("n"))
+Q["first_pages"] = lambda spark, d: first_pages(regions(spark, d, "job_id", "page_number"), 10).groupBy("job_id").agg(F.count("*").alias("n"))
 S["first_pages"] = f"SELECT job_id, count(*) AS n FROM (SELECT job_id, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) AS k FROM {R}) WHERE k <= 10 GROUP BY job_id"
-Q["run_compare"] = lambda spark, d: regions(spark, d).join(pages(spark, d), ["job_id", "page_number"]).groupBy("region_type").agg(F.count_if("scanned").alias("n_scanned"), F.count_if(~F.col("scanned")).alias("n_digital"), F.sum(F.when(F.col("scanned"), F.regexp_count("content", F.lit("<[bi]>")))).alias("emphasis_scanned"), F.sum(F.when(~F.col("scanned"), F.regexp_count("content", F.lit("<[bi]>")))).alias("emphasis_digital"))
+Q["run_compare"] = lambda spark, d: regions(spark, d, "job_id", "page_number", "region_type", "content").join(pages(spark, d), ["job_id", "page_number"]).groupBy("region_type").agg(F.count_if("scanned").alias("n_scanned"), F.count_if(~F.col("scanned")).alias("n_digital"), F.sum(F.when(F.col("scanned"), F.regexp_count("content", F.lit("<[bi]>")))).alias("emphasis_scanned"), F.sum(F.when(~F.col("scanned"), F.regexp_count("content", F.lit("<[bi]>")))).alias("emphasis_digital"))
 S["run_compare"] = f"SELECT region_type, count(*) FILTER (WHERE scanned) AS n_scanned, count(*) FILTER (WHERE NOT scanned) AS n_digital, sum(len(regexp_extract_all(content, '<[bi]>'))) FILTER (WHERE scanned AND content IS NOT NULL)::BIGINT AS emphasis_scanned, sum(len(regexp_extract_all(content, '<[bi]>'))) FILTER (WHERE NOT scanned AND content IS NOT NULL)::BIGINT AS emphasis_digital FROM {R} JOIN {SQL_PAGES} USING (job_id, page_number) GROUP BY ALL"

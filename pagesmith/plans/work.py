@@ -14,12 +14,48 @@ Q: dict = {}
 S: dict[str, str] = {}
 R = SQL_REGIONS
 
+def _formulas(spark, d):
+    return regions(spark, d, "latex", "block_idx", "page_number").where("latex IS NOT NULL").select("region_id", "block_idx", "page_number", F.expr(_FORMULAS).alias("l"))
+
+
 # Formulas: the tables' own, and measurements made from their numbers.
 _FORMULAS = """CASE region_id % 6 WHEN 0 THEN latex WHEN 1 THEN concat(region_id % 90, ' . 0 5 \\\\mathrm{ m M }') WHEN 2 THEN concat(region_id % 40, '^ { \\\\circ } C') WHEN 3 THEN 'C a ^ { 2 + }' WHEN 4 THEN concat('( n = ', region_id % 300, ' )') ELSE latex END"""
-Q["measurement_flags"] = lambda spark, d: regions(spark, d).where("latex IS NOT NULL").select("region_id", F.expr(_FORMULAS).alias("l")).select("region_id", X.is_measurement(F.col("l")).alias("measurement"), X.is_no_equation(F.col("l")).alias("no_equation"))
-S["measurement_flags"] = f"SELECT region_id, region_id % 6 BETWEEN 1 AND 4 AS measurement, region_id % 6 BETWEEN 1 AND 4 AS no_equation FROM {R} WHERE latex IS NOT NULL"
-Q["latex_plain"] = lambda spark, d: regions(spark, d).where("latex IS NOT NULL").select("region_id", X.to_plain(F.expr(_FORMULAS)).alias("plain"), X.compact(F.expr(_FORMULAS)).alias("compact"))
-Q["equation_spans"] = lambda spark, d: regions(spark, d).where("latex IS NOT NULL").select("region_id", X.equation_span(F.expr(_FORMULAS), F.col("block_idx"), F.col("page_number") % 2 == 0).alias("span"))
+_FORMULAS_SQL = r"""(CASE region_id % 6 WHEN 0 THEN latex WHEN 1 THEN (region_id % 90) || ' . 0 5 \mathrm{ m M }' WHEN 2 THEN (region_id % 40) || '^ { \circ } C' WHEN 3 THEN 'C a ^ { 2 + }' WHEN 4 THEN '( n = ' || (region_id % 300) || ' )' ELSE latex END)"""
+# The rules on formulas in SQL, for a column l.
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+_TOKENS = f"regexp_extract_all(l, '{X.TOKEN}', 1)"
+_SQL_MAP = lambda m: "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in m.items()) + "}"
+_DRAWN = f"array_to_string(list_transform({_TOKENS}, lambda t: coalesce({_SQL_MAP(X.DRAWN)}[t], CASE WHEN starts_with(t, '\\') THEN '{X.OTHER}' END, t)), '')"
+_MEASURE = f"regexp_matches({_DRAWN}, '{X.MEASUREMENT}')"
+_GROUPS = "|".join(f for f in X.FONTS if f != "mathfrak")
+_MATHS = rf"(regexp_matches(regexp_replace(l, '\\(?:{_GROUPS})\s*\{{', '{{', 'g'), '\\[A-Za-z]+|\\[^A-Za-z%#&$ ]') OR regexp_matches({_DRAWN}, '[A-Za-z][\^_]|[\^_][A-Za-z]'))"
+_NONE = rf"(coalesce(l, '') = '' OR {_MEASURE} OR (NOT {_MATHS} AND regexp_matches(regexp_replace({_DRAWN}, '[\^_]', '', 'g'), '{X.PLAIN}')))"
+_COMPACT_MAP = _SQL_MAP({k: v for k, v in X.DRAWN.items() if v == "" or k in ("\\%", "\\#", "\\&", "\\$")})
+_COMPACT = f"translate(regexp_replace(regexp_replace(array_to_string(list_transform({_TOKENS}, lambda t: coalesce({_COMPACT_MAP}[t], CASE WHEN regexp_matches(t, '^\\\\[A-Za-z]') THEN '{X.BEFORE}' || t || '{X.AFTER}' END, t)), ''), '([A-Za-z0-9]){X.BEFORE}', '\\1 ', 'g'), '{X.AFTER}([A-Za-z0-9])', ' \\1', 'g'), '{X.BEFORE}{X.AFTER}', '')"
+_INK = _SQL_MAP({"\\%": "%", "\\#": "#", "\\&": "&", "\\$": "$", "^": "", "_": "", **{f"\\{k}": v for k, v in X.SYMBOLS.items()}})
+_IS = lambda names: "(" + ", ".join(_q(f"\\{x}") for x in names) + ")"
+_STEP = f"""{{'o': CASE WHEN t.o IN {_IS(X.FONTS)} THEN s.o || ' ' WHEN t.o IN ('{{', '}}', '\\it', '\\rm', '\\sf') THEN s.o WHEN t.o IN ('~', '\\ ') AND NOT s.e THEN s.o || ' ' WHEN regexp_matches(t.o, '^\s$') AND NOT s.e AND s.d = 0 THEN s.o || ' ' WHEN t.o IN ('~', '\\ ') OR regexp_matches(t.o, '^\s$') THEN s.o ELSE s.o || coalesce({_INK}[t.o], CASE WHEN starts_with(t.o, '\\') THEN '' END, t.o) END,
+ 'd': CASE WHEN t.o = '{{' AND (s.a OR s.d > 0) THEN s.d + 1 WHEN t.o = '}}' THEN greatest(s.d - 1, 0) ELSE s.d END, 'a': t.o IN {_IS(X.FONTS)} OR (s.a AND regexp_matches(t.o, '^\s$')), 'e': (regexp_matches(t.o, '^\\\\[A-Za-z]') AND t.o NOT IN {_IS(X.FONTS)}) OR (s.e AND (regexp_matches(t.o, '^\s$') OR t.o IN ('~', '\\ ', '{{', '}}')))}}"""
+_FOLD = f"list_reduce(list_transform({_TOKENS}, lambda t: {{'o': t, 'd': 0, 'a': false, 'e': false}}), lambda s, t: {_STEP}, {{'o': '', 'd': 0, 'a': false, 'e': false}}).o"
+for _a, _b in (("([0-9.])\\s+([0-9.])", "\\1\\2"), ("([0-9.])\\s+([0-9.])", "\\1\\2"), ("([0-9])\\s+([+-])", "\\1\\2"), ("([+-])\\s+([0-9])", "\\1\\2"), ("\\s*/\\s*", "/"), ("^\\s+|\\s+$", ""), ("\\s+", " ")):
+    _FOLD = f"regexp_replace({_FOLD}, '{_a}', '{_b}', 'g')"
+_L = f"(SELECT region_id, block_idx, page_number, {_FORMULAS_SQL} AS l FROM {R} WHERE latex IS NOT NULL)"
+Q["measurement_flags"] = lambda spark, d: _formulas(spark, d).select("region_id", X.is_measurement(F.col("l")).alias("measurement"), X.is_no_equation(F.col("l")).alias("no_equation"))
+S["measurement_flags"] = f"SELECT region_id, {_MEASURE} AS measurement, {_NONE} AS no_equation FROM {_L}"
+Q["latex_plain"] = lambda spark, d: _formulas(spark, d).select("region_id", X.to_plain(F.col("l")).alias("plain"), X.compact(F.col("l")).alias("compact"))
+S["latex_plain"] = f"SELECT region_id, {_FOLD} AS plain, {_COMPACT} AS compact FROM {_L}"
+Q["equation_spans"] = lambda spark, d: _formulas(spark, d).select("region_id", X.equation_span(F.col("l"), F.col("block_idx"), F.col("page_number") % 2 == 0).alias("span"))
+S["equation_spans"] = f"SELECT region_id, CASE WHEN {_NONE} THEN {_FOLD} WHEN page_number % 2 = 0 THEN chr(10) || '{{{{EQ:' || block_idx || '}}}}' || chr(10) ELSE '{{{{EQ:' || block_idx || '}}}}' END AS span FROM {_L}"
+# Every shape of the grammar once, and formulas that are none: (formula, measurement, no equation, plain text).
+CASES = [
+    (r"1 2 \mu \mathrm { g } / \mathrm { m } L", True, True, "12 µ g/m L"), (r"7 5 ~ \mathsf { n M }", True, True, "75 nM"), (r"{ < } 4 0 \%", True, True, "< 40 %"), (r"2 1 ^ { \circ } \mathsf { F }", True, True, "21 ° F"), (r"6 \mu m ^ { 2 }", True, True, "6 µm 2"), (r"9 \mu \iota", True, True, "9 µι"),
+    (r"\sim 7 4", True, True, "~74"), (r"\dot \cdot = 0 . 3", True, True, "·= 0.3"), (r"4 0 , 0 0 0 \times", True, True, "40 , 000 ×"), (r"\times 5", True, True, "×5"), (r"\pm \mathsf { S E M }", True, True, "± SEM"), (r"( N = 1 2 )", True, True, "( N = 12 )"), (r"\mathrm { p H } ~ 6 . 5", True, True, "pH 6.5"),
+    (r"\mathrm { M g } ^ { 2 + }", True, True, "Mg 2+"), (r"N H _ { 3 }", True, True, "N H 3"), (r"K \Delta 8 8", True, True, "K Δ88"), (r"\mathsf { A B } 2 ^ { 1 4 }", True, True, "AB 214"), (r"\gamma", True, True, "γ"), (r"\cdot \beta", True, True, "·β"), (r"( a - d )", True, True, "( a - d )"), (r"q .", True, True, "q ."),
+    (r"\mathsf { P } > 0 . 2", True, True, "P > 0.2"), (r"6 \times 1 0 ^ { 8 }", True, True, "6 ×108"), (r"O D _ { 4 5 0 } = 2", True, True, "O D 450 = 2"), (r"5 \mathrm { \ m M \ K C l }", True, True, "5 mM KCl"), (r"A B C 1 + C a ^ { 2 + }", True, True, "A B C 1+ C a 2+"),
+    (r"8 0 \mathrm { K m }", False, True, "80 Km"), ("4 5 6", False, True, "456"), ("", False, True, ""), (r"\frac { p } { q }", False, False, "p q"), (r"v ^ 2", False, False, "v 2"), (r"a _ { n }", False, False, "a n"), (r"u \geq 3", False, False, "u ≥3"), (r"\mathbb { Z }", False, False, "Z"), (r"f ( t ) - t", False, False, "f ( t ) - t"), (r"\mathfrak { g }", True, True, "g"), (r"\mathfrak { g h }", False, False, "gh"),
+]
+Q["latex_cases"] = lambda spark, d: spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "id int, l string").select("id", X.is_measurement(F.col("l")).alias("measurement"), X.is_no_equation(F.col("l")).alias("no_equation"), X.to_plain(F.col("l")).alias("plain"))
+S["latex_cases"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(m).lower()}, {str(n).lower()}, {_q(p)})" for i, (_, m, n, p) in enumerate(CASES)) + ") AS c(id, measurement, no_equation, plain)"
 
 Q["active_jobs"] = lambda spark, d: jobs(spark, d).where("status IN ('queued', 'processing', 'retrying')").select("job_id", "status", "created_at", F.get_json_object("tool_config", "$.ocr_mode").alias("ocr_mode"))
 S["active_jobs"] = f"SELECT job_id, status, created_at, json_extract_string(tool_config, '$.ocr_mode') AS ocr_mode FROM {SQL_JOBS} WHERE status IN ('queued', 'processing', 'retrying')"
@@ -60,7 +96,7 @@ Q["unique_uploads"] = lambda spark, d: read(spark, d, "jobs").where("lower(file_
 S["unique_uploads"] = "SELECT file_name, total_pages, min(job_id) AS job_id, count(*) AS n FROM jobs WHERE lower(file_path) LIKE '%.pdf' GROUP BY ALL"
 Q["job_pages"] = lambda spark, d: pages(spark, d).groupBy("job_id").agg(F.count("*").alias("n_pages"), F.count_if("scanned").alias("n_scanned")).join(jobs(spark, d).select("job_id", "total_pages"), "job_id", "left").select("job_id", "n_pages", "n_scanned", (F.coalesce(F.nullif("total_pages", F.lit(0)), "n_pages")).cast("bigint").alias("pages_known"))
 S["job_pages"] = f"SELECT p.job_id, n_pages, n_scanned, coalesce(nullif(total_pages, 0), n_pages)::BIGINT AS pages_known FROM (SELECT job_id, count(*) AS n_pages, count(*) FILTER (WHERE scanned) AS n_scanned FROM {SQL_PAGES} GROUP BY job_id) p LEFT JOIN {SQL_JOBS} j USING (job_id)"
-Q["block_histogram"] = lambda spark, d: regions(spark, d).groupBy("job_id", "region_type", F.coalesce("heading_level", F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
+Q["block_histogram"] = lambda spark, d: regions(spark, d, "job_id", "region_type", "heading_level").groupBy("job_id", "region_type", F.coalesce("heading_level", F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
 S["block_histogram"] = f"SELECT job_id, region_type, coalesce(heading_level, 0) AS level, count(*) AS n FROM {R} GROUP BY ALL"
 
 _TGT = "(SELECT DISTINCT tgt FROM (SELECT ['hin_Deva', 'tam_Taml', 'eng_Latn', 'xxx'][(length(file_name) % 4)::INT + 1] AS tgt FROM jobs) WHERE tgt <> 'xxx')"
@@ -92,6 +128,6 @@ def _replies(spark, d):
 
 Q["reply_parse"] = _replies
 S["reply_parse"] = f"SELECT region_id, CASE region_id % 4 WHEN 0 THEN content || chr(10) || 'two' WHEN 1 THEN content WHEN 2 THEN 'raw ' || content ELSE '[unreadable]' END AS text, CASE region_id % 4 WHEN 2 THEN 0.9 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM {R} WHERE region_type = 'text' AND content IS NOT NULL"
-Q["preview_diff"] = lambda spark, d: regions(spark, d).where("region_type = 'text' AND content IS NOT NULL").select("region_id", F.posexplode(F.split("content", "\n")).alias("i", "line")).groupBy("region_id").agg(F.count("*").alias("n"), F.count_if(T.squeeze(F.col("line")) != F.col("line")).alias("n_changed"))
+Q["preview_diff"] = lambda spark, d: regions(spark, d, "region_type", "content").where("region_type = 'text' AND content IS NOT NULL").select("region_id", F.posexplode(F.split("content", "\n")).alias("i", "line")).groupBy("region_id").agg(F.count("*").alias("n"), F.count_if(T.squeeze(F.col("line")) != F.col("line")).alias("n_changed"))
 _SQ = r"regexp_replace(regexp_replace(l, '\s+', ' ', 'g'), '^ | $', '', 'g')"
 S["preview_diff"] = f"SELECT region_id, len(p)::BIGINT AS n, len(list_filter(p, lambda l: {_SQ} <> l))::BIGINT AS n_changed FROM (SELECT region_id, string_split(content, chr(10)) AS p FROM {R} WHERE region_type = 'text' AND content IS NOT NULL)"
