@@ -6,8 +6,7 @@ own number, so that ties have one result.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,9 +37,10 @@ def x_union(regions: DataFrame) -> DataFrame:
     return regions.where(ok).groupBy("job_id", "page_number").agg(F.min("bbox.x0").alias("x0"), F.max("bbox.x1").alias("x1"))
 
 
-def decorative(regions: DataFrame, pages: DataFrame) -> DataFrame:
-    """(region_id, decorative): narrow strips; and, off the text's lines, small icons and watermarks. False without a box of positive area; without the page's measures only strips are."""
-    b = regions.join(pages, ["job_id", "page_number"]).join(line_height(regions), ["job_id", "page_number"], "left").join(x_union(regions), ["job_id", "page_number"], "left")
+def decorative(regions: DataFrame, pages: DataFrame, all_regions: DataFrame | None = None) -> DataFrame:
+    """(region_id, decorative): narrow strips; and, off the text's lines, small icons and watermarks. False without a box of positive area; without the page's measures only strips are. all_regions: those that a page is measured by, if others."""
+    every = regions if all_regions is None else all_regions
+    b = regions.join(pages, ["job_id", "page_number"]).join(line_height(every), ["job_id", "page_number"], "left").join(x_union(every), ["job_id", "page_number"], "left")
     w, h, n = G.width(F.col("bbox")), G.height(F.col("bbox")), F.length(T.strip(F.coalesce("content", F.lit(""))))
     strip = (h / w > 6) & (w < 60)
     overlap = F.greatest(F.lit(0.0), F.least(F.col("bbox.x1"), F.col("x1")) - F.greatest(F.col("bbox.x0"), F.col("x0")))
@@ -123,92 +123,66 @@ def largest_blocks(regions: DataFrame, n: int = 10) -> DataFrame:
 def merge_overlaps(regions: DataFrame, share: float = 0.6) -> DataFrame:
     """(region_id, content): text blocks of which share lies in a block at least as large go into the first such one, their text before its.
 
-    Each merge changes what the next one sees, so a page is taken as a whole, in
-    pandas; pages are small. Blocks without area, and of other types, stay.
+    Each merge changes what the next one sees, so a page's text blocks are
+    folded in order, and only on pages where any two may merge. Blocks without
+    area, and of other types, stay and are not grouped.
     """
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["block_idx", "region_id"]).reset_index(drop=True)
-        boxes = [(b["x0"], b["y0"], b["x1"], b["y1"]) if b is not None else (0, 0, 0, 0) for b in rows["bbox"]]
-        areas = [max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) for b in boxes]
-        texts = [(t or "") for t in rows["content"]]
-        may = [t in ("text", "title", "list") and a > 0 for t, a in zip(rows["region_type"], areas)]
-        gone = [False] * len(rows)
-        for i in range(len(rows)):
-            if gone[i] or not may[i]:
-                continue
-            for j in range(len(rows)):
-                if j == i or gone[j] or not may[j] or areas[j] < areas[i]:
-                    continue
-                a, b = boxes[i], boxes[j]
-                common = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-                if common / areas[i] >= share:
-                    texts[j] = (texts[i].strip() + "\n" + texts[j]).strip()
-                    gone[i] = True
-                    break
-        return pd.DataFrame({"region_id": rows["region_id"], "content": texts})[[not g for g in gone]]
-
-    return regions.select("job_id", "page_number", "region_id", "block_idx", "region_type", "bbox", "content").groupBy("job_id", "page_number").applyInPandas(page, "region_id bigint, content string")
+    may = F.coalesce(F.col("region_type").isin("text", "title", "list") & (G.area(F.col("bbox")) > 0), F.lit(False))
+    text = F.coalesce("content", F.lit(""))
+    rest = regions.where(~may).select("region_id", text.alias("content"))
+    block = F.struct("block_idx", "region_id", "bbox", G.area(F.col("bbox")).alias("area"), text.alias("text"), F.lit(False).alias("gone"))
+    page = regions.where(may).groupBy("job_id", "page_number").agg(F.sort_array(F.collect_list(block)).alias("b"))
+    takes = lambda big, small: ~big["gone"] & (big["region_id"] != small["region_id"]) & (big["area"] >= small["area"]) & (G.intersection(small["bbox"], big["bbox"]) / small["area"] >= share)
+
+    def fold(s: Column, i: Column) -> Column:
+        small = F.element_at(s, i)
+        at = F.array_position(F.transform(s, lambda x: takes(x, small)), F.lit(True))
+        put = lambda x, k: F.when(k + 1 == at, x.withField("text", T.strip(F.concat(T.strip(small["text"]), F.lit("\n"), x["text"])))).when(k + 1 == i, x.withField("gone", F.lit(True))).otherwise(x)
+        return F.when(small["gone"] | (at == 0), s).otherwise(F.transform(s, put))
+
+    any_pair = F.exists("b", lambda x: F.exists("b", lambda y: takes(y, x)))
+    page = page.withColumn("b", F.when(any_pair, F.aggregate(F.sequence(F.lit(1), F.size("b")), F.col("b"), fold)).otherwise(F.col("b")))
+    return page.select(F.explode(F.filter("b", lambda x: ~x["gone"])).alias("x")).select("x.region_id", F.col("x.text").alias("content")).unionByName(rest)
 
 
 def absorb_overflow(regions: DataFrame, per_line: float = 10.0, gap: float = 5.0) -> DataFrame:
-    """(region_id, y1, absorbed): a text block lower than its lines need takes in the empty blocks that follow close below, up to a block with text, a table, figure, title or image. A fold over the page's blocks in reading order; pages are small."""
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["block_idx", "region_id"]).reset_index(drop=True)
-        y0, y1 = rows["y0"].tolist(), rows["y1"].tolist()
-        texts, types = [(t or "") for t in rows["content"]], rows["region_type"].tolist()
-        by = [None] * len(rows)
-        for i in range(len(rows)):
-            if by[i] is not None or not texts[i].strip() or types[i] in ("table", "figure", "image", "image_body"):
-                continue
-            if y1[i] - y0[i] >= per_line * (texts[i].count("\n") + 1):
-                continue
-            for j in range(i + 1, len(rows)):
-                if by[j] is not None:
-                    continue
-                if texts[j].strip() or y0[j] - y1[i] > gap or types[j] in ("table", "figure", "title", "image"):
-                    break
-                y1[i], by[j] = max(y1[i], y1[j]), rows["region_id"][i]
-        return pd.DataFrame({"region_id": rows["region_id"], "y1": y1, "absorbed": pd.array([b is not None for b in by], dtype="bool")})
-
-    x = regions.where("bbox IS NOT NULL").select("job_id", "page_number", "region_id", "block_idx", "region_type", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), "content")
-    return x.groupBy("job_id", "page_number").applyInPandas(page, "region_id bigint, y1 double, absorbed boolean")
+    """(region_id, y1, absorbed): a text block lower than its lines need takes in the empty blocks that follow close below, up to a block with text, a table, figure, title or image. One block takes at a time, so a page is one fold in reading order."""
+    text = T.strip(F.coalesce("content", F.lit("")))
+    lines = F.size(F.split(F.coalesce("content", F.lit("")), "\n"))
+    starts = (text != "") & ~F.coalesce(F.col("region_type").isin("table", "figure", "image", "image_body"), F.lit(False)) & (F.col("bbox.y1") - F.col("bbox.y0") < per_line * lines)
+    free = (text == "") & ~F.coalesce(F.col("region_type").isin("table", "figure", "title", "image"), F.lit(False))
+    block = F.struct("block_idx", "region_id", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1"), starts.alias("starts"), free.alias("free"))
+    page = regions.where("bbox IS NOT NULL").groupBy("job_id", "page_number").agg(F.sort_array(F.collect_list(block)).alias("b"))
+    entry = "array<struct<region_id:bigint,y1:double,by:bigint>>"
+    start = F.struct(F.lit(None).cast("bigint").alias("by"), F.lit(0.0).alias("reach"), F.array().cast(entry).alias("out"))
+
+    def fold(s: Column, x: Column) -> Column:
+        taken = s["by"].isNotNull() & x["free"] & (x["y0"] - s["reach"] <= gap)
+        one = F.struct(x["region_id"].alias("region_id"), x["y1"].alias("y1"), F.when(taken, s["by"]).alias("by"))
+        return F.struct(F.when(taken, s["by"]).when(x["starts"], x["region_id"]).alias("by"), F.when(taken, F.greatest(s["reach"], x["y1"])).otherwise(x["y1"]).alias("reach"), F.concat(s["out"], F.array(one)).alias("out"))
+
+    o = page.select(F.when(F.exists("b", lambda x: x["free"]) & F.exists("b", lambda x: x["starts"]), F.aggregate("b", start, fold)["out"]).otherwise(F.transform("b", lambda x: F.struct(x["region_id"].alias("region_id"), x["y1"].alias("y1"), F.lit(None).cast("bigint").alias("by")))).alias("o"))
+    reach = lambda x: F.when(x["by"].isNull(), F.array_max(F.transform(F.filter("o", lambda y: (y["by"] == x["region_id"]) | (y["region_id"] == x["region_id"])), lambda y: y["y1"]))).otherwise(x["y1"])
+    return o.select(F.explode(F.transform("o", lambda x: F.struct(x["region_id"].alias("region_id"), reach(x).alias("y1"), x["by"].isNotNull().alias("absorbed")))).alias("x")).select("x.*")
 
 
 def bubble_order(boxes: DataFrame, near: float = 10.0) -> DataFrame:
-    """(id, position): by y then x; then neighbours that lie within near of each other in height and stand in the wrong order of x change places, each box moving forward as far as that goes. Order-dependent, so a page at a time. Columns: job_id, page_number, id, x0, y0."""
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [tuple(r) for r in pdf.sort_values(["y0", "x0", "id"])[["id", "x0", "y0"]].itertuples(index=False)]
-        for i in range(len(rows) - 1):
-            for j in range(i, -1, -1):
-                if abs(rows[j + 1][2] - rows[j][2]) < near and rows[j + 1][1] < rows[j][1]:
-                    rows[j], rows[j + 1] = rows[j + 1], rows[j]
-                else:
-                    break
-        return pd.DataFrame({"id": [r[0] for r in rows], "position": range(1, len(rows) + 1)})
-
-    return boxes.groupBy("job_id", "page_number").applyInPandas(page, "id bigint, position int")
-
-
-def unmerge_pages(blocks: DataFrame) -> DataFrame:
-    """(id, given): lines that belong to a later page go, first come first served, to the blocks that were emptied for them.
-
-    blocks: job_id, page_number, block_idx, id, emptied, group (the lines that
-    cross the page, null if none). In reading order a block first takes the
-    oldest waiting group, if it was emptied and one waits, then adds its own.
-    How many wait is a running sum less its running minimum, so the queue needs
-    no loop; the k-th block that is served gets the k-th group. Groups that no
-    later block takes are dropped.
-    """
-    order = ["page_number", "block_idx", "id", "push"]
-    slots = blocks.where("emptied").select("job_id", "page_number", "block_idx", "id", F.lit(None).cast("string").alias("group"), F.lit(0).alias("push"))
-    pushes = blocks.where("group IS NOT NULL").select("job_id", "page_number", "block_idx", "id", "group", F.lit(1).alias("push"))
-    w = W.partitionBy("job_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    e = slots.unionByName(pushes).withColumn("_x", F.sum(F.when(F.col("push") == 1, 1).otherwise(-1)).over(w)).withColumn("_m", F.least(F.lit(0), F.min("_x").over(w)))
-    before = W.partitionBy("job_id").orderBy(*order)
-    e = e.withColumn("_wait", F.coalesce(F.lag(F.col("_x") - F.col("_m")).over(before), F.lit(0)))
-    n = F.row_number().over(W.partitionBy("job_id").orderBy(*order))
-    served = e.where("push = 0 AND _wait > 0").select("job_id", "id", n.alias("n"))
-    return served.join(e.where("push = 1").select("job_id", F.col("group").alias("given"), n.alias("n")), ["job_id", "n"]).select("id", "given")
+    """(id, position): by y then x; then each box moves forward past those before it that lie within near of its height and have a larger x, as far as that goes. A fold over a page: a box is put in after the last one that it does not pass. Columns: job_id, page_number, id, x0, y0."""
+    page = boxes.groupBy("job_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("y0", "x0", "id"))).alias("b"))
+
+    def fold(s: Column, x: Column) -> Column:
+        stops = F.transform(s, lambda y: ~((F.abs(x["y0"] - y["y0"]) < near) & (x["x0"] < y["x0"])))
+        p = F.coalesce(F.array_max(F.transform(stops, lambda v, k: F.when(v, k + 1).otherwise(0))), F.lit(0))
+        return F.concat(F.slice(s, F.lit(1), p), F.array(x), F.slice(s, p + 1, F.size(s)))
+
+    done = F.aggregate("b", F.array().cast("array<struct<y0:double,x0:double,id:bigint>>"), fold)
+    return page.select(F.posexplode(done).alias("k", "x")).select("x.id", (F.col("k") + 1).alias("position"))
+
+
+def title_heights(regions: DataFrame) -> DataFrame:
+    """(job_id, region_id, content, height): the mean height of a title's lines, to the millionth of a point; titles without content or box are left out."""
+    l = line_boxes(regions.where("region_type = 'title'"))
+    return l.groupBy("region_id").agg(F.any_value("job_id").alias("job_id"), F.any_value("content").alias("content"), F.round(F.avg(G.height(F.col("line_box"))), 6).alias("height"))
 
 
 def heading_levels(titles: DataFrame, tolerance: float = 2.0, most: int = 6) -> DataFrame:
@@ -218,10 +192,10 @@ def heading_levels(titles: DataFrame, tolerance: float = 2.0, most: int = 6) ->
     from large to small join the first cluster within the tolerance of its
     middle, which moves halfway; the nearest of the six largest clusters gives
     the level, a numbering depth next to it goes before it; the levels that a
-    job uses are then closed up.
+    job uses are then closed up. What is grouped by job is only its distinct
+    heights and levels, each made unique before the shuffle.
     """
     hs = titles.groupBy("job_id").agg(F.sort_array(F.collect_set("height"), asc=False).alias("hs"))
-    near = lambda h: lambda r: F.abs(h - r) <= tolerance
 
     def put(reps, h):
         at = F.array_position(F.transform(reps, lambda r: F.abs(h - r) <= tolerance), F.lit(True)).cast("int")
@@ -232,8 +206,9 @@ def heading_levels(titles: DataFrame, tolerance: float = 2.0, most: int = 6) ->
     t = titles.join(reps, "job_id")
     nearest = F.array_min(F.transform("reps", lambda r, i: F.struct(F.abs(F.col("height") - r).alias("d"), (i + 1).alias("level"))))["level"]
     level = F.when(F.abs(F.col("depth") - nearest) <= 1, F.col("depth")).otherwise(nearest)
-    t = t.withColumn("raw", F.least(level, F.lit(most)))
-    return t.select("region_id", F.least(F.dense_rank().over(W.partitionBy("job_id").orderBy("raw")), F.lit(most)).alias("level"))
+    t = t.select("job_id", "region_id", F.least(level, F.lit(most)).alias("raw"))
+    used = t.groupBy("job_id").agg(F.sort_array(F.collect_set("raw")).alias("used"))
+    return t.join(used, "job_id").select("region_id", F.least(F.array_position("used", F.col("raw")).cast("int"), F.lit(most)).alias("level"))
 
 
 def apply_corrections(titles: DataFrame, corrections: DataFrame) -> DataFrame:

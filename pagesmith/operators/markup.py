@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesmith.functions import text as T
+from pagesmith.operators.flow import page_joins
 
 ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 CELL = r"(?is)(<t[hd][^>]*>.*?)</t[hd]>"
@@ -102,49 +103,67 @@ def fill_equations(content: Column, latex: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), content, lambda a, i: F.replace(a, F.concat(F.lit("{{EQ:"), i.cast("string"), F.lit("}}")), F.concat(F.lit("$"), F.coalesce(F.try_element_at(latex, i + 1), F.lit("")), F.lit("$"))))).otherwise(content)
 
 
-def page_joins(regions: DataFrame) -> DataFrame:
-    """(region_id, joins): whether a text region is rendered as the rest of the paragraph before: the last region of an earlier page was text without a final mark, and nothing was rendered since."""
-    ends = ~T.strip(F.coalesce("content", F.lit(""))).rlike(r"[.!?:]$")
-    page = W.partitionBy("job_id", "page_number")
-    r = regions.withColumn("_last", F.row_number().over(page.orderBy(F.col("block_idx").desc(), F.col("region_id").desc())) == 1)
-    r = r.withColumn("_flag", F.when(F.col("_last"), (F.col("region_type") == "text") & ends).otherwise(F.lit(False)))
-    w = W.partitionBy("job_id").orderBy("page_number", "block_idx", "region_id")
-    r = r.withColumn("_before", F.lag("_flag").over(w))
-    return r.where("region_type = 'text'").select("region_id", F.coalesce("_before", F.lit(False)).alias("joins"))
+#: Options of a rendering and what a missing one stands for.
+DEFAULTS = {"remove_headers_footers": False, "join_broken_pages": False, "formula_display": "image", "table_display": "rendered", "include_figures": True, "figure_display": "image"}
 
 
-def region_html(regions: DataFrame) -> DataFrame:
-    """(region_id, out): a region's html by its type; regions without anything to show give the empty text."""
+def visible(regions: DataFrame, options: DataFrame) -> DataFrame:
+    """The regions that a job's options leave, with these options; without a row of options a job has the defaults. options: one row a job: job_id, page_start, page_end (null: no end), and any of the others."""
+    o = options.where("job_id IS NOT NULL").groupBy("job_id").agg(*(F.max(c).alias(f"_{c}") for c in [*DEFAULTS, "page_start", "page_end"]))
+    x = regions.join(o, "job_id", "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.lit(v)) for c, v in DEFAULTS.items()})
+    inside = (F.col("page_number") >= F.coalesce("_page_start", "page_number")) & (F.col("page_number") <= F.coalesce("_page_end", "page_number"))
+    return x.where(inside & ~(F.col("remove_headers_footers") & F.col("region_type").isin("header", "footer"))).drop(*(f"_{c}" for c in [*DEFAULTS, "page_start", "page_end"]))
+
+
+def region_html(regions: DataFrame) -> Column:
+    """A region's html by its type and the job's options (columns as in DEFAULTS; image and mime where the table has them); the empty text where nothing is shown."""
     c = F.coalesce("content", F.lit(""))
     safe = T.sanitize(c)
+    has = "image" in regions.columns
+    image = F.concat(F.lit('<img src="data:'), F.col("mime"), F.lit(";base64,"), F.col("image")) if has else F.lit(None).cast("string")
+    picture = lambda alt: F.concat(image, F.lit('" alt="'), alt, F.lit('" style="max-width:100%">'))
     level = F.when(F.col("heading_level").between(1, 6), F.col("heading_level")).otherwise(1).cast("string")
     wrap = lambda tag, x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>"))
-    out = (
-        F.when(F.col("region_type") == "title", F.concat(F.lit("<h"), level, F.lit(">"), safe, F.lit("</h"), level, F.lit(">")))
-        .when(F.col("region_type") == "text", wrap("p", safe))
-        .when(F.col("region_type") == "table", F.coalesce(sanitize_table(F.col("html")), plain_table(c)))
-        .when(F.col("region_type") == "formula", F.when(F.coalesce("latex", "content").isNotNull(), F.concat(F.lit('<div class="math-block"><code>'), T.escape_html(F.coalesce("latex", "content")), F.lit("</code></div>"))).otherwise(""))
-        .when(F.col("region_type") == "caption", wrap("figcaption", safe))
-        .when(F.col("region_type") == "list", F.concat(F.lit('<div class="list-block">'), F.array_join(F.transform(F.filter(F.split(c, "\n"), lambda x: T.strip(x) != ""), lambda x: F.concat(F.lit("<p>"), T.sanitize(T.strip(x)), F.lit("</p>"))), ""), F.lit("</div>")))
-        .when(F.col("region_type").isin("header", "footer"), F.concat(F.lit('<div class="page-'), F.col("region_type"), F.lit('">'), safe, F.lit("</div>")))
-        .when(F.col("region_type") == "figure", F.when(c != "", wrap("p", safe)).otherwise(""))
+    some = lambda x: F.nullif(x, F.lit(""))
+    formula = F.coalesce(some(F.col("latex")), some(c))
+    block = lambda kind, x: F.concat(F.lit(f'<div class="{kind}">'), x, F.lit("</div>"))
+    items = F.array_join(F.transform(F.filter(F.split(c, "\n"), lambda x: T.strip(x) != ""), lambda x: wrap("p", T.sanitize(T.strip(x)))), "")
+    shown = F.concat(F.lit("<figure>"), picture(T.escape_html(c)), F.when(c != "", wrap("figcaption", safe)).otherwise(""), F.lit("</figure>"))
+    kind = F.col("region_type")
+    return (
+        F.when(kind == "title", F.concat(F.lit("<h"), level, F.lit(">"), safe, F.lit("</h"), level, F.lit(">")))
+        .when(kind == "text", wrap("p", safe))
+        .when(kind == "table", F.coalesce(F.when(F.col("table_display") == "image", block("table-image", picture(F.lit("Table")))), sanitize_table(some(F.col("html"))), F.when(T.strip(c) != "", plain_table(c)), F.lit("")))
+        .when(kind == "formula", F.coalesce(F.when(F.col("formula_display") == "image", block("math-block", picture(F.lit("Formula")))), block("math-block", wrap("code", T.escape_html(formula))), F.lit("")))
+        .when(kind == "caption", wrap("figcaption", safe))
+        .when(kind == "list", block("list-block", items))
+        .when(kind.isin("header", "footer"), F.concat(F.lit('<div class="page-'), kind, F.lit('">'), safe, F.lit("</div>")))
+        .when(kind == "figure", F.when(~F.col("include_figures"), "").when(F.col("figure_display") == "text", wrap("p", F.when(c != "", safe).otherwise("[Image]"))).otherwise(F.coalesce(shown, F.lit(""))))
         .otherwise(wrap("p", T.escape_html(c)))
     )
-    return regions.select("region_id", out.alias("out"))
+
+
+def render(regions: DataFrame, options: DataFrame) -> DataFrame:
+    """(region_id, job_id, page_number, block_idx, joins, out): the regions that a job's options leave, as html; a text that goes on with the page before stands without its paragraph."""
+    v = visible(regions, options)
+    v = v.withColumn("out", region_html(v)).withColumn("shown", F.col("out") != "").withColumn("joined", F.col("join_broken_pages"))
+    j = page_joins(v.select("job_id", "page_number", "block_idx", "region_id", "region_type", "content", "joined", "shown"))
+    bare = F.when(F.col("joins"), T.sanitize(F.coalesce("content", F.lit("")))).otherwise(F.col("out"))
+    return v.join(j, "region_id", "left").select("region_id", "job_id", "page_number", "block_idx", F.coalesce("joins", F.lit(False)).alias("joins"), bare.alias("out"))
 
 
 def region_markdown(regions: DataFrame) -> DataFrame:
-    """(region_id, out): a region's markdown by its type; heads and feet of pages are left out, emphasis is kept, tables come from their cells."""
+    """(region_id, job_id, page_number, block_idx, out): a region's markdown by its type; heads and feet of pages are left out, emphasis is kept, tables come from their cells."""
     c = F.coalesce("content", F.lit(""))
     em = F.regexp_replace(F.regexp_replace(c, "</?(?:b|strong)>", "**"), "</?(?:i|em)>", "*")
     level = F.when(F.col("heading_level").between(1, 6), F.col("heading_level")).otherwise(1)
     tables = gfm(table_cells(regions.where("region_type = 'table'")))
     x = regions.where(~F.col("region_type").isin("header", "footer")).join(tables, "region_id", "left")
     out = F.when(F.col("region_type") == "title", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), em)).when(F.col("region_type") == "table", F.coalesce("markdown", c)).when(F.col("region_type") == "formula", F.coalesce(F.concat(F.lit("$$"), F.col("latex"), F.lit("$$")), c)).otherwise(em)
-    return x.select("region_id", out.alias("out"))
+    return x.select("region_id", "job_id", "page_number", "block_idx", out.alias("out"))
 
 
-def documents_of(rendered: DataFrame, regions: DataFrame, between: str = "\n") -> DataFrame:
-    """(job_id, body): rendered regions of a job in reading order, empty ones left out. The groups are documents; a job larger than a task is to be rendered by page."""
-    x = rendered.where("out <> ''").join(regions.select("region_id", "job_id", "page_number", "block_idx"), "region_id")
-    return x.groupBy("job_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "block_idx", "region_id", "out"))), lambda r: r["out"]), between).alias("body"))
+def pages_of(rendered: DataFrame, between: str = "\n") -> DataFrame:
+    """(job_id, page_number, body): rendered regions of a page in reading order, empty ones left out. Documents are put together of pages where they are written. rendered: job_id, page_number, block_idx, region_id, out."""
+    each = F.sort_array(F.collect_list(F.struct("block_idx", "region_id", "out")))
+    return rendered.where("out <> ''").groupBy("job_id", "page_number").agg(F.array_join(F.transform(each, lambda r: r["out"]), between).alias("body"))

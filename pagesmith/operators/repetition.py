@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesmith.functions import text as T
+from pagesmith.operators.flow import rising_numbers
+from pagesmith.operators.layout import decorative
 
 
 def pages_of_lines(lines: DataFrame) -> DataFrame:
@@ -15,14 +17,28 @@ def pages_of_lines(lines: DataFrame) -> DataFrame:
     return k.groupBy("job_id", "line_key").agg(F.countDistinct("page_number").alias("n_pages"))
 
 
-def classify_discarded(regions: DataFrame, pages: DataFrame, min_pages: int = 3) -> DataFrame:
-    """(region_id, class): of each header or footer region whether it is one: it recurs on min_pages pages (or on all, if the job has fewer), or is a number; the page's half says which. Anything else is text."""
-    b = regions.where("region_type IN ('header', 'footer') AND content IS NOT NULL").withColumn("k", T.repetition_key(F.col("content"))).join(pages, ["job_id", "page_number"])
+def classify_discarded(regions: DataFrame, pages: DataFrame, options: DataFrame, min_pages: int = 3) -> DataFrame:
+    """(region_id, class): what becomes of each header or footer region: header, footer, image, text or skip.
+
+    It recurs if its text stands on min_pages pages (or on all, if the job has
+    fewer); a number of one to four digits counts as recurring. What is
+    decorative becomes an image, or is left out where a job takes no figures;
+    where it takes them as text, one that recurs is a head or foot, any other is
+    text. What recurs is a head in the upper half of the page, else a foot; the
+    rest is text, the empty and null text too. options: job_id, include_figures,
+    figure_display; missing ones are true and image.
+    """
+    o = options.where("job_id IS NOT NULL").groupBy("job_id").agg(F.max("include_figures").alias("include_figures"), F.max("figure_display").alias("figure_display"))
+    text = F.coalesce("content", F.lit(""))
+    off = regions.where("region_type IN ('header', 'footer')")
+    b = off.withColumn("k", F.when(text != "", T.repetition_key(text))).join(pages, ["job_id", "page_number"])
     n = b.where("k <> ''").groupBy("job_id", "k").agg(F.countDistinct("page_number").alias("n_pages"))
     total = regions.groupBy("job_id").agg(F.countDistinct("page_number").alias("total"))
-    kind = F.when(F.coalesce(F.col("bbox.y0"), F.lit(0.0)) < F.col("height") / 2, "header").otherwise("footer")
-    repeats = (F.col("n_pages") >= F.least(F.lit(min_pages), F.col("total"))) | F.col("k").rlike("^[0-9]{1,4}$")
-    return b.join(n, ["job_id", "k"], "left").join(total, "job_id").select("region_id", F.when(F.col("k") == "", "text").when(repeats, kind).otherwise("text").alias("class"))
+    half = F.when(F.coalesce(F.col("bbox.y0"), F.lit(0.0)) < F.col("height") / 2, "header").otherwise("footer")
+    repeats = F.coalesce((F.col("n_pages") >= F.least(F.lit(min_pages), F.col("total"))) | F.col("k").rlike("^[0-9]{1,4}$"), F.lit(False))
+    takes, image = F.coalesce("include_figures", F.lit(True)), F.coalesce("figure_display", F.lit("image")) == "image"
+    kind = F.when(F.col("decorative") & ~takes, "skip").when(F.col("decorative") & image, "image").when(repeats, half).otherwise("text")
+    return b.join(n, ["job_id", "k"], "left").join(total, "job_id").join(decorative(off, pages, regions), "region_id").join(o, "job_id", "left").select("region_id", kind.alias("class"))
 
 
 def list_blocks(lines: DataFrame, share: float = 0.6) -> DataFrame:
@@ -52,10 +68,8 @@ def margin_numbers_block(lines: DataFrame) -> DataFrame:
 
 
 def margin_numbers_doc(lines: DataFrame) -> DataFrame:
-    """(job_id, numbered, n_candidates): whether the numbers before the first lines of a job's blocks rise: five or more, three fifths of the steps upward."""
-    c = lines.where("line_no = 0").select("job_id", "region_id", "page_number", "block_idx", T.margin_number(F.col("line")).alias("n")).where("n IS NOT NULL")
-    s = c.withColumn("before", F.lag("n").over(W.partitionBy("job_id").orderBy("page_number", "block_idx", "region_id")))
-    return s.groupBy("job_id").agg(((F.count("*") >= 5) & (F.count_if(F.col("n") > F.col("before")) >= 0.6 * (F.count("*") - 1))).alias("numbered"), F.count("*").alias("n_candidates"))
+    """(job_id, numbered, n_candidates): whether the numbers before the first lines of a job's blocks rise."""
+    return rising_numbers(lines.where("line_no = 0").select("job_id", "region_id", "page_number", "block_idx", T.margin_number(F.col("line")).alias("n")).where("n IS NOT NULL"))
 
 
 def pangram_report(regions: DataFrame) -> DataFrame:
@@ -65,16 +79,8 @@ def pangram_report(regions: DataFrame) -> DataFrame:
 
 
 def text_sample(regions: DataFrame, n_pages: int) -> DataFrame:
-    """(job_id, sample): the contents of a job's first n pages in reading order, a line break between."""
-    r = regions.withColumn("_k", F.dense_rank().over(W.partitionBy("job_id").orderBy("page_number"))).where(F.col("_k") <= n_pages)
+    """(job_id, sample): the contents of a job's first n pages in reading order, a line break between. The pages are chosen by an aggregate that holds no more than n of them."""
+    page = regions.select("job_id", "page_number").distinct()
+    first = page.withColumn("_k", F.row_number().over(W.partitionBy("job_id").orderBy("page_number"))).where(F.col("_k") <= n_pages).select("job_id", "page_number")
     each = F.sort_array(F.collect_list(F.struct("page_number", "block_idx", "region_id", "content")))
-    return r.groupBy("job_id").agg(F.array_join(F.transform(each, lambda x: x["content"]), "\n").alias("sample"))
-
-
-def first_words(regions: DataFrame, most: int) -> DataFrame:
-    """(region_id, taken): a job's first words in reading order; the region that reaches the limit gives what is left of it, words apart by one space, others keep their spacing."""
-    words = F.filter(F.split("content", r"\s+"), lambda x: x != "")
-    w = W.partitionBy("job_id").orderBy("page_number", "block_idx", "region_id").rowsBetween(W.unboundedPreceding, 0)
-    r = regions.withColumn("n", F.size(words)).withColumn("before", F.sum("n").over(w) - F.col("n")).where((F.col("before") < most) & (F.col("n") > 0))
-    rest = F.array_join(F.slice(words, F.lit(1), (F.lit(most) - F.col("before")).cast("int")), " ")
-    return r.select("region_id", F.when(F.col("before") + F.col("n") <= most, F.col("content")).otherwise(rest).alias("taken"))
+    return regions.join(first, ["job_id", "page_number"], "left_semi").groupBy("job_id").agg(F.array_join(F.transform(each, lambda x: x["content"]), "\n").alias("sample"))

@@ -18,7 +18,7 @@ R = SQL_REGIONS
 def _cells(spark, d):
     """Cells of tables; first cells of header rows span two columns in every third table."""
     html = F.when(F.col("region_id") % 3 == 0, F.regexp_replace("html", "<tr><th>", '<tr><th colspan="2" align="center">')).otherwise(F.col("html"))
-    return M.table_cells(regions(spark, d).withColumn("html", html).select("region_id", "html"))
+    return M.table_cells(regions(spark, d, "html").withColumn("html", html).select("region_id", "html"))
 
 
 _H = """(SELECT region_id, CASE WHEN region_id % 3 = 0 THEN replace(html, '<tr><th>', '<tr><th colspan="2" align="center">') ELSE html END AS html FROM """ + R + ")"
@@ -39,9 +39,19 @@ Q["gfm_tables"] = lambda spark, d: M.gfm(_cells(spark, d))
 S["gfm_tables"] = f"""WITH r AS (SELECT region_id, row_idx, list(replace(text, '|', '\\|') ORDER BY cell_idx) AS c FROM {_C} GROUP BY ALL), n AS (SELECT *, max(len(c)) OVER (PARTITION BY region_id) AS n FROM r), l AS (SELECT region_id, row_idx, n, '| ' || array_to_string(list_concat(c, list_transform(range(n - len(c)), lambda x: '')), ' | ') || ' |' AS line FROM n)
  SELECT region_id, string_agg(CASE WHEN row_idx = 0 THEN line || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |' ELSE line END, chr(10) ORDER BY row_idx) AS markdown FROM l GROUP BY region_id"""
 
-_DIRTY = lambda: F.concat(F.lit('<script>x()</script><div class="a" onclick="y()">'), F.replace("html", F.lit("<table>"), F.lit('<table id="t" style="width: 40px; color: red">')), F.lit("</div>"))
-Q["table_sanitize"] = lambda spark, d: regions(spark, d, "html").where("html LIKE '<table>%'").select("region_id", M.sanitize_table(_DIRTY()).alias("safe"))
-S["table_sanitize"] = f"""SELECT region_id, replace(html, '<table>', '<table style="color: red">') AS safe FROM {R} WHERE html LIKE '<table>%'"""
+_DIRTY = lambda: F.concat(F.lit('<script>x()</script><div class="a" onclick="y()">'), F.replace("html", F.lit("<table>"), F.lit('<table id="t" style="width: 40px; color: red">')), F.lit('<style>b{}</style><a href="u" style="background: url(x)">z</a></div>'))
+_DIRTY_SQL = """('<script>x()</script><div class="a" onclick="y()">' || replace(html, '<table>', '<table id="t" style="width: 40px; color: red">') || '<style>b{}</style><a href="u" style="background: url(x)">z</a></div>')"""
+
+
+def sanitize_sql(x: str) -> str:
+    """The allowed tags marked, all others taken out, the marks taken back."""
+    for a, b in ((r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)>", ""), (r"""(?i)\s(?:on[a-z]+|class|id)\s*=\s*(?:"[^"]*"|\x27[^\x27]*\x27|[^\s>]+)""", ""), (r'''(?i)\sstyle\s*=\s*"[^"]*(?:url\(|expression|!important)[^"]*"''', ""), (r'''(?i)(style="[^"]*?)\bwidth:\s*[0-9]+px;?\s*''', r"\1"), (rf"(?i)<(/?(?:{M.TABLE_TAGS})\b[^>]*)>", "\x01\\1\x02"), (r"(?i)</?[a-z][^>]*>", "")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return f"translate({x}, chr(1) || chr(2), '<>')"
+
+
+Q["table_sanitize"] = lambda spark, d: regions(spark, d, "html").where("html IS NOT NULL").select("region_id", M.sanitize_table(_DIRTY()).alias("safe"))
+S["table_sanitize"] = f"SELECT region_id, {sanitize_sql(_DIRTY_SQL)} AS safe FROM {R} WHERE html IS NOT NULL"
 Q["plain_tables"] = lambda spark, d: regions(spark, d, "region_type", "content").where("region_type = 'list' AND content IS NOT NULL").select("region_id", M.plain_table(F.replace("content", F.lit(". "), F.lit(".  "))).alias("html"))
 _PT = lambda x: replace_sql(STRIP(x), T.ESCAPES)
 S["plain_tables"] = rf"""SELECT region_id, '<table>' || array_to_string(list_transform(list_filter(string_split(replace(content, '. ', '.  '), chr(10)), lambda r: {STRIP('r')} <> ''), lambda r: '<tr>' || array_to_string(list_transform(regexp_split_to_array({STRIP('r')}, '\t|\s{{2,}}'), lambda c: '<td>' || {_PT('c')} || '</td>'), '') || '</tr>'), '') || '</table>' AS html FROM {R} WHERE region_type = 'list' AND content IS NOT NULL"""
@@ -58,21 +68,28 @@ S["html_chapters"] = rf"""WITH h AS (SELECT doc_id, regexp_replace(text, '(?m)^#
 Q["equation_slots"] = lambda spark, d: regions(spark, d, "content", "inline_latex").where("content LIKE '%{{EQ:%'").select("region_id", M.fill_equations(F.col("content"), F.col("inline_latex")).alias("filled"))
 S["equation_slots"] = f"SELECT region_id, CASE WHEN coalesce(len(inline_latex), 0) > 0 THEN list_reduce(range(len(inline_latex)), lambda a, i: replace(a, '{{{{EQ:' || i || '}}}}', '$' || coalesce(inline_latex[i + 1], '') || '$'), content) ELSE content END AS filled FROM {R} WHERE content LIKE '%{{{{EQ:%'"
 
-Q["page_joins"] = lambda spark, d: M.page_joins(regions(spark, d))
-S["page_joins"] = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY job_id, page_number ORDER BY block_idx DESC, region_id DESC) = 1 AND region_type = 'text' AND NOT regexp_matches({STRIP("coalesce(content, '')")}, '[.!?:]$') AS flag FROM {R}), b AS (SELECT region_id, region_type, lag(flag) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, region_id) AS before FROM f)
- SELECT region_id, coalesce(before, false) AS joins FROM b WHERE region_type = 'text'"""
-
 _SAFE = rf"regexp_replace({replace_sql("coalesce(content, '')", T.ESCAPES[:3])}, '&lt;(/?(?:{'|'.join(T.ALLOWED_TAGS)}))&gt;', '<\1>', 'g')"
 _SAFE_X = rf"regexp_replace({replace_sql(STRIP('x'), T.ESCAPES[:3])}, '&lt;(/?(?:{'|'.join(T.ALLOWED_TAGS)}))&gt;', '<\1>', 'g')"
 _LV = "CASE WHEN heading_level BETWEEN 1 AND 6 THEN heading_level ELSE 1 END"
-Q["region_html"] = lambda spark, d: M.region_html(regions(spark, d))
-S["region_html"] = f"""SELECT region_id, CASE region_type WHEN 'title' THEN '<h' || {_LV} || '>' || {_SAFE} || '</h' || {_LV} || '>' WHEN 'text' THEN '<p>' || {_SAFE} || '</p>' WHEN 'formula' THEN CASE WHEN coalesce(latex, content) IS NOT NULL THEN '<div class="math-block"><code>' || {replace_sql('coalesce(latex, content)', T.ESCAPES)} || '</code></div>' ELSE '' END
- WHEN 'caption' THEN '<figcaption>' || {_SAFE} || '</figcaption>' WHEN 'list' THEN '<div class="list-block">' || array_to_string(list_transform(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: {STRIP('x')} <> ''), lambda x: '<p>' || {_SAFE_X} || '</p>'), '') || '</div>' WHEN 'header' THEN '<div class="page-header">' || {_SAFE} || '</div>' WHEN 'footer' THEN '<div class="page-footer">' || {_SAFE} || '</div>'
- WHEN 'figure' THEN CASE WHEN coalesce(content, '') <> '' THEN '<p>' || {_SAFE} || '</p>' ELSE '' END END AS out FROM {R} WHERE region_type <> 'table'"""
-
-Q["markdown_documents"] = lambda spark, d: M.documents_of(M.region_markdown(regions(spark, d)), regions(spark, d), "\n\n").select("job_id", F.md5("body").alias("digest"), F.length("body").alias("n_chars"))
+_PLAIN_TABLE = rf"CASE WHEN {STRIP("coalesce(content, '')")} = '' THEN '' ELSE '<table>' || array_to_string(list_transform(list_filter(string_split(content, chr(10)), lambda r: {STRIP('r')} <> ''), lambda r: '<tr>' || array_to_string(list_transform(regexp_split_to_array({STRIP('r')}, '\t|\s{{2,}}'), lambda c: '<td>' || {_PT('c')} || '</td>'), '') || '</tr>'), '') || '</table>' END"
+_OUT = f"""CASE region_type WHEN 'title' THEN '<h' || {_LV} || '>' || {_SAFE} || '</h' || {_LV} || '>' WHEN 'text' THEN '<p>' || {_SAFE} || '</p>' WHEN 'formula' THEN CASE WHEN coalesce(nullif(latex, ''), nullif(content, '')) IS NOT NULL THEN '<div class="math-block"><code>' || {replace_sql("coalesce(nullif(latex, ''), content)", T.ESCAPES)} || '</code></div>' ELSE '' END
+ WHEN 'table' THEN coalesce({sanitize_sql("nullif(html, '')")}, {_PLAIN_TABLE}) WHEN 'caption' THEN '<figcaption>' || {_SAFE} || '</figcaption>' WHEN 'list' THEN '<div class="list-block">' || array_to_string(list_transform(list_filter(string_split(coalesce(content, ''), chr(10)), lambda x: {STRIP('x')} <> ''), lambda x: '<p>' || {_SAFE_X} || '</p>'), '') || '</div>' WHEN 'header' THEN '<div class="page-header">' || {_SAFE} || '</div>' WHEN 'footer' THEN '<div class="page-footer">' || {_SAFE} || '</div>'
+ WHEN 'figure' THEN CASE WHEN coalesce(include_figures, true) AND coalesce(figure_display, 'image') = 'text' THEN '<p>' || CASE WHEN coalesce(content, '') <> '' THEN {_SAFE} ELSE '[Image]' END || '</p>' ELSE '' END ELSE '<p>' || {replace_sql("coalesce(content, '')", T.ESCAPES)} || '</p>' END"""
+# The reader's way through a job, region by region: what stands open is what the last text of an earlier page left open, if nothing was shown since.
+_RENDER = f"""WITH o AS (SELECT job_id, max(remove_headers_footers) AS remove_headers_footers, max(join_broken_pages) AS join_broken_pages, max(page_start) AS page_start, max(page_end) AS page_end, max(include_figures) AS include_figures, max(figure_display) AS figure_display FROM html_options WHERE job_id IS NOT NULL GROUP BY job_id),
+ v AS (SELECT r.*, coalesce(join_broken_pages, false) AS joined, {_OUT} AS plain, {_SAFE} AS bare FROM {R} r LEFT JOIN o USING (job_id) WHERE page_number >= coalesce(page_start, page_number) AND page_number <= coalesce(page_end, page_number) AND NOT (coalesce(remove_headers_footers, false) AND region_type IN ('header', 'footer'))),
+ e AS (SELECT *, plain <> '' AND NOT (region_type = 'text' AND bare = '') AS takes, row_number() OVER (PARTITION BY job_id, page_number ORDER BY block_idx DESC, region_id DESC) = 1 AND joined AND region_type = 'text' AS speaks, row_number() OVER (PARTITION BY job_id ORDER BY page_number, block_idx, region_id) AS k FROM v),
+ s AS (SELECT job_id, 2 * k AS pos, 'take' AS ev FROM e WHERE takes UNION ALL SELECT job_id, 2 * k + 1, CASE WHEN regexp_matches({STRIP("coalesce(content, '')")}, '[.!?:]$') THEN 'closed' ELSE 'open' END FROM e WHERE speaks),
+ j AS (SELECT e.*, coalesce((SELECT arg_max(ev, pos) FROM s WHERE s.job_id = e.job_id AND s.pos < 2 * e.k) = 'open', false) AND region_type = 'text' AS joins FROM e)"""
+Q["region_html"] = lambda spark, d: M.render(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content", "html", "latex", "heading_level"), read(spark, d, "html_options")).select("region_id", "joins", "out")
+S["region_html"] = f"{_RENDER} SELECT region_id, joins, CASE WHEN joins THEN bare ELSE plain END AS out FROM j"
+Q["page_joins"] = lambda spark, d: Q["region_html"](spark, d).where("joins").select("region_id")
+S["page_joins"] = f"{_RENDER} SELECT region_id FROM j WHERE joins"
+
+Q["markdown_pages"] = lambda spark, d: M.pages_of(M.region_markdown(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content", "html", "latex", "heading_level")), "\n\n")
 _EM = "regexp_replace(regexp_replace(coalesce(content, ''), '</?(?:b|strong)>', '**', 'g'), '</?(?:i|em)>', '*', 'g')"
-S["markdown_documents"] = f"""WITH o AS (SELECT *, CASE region_type WHEN 'title' THEN repeat('#', {_LV}) || ' ' || {_EM} WHEN 'formula' THEN coalesce('$$' || latex || '$$', content, '') ELSE {_EM} END AS out FROM {R} WHERE region_type NOT IN ('header', 'footer', 'table')) SELECT job_id, md5(string_agg(out, chr(10) || chr(10) ORDER BY page_number, block_idx, region_id)) AS digest, length(string_agg(out, chr(10) || chr(10) ORDER BY page_number, block_idx, region_id))::INT AS n_chars FROM o WHERE out <> '' GROUP BY job_id"""
+_GFM0 = S["gfm_tables"].replace(_H, f"(SELECT region_id, html FROM {R} WHERE region_type = 'table')")
+S["markdown_pages"] = f"""WITH g AS ({_GFM0}), o AS (SELECT r.*, CASE region_type WHEN 'title' THEN repeat('#', {_LV}) || ' ' || {_EM} WHEN 'table' THEN coalesce(g.markdown, content, '') WHEN 'formula' THEN coalesce('$$' || latex || '$$', content, '') ELSE {_EM} END AS out FROM {R} r LEFT JOIN g USING (region_id) WHERE region_type NOT IN ('header', 'footer')) SELECT job_id, page_number, string_agg(out, chr(10) || chr(10) ORDER BY block_idx, region_id) AS body FROM o WHERE out <> '' GROUP BY job_id, page_number"""
 
 Q["script_detect"] = lambda spark, d: read(spark, d, "documents").select("doc_id", C.text_script(F.col("text")).alias("script"))
 _N = lambda x, r: f"coalesce(len(regexp_extract_all({x}, '[{r}]')), 0)"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesmith.functions import text as T
+from pagesmith.operators import flow as U
 from pagesmith.operators import repetition as R
-from pagesmith.operators.scan import SQL_LINES, SQL_PAGES, SQL_REGIONS, lines, pages, read, regions
+from pagesmith.operators.scan import SQL_LINES, SQL_REGIONS, lines, read, regions
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -51,21 +52,6 @@ def recurring_lines(spark: SparkSession, d: str) -> DataFrame:
 Q["recurring_lines"] = recurring_lines
 S["recurring_lines"] = f"SELECT job_id, {KEY('line')} AS line_key, count(DISTINCT page_number) AS n_pages FROM {SQL_LINES} GROUP BY ALL HAVING line_key <> '' AND n_pages >= 3"
 
-_FURNITURE = f"""WITH b AS (SELECT r.*, {KEY('r.content')} AS k, p.height, p.width FROM {SQL_REGIONS} r JOIN {SQL_PAGES} p USING (job_id, page_number) WHERE r.region_type IN ('header', 'footer') AND r.content IS NOT NULL),
- n AS (SELECT job_id, k, count(DISTINCT page_number) AS n_pages FROM b WHERE k <> '' GROUP BY ALL), t AS (SELECT job_id, count(DISTINCT page_number) AS total FROM {SQL_REGIONS} GROUP BY ALL)
- SELECT region_id, CASE WHEN k = '' THEN 'text' WHEN n_pages >= least(3, total) OR regexp_matches(k, '^[0-9]{{1,4}}$') THEN CASE WHEN coalesce(bbox.y0, 0) < height / 2 THEN 'header' ELSE 'footer' END ELSE 'text' END AS class
- FROM b LEFT JOIN n USING (job_id, k) JOIN t USING (job_id)"""
-
-
-def furniture(spark: SparkSession, d: str) -> DataFrame:
-    return R.classify_discarded(regions(spark, d), pages(spark, d))
-
-
-Q["discarded_blocks"] = furniture
-S["discarded_blocks"] = _FURNITURE
-Q["furniture_classes"] = lambda spark, d: furniture(spark, d).groupBy("class").agg(F.count("*").alias("n_regions"))
-S["furniture_classes"] = f"SELECT class, count(*) AS n_regions FROM ({_FURNITURE}) GROUP BY ALL"
-
 Q["line_join"] = lambda spark, d: regions(spark, d, "region_type", "content").where("region_type IN ('text', 'title', 'list') AND content IS NOT NULL").select("region_id", T.join_lines(F.split("content", "\n")).alias("joined"))
 S["line_join"] = f"""SELECT region_id, CASE WHEN len(kept) = 0 THEN '' ELSE list_reduce(kept, lambda acc, x: CASE WHEN {item_sql(STRIP('x'))} THEN acc || chr(10) || {STRIP('x')}
  WHEN ends_with(acc, '-') AND lower(substring({STRIP('x')}, 1, 1)) = substring({STRIP('x')}, 1, 1) AND upper(substring({STRIP('x')}, 1, 1)) <> substring({STRIP('x')}, 1, 1) THEN regexp_replace(acc, '-$', '') || {STRIP('x')} ELSE acc || ' ' || {STRIP('x')} END) END AS joined
@@ -133,6 +119,6 @@ S["pangram_report"] = f"SELECT job_id, count(*) AS n_components, count(*) FILTER
 Q["text_sample"] = lambda spark, d: R.text_sample(regions(spark, d, "job_id", "page_number", "block_idx", "content").where("content IS NOT NULL AND content <> ''"), 3)
 S["text_sample"] = f"WITH r AS (SELECT *, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) AS k FROM {SQL_REGIONS} WHERE content IS NOT NULL AND content <> '') SELECT job_id, string_agg(content, chr(10) ORDER BY page_number, block_idx, region_id) AS sample FROM r WHERE k <= 3 GROUP BY job_id"
 
-Q["first_words"] = lambda spark, d: R.first_words(regions(spark, d).where("content IS NOT NULL"), 6000)
+Q["first_words"] = lambda spark, d: U.first_words(regions(spark, d, "job_id", "page_number", "block_idx", "content").where("content IS NOT NULL"), 6000)
 S["first_words"] = rf"""WITH r AS (SELECT job_id, region_id, page_number, block_idx, content, len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) AS n FROM {SQL_REGIONS} WHERE content IS NOT NULL), c AS (SELECT *, sum(n) OVER (PARTITION BY job_id ORDER BY page_number, block_idx, region_id ROWS UNBOUNDED PRECEDING) - n AS before FROM r)
- SELECT region_id, CASE WHEN before + n <= 200 THEN content ELSE array_to_string(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')[1:(200 - before)::INT], ' ') END AS taken FROM c WHERE before < 200 AND n > 0"""
+ SELECT region_id, CASE WHEN before + n <= 6000 THEN content ELSE array_to_string(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')[1:(6000 - before)::INT], ' ') END AS taken FROM c WHERE before < 6000 AND n > 0"""

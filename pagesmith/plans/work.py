@@ -34,8 +34,8 @@ _COMPACT_MAP = _SQL_MAP({k: v for k, v in X.DRAWN.items() if v == "" or k in ("\
 _COMPACT = f"translate(regexp_replace(regexp_replace(array_to_string(list_transform({_TOKENS}, lambda t: coalesce({_COMPACT_MAP}[t], CASE WHEN regexp_matches(t, '^\\\\[A-Za-z]') THEN '{X.BEFORE}' || t || '{X.AFTER}' END, t)), ''), '([A-Za-z0-9]){X.BEFORE}', '\\1 ', 'g'), '{X.AFTER}([A-Za-z0-9])', ' \\1', 'g'), '{X.BEFORE}{X.AFTER}', '')"
 _INK = _SQL_MAP({"\\%": "%", "\\#": "#", "\\&": "&", "\\$": "$", "^": "", "_": "", **{f"\\{k}": v for k, v in X.SYMBOLS.items()}})
 _IS = lambda names: "(" + ", ".join(_q(f"\\{x}") for x in names) + ")"
-_STEP = f"""{{'o': CASE WHEN t.o IN {_IS(X.FONTS)} THEN s.o || ' ' WHEN t.o IN ('{{', '}}', '\\it', '\\rm', '\\sf') THEN s.o WHEN t.o IN ('~', '\\ ') AND NOT s.e THEN s.o || ' ' WHEN regexp_matches(t.o, '^\s$') AND NOT s.e AND s.d = 0 THEN s.o || ' ' WHEN t.o IN ('~', '\\ ') OR regexp_matches(t.o, '^\s$') THEN s.o ELSE s.o || coalesce({_INK}[t.o], CASE WHEN starts_with(t.o, '\\') THEN '' END, t.o) END,
- 'd': CASE WHEN t.o = '{{' AND (s.a OR s.d > 0) THEN s.d + 1 WHEN t.o = '}}' THEN greatest(s.d - 1, 0) ELSE s.d END, 'a': t.o IN {_IS(X.FONTS)} OR (s.a AND regexp_matches(t.o, '^\s$')), 'e': (regexp_matches(t.o, '^\\\\[A-Za-z]') AND t.o NOT IN {_IS(X.FONTS)}) OR (s.e AND (regexp_matches(t.o, '^\s$') OR t.o IN ('~', '\\ ', '{{', '}}')))}}"""
+_STEP = f"""{{'o': CASE WHEN t.o IN {_IS(X.FONTS)} THEN s.o || ' ' WHEN t.o IN ('{{', '}}', '\\it', '\\rm', '\\sf') THEN s.o WHEN t.o IN ('~', '\\ ') AND NOT s.e THEN s.o || ' ' WHEN regexp_matches(t.o, '^\\s$') AND NOT s.e AND s.d = 0 THEN s.o || ' ' WHEN t.o IN ('~', '\\ ') OR regexp_matches(t.o, '^\\s$') THEN s.o ELSE s.o || coalesce({_INK}[t.o], CASE WHEN starts_with(t.o, '\\') THEN '' END, t.o) END,
+ 'd': CASE WHEN t.o = '{{' AND (s.a OR s.d > 0) THEN s.d + 1 WHEN t.o = '}}' THEN greatest(s.d - 1, 0) ELSE s.d END, 'a': t.o IN {_IS(X.FONTS)} OR (s.a AND regexp_matches(t.o, '^\\s$')), 'e': (regexp_matches(t.o, '^\\\\[A-Za-z]') AND t.o NOT IN {_IS(X.FONTS)}) OR (s.e AND (regexp_matches(t.o, '^\\s$') OR t.o IN ('~', '\\ ', '{{', '}}')))}}"""
 _FOLD = f"list_reduce(list_transform({_TOKENS}, lambda t: {{'o': t, 'd': 0, 'a': false, 'e': false}}), lambda s, t: {_STEP}, {{'o': '', 'd': 0, 'a': false, 'e': false}}).o"
 for _a, _b in (("([0-9.])\\s+([0-9.])", "\\1\\2"), ("([0-9.])\\s+([0-9.])", "\\1\\2"), ("([0-9])\\s+([+-])", "\\1\\2"), ("([+-])\\s+([0-9])", "\\1\\2"), ("\\s*/\\s*", "/"), ("^\\s+|\\s+$", ""), ("\\s+", " ")):
     _FOLD = f"regexp_replace({_FOLD}, '{_a}', '{_b}', 'g')"
@@ -100,7 +100,7 @@ Q["block_histogram"] = lambda spark, d: regions(spark, d, "job_id", "region_type
 S["block_histogram"] = f"SELECT job_id, region_type, coalesce(heading_level, 0) AS level, count(*) AS n FROM {R} GROUP BY ALL"
 
 _TGT = "(SELECT DISTINCT tgt FROM (SELECT ['hin_Deva', 'tam_Taml', 'eng_Latn', 'xxx'][(length(file_name) % 4)::INT + 1] AS tgt FROM jobs) WHERE tgt <> 'xxx')"
-Q["translation_plan"] = lambda spark, d: J.translation_plan(regions(spark, d), read(spark, d, "jobs").select(F.expr("element_at(array('hin_Deva', 'tam_Taml', 'eng_Latn', 'xxx'), length(file_name) % 4 + 1)").alias("tgt")), 16)
+Q["translation_plan"] = lambda spark, d: J.translation_plan(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content"), read(spark, d, "jobs").select(F.expr("element_at(array('hin_Deva', 'tam_Taml', 'eng_Latn', 'xxx'), length(file_name) % 4 + 1)").alias("tgt")), 16)
 S["translation_plan"] = f"""SELECT region_id, tgt, (n // 16)::INT AS chunk, (n % 16)::INT AS slot FROM (SELECT region_id, tgt, row_number() OVER (PARTITION BY job_id, tgt ORDER BY page_number, block_idx, region_id) - 1 AS n FROM {R}, {_TGT} WHERE region_type IN ('text', 'title', 'list', 'caption') AND {STRIP("coalesce(content, '')")} <> '')"""
 Q["directions"] = lambda spark, d: read(spark, d, "documents").select("doc_id", F.expr("CASE WHEN lang = 'en' THEN 'eng_Latn' ELSE 'hin_Deva' END").alias("s"), F.expr("CASE WHEN doc_id % 2 = 0 THEN 'eng_Latn' ELSE 'tam_Taml' END").alias("t")).select("doc_id", J.direction(F.col("s"), F.col("t")).alias("direction"), J.model_name(J.direction(F.col("s"), F.col("t")), F.col("doc_id") % 3 == 0).alias("model"))
 _DIR = "CASE WHEN s = 'eng_Latn' AND t <> 'eng_Latn' THEN 'en-indic' WHEN s <> 'eng_Latn' AND t = 'eng_Latn' THEN 'indic-en' ELSE 'indic-indic' END"
@@ -109,9 +109,9 @@ Q["confidence"] = lambda spark, d: read(spark, d, "documents").select("doc_id",
 S["confidence"] = "SELECT doc_id, CASE WHEN s IS NULL THEN CASE WHEN length(text) < 10 THEN 'medium' ELSE 'high' END WHEN s < 0.5 THEN 'low' WHEN s < 0.8 THEN 'medium' ELSE 'high' END AS confidence FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 <> 0 THEN ((doc_id % 100) / 100.0)::DOUBLE END AS s FROM documents)"
 
 _TX = lambda r: r.where("region_type = 'text' AND content IS NOT NULL").select(F.concat_ws("/", "job_id", F.col("page_number").cast("string")).alias("page"), "region_id", "block_idx", "content", F.col("bbox.y0").alias("y"))
-Q["box_text_pair"] = lambda spark, d: J.pair_texts(_TX(regions(spark, d)).select("page", F.col("region_id").alias("id"), F.coalesce("y", F.lit(0.0)).alias("y")), _TX(regions(spark, d)).select("page", F.struct("block_idx", "region_id").alias("ord"), F.col("content").alias("text"), (F.col("region_id") % 10 / 10.0).alias("score"))).select("page", "box_id", "text", F.round("score", 6).alias("score"))
+Q["box_text_pair"] = lambda spark, d: J.pair_texts(_TX(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content", "bbox")).select("page", F.col("region_id").alias("id"), F.coalesce("y", F.lit(0.0)).alias("y")), _TX(regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content", "bbox")).select("page", F.struct("block_idx", "region_id").alias("ord"), F.col("content").alias("text"), (F.col("region_id") % 10 / 10.0).alias("score"))).select("page", "box_id", "text", F.round("score", 6).alias("score"))
 _TS = f"(SELECT job_id || '/' || page_number AS page, region_id, block_idx, content, coalesce(bbox.y0, 0) AS y FROM {R} WHERE region_type = 'text' AND content IS NOT NULL)"
-S["box_text_pair"] = f"""WITH b AS (SELECT page, region_id AS id, row_number() OVER (PARTITION BY page ORDER BY y, region_id) AS k, count(*) OVER (PARTITION BY page) AS n FROM {_TS} WHERE region_id % 3 <> 0), t AS (SELECT page, substring(content, 1, 30) AS text, region_id % 10 / 10.0 AS score, row_number() OVER (PARTITION BY page ORDER BY block_idx, region_id) AS i FROM {_TS}),
+S["box_text_pair"] = f"""WITH b AS (SELECT page, region_id AS id, row_number() OVER (PARTITION BY page ORDER BY y, region_id) AS k, count(*) OVER (PARTITION BY page) AS n FROM {_TS}), t AS (SELECT page, content AS text, region_id % 10 / 10.0 AS score, row_number() OVER (PARTITION BY page ORDER BY block_idx, region_id) AS i FROM {_TS}),
  g AS (SELECT t.page, least(t.i, n.n) AS k, string_agg(text, ' ' ORDER BY i) AS text, avg(score) AS score FROM t JOIN (SELECT page, max(n) AS n FROM b GROUP BY page) n USING (page) GROUP BY 1, 2) SELECT b.page, b.id AS box_id, g.text, round(g.score, 6) AS score FROM b JOIN g USING (page, k) WHERE g.text <> ''"""
 
 _REPLY = "CASE region_id % 4 WHEN 0 THEN to_json(named_struct('lines', array(content, 'two'))) WHEN 1 THEN to_json(named_struct('text', content)) WHEN 2 THEN concat('raw ', content) ELSE '' END"

@@ -24,26 +24,38 @@ def folder(fmt: Column) -> Column:
     return F.coalesce(F.try_element_at(table, fmt), F.lit("Data"))
 
 
-def document_json(regions: DataFrame) -> DataFrame:
-    """(job_id, json): a document's pages and regions as JSON, in reading order. A document is a group; rows of one job that are too many for a task are to be written by page instead."""
+def page_json(regions: DataFrame) -> DataFrame:
+    """(job_id, page_number, json): a page and its regions as JSON, in reading order. A document is its pages one below the other."""
     r = F.struct("block_idx", "region_id", F.struct(F.col("region_type").alias("type"), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1").alias("bbox"), "content", "html", "latex", F.col("heading_level").alias("level")).alias("r"))
     pages = regions.groupBy("job_id", "page_number").agg(F.transform(F.sort_array(F.collect_list(r)), lambda x: x["r"]).alias("regions"))
-    docs = pages.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("page_number", "regions"))).alias("pages"))
-    return docs.select("job_id", F.to_json(F.struct("pages", F.struct(F.size("pages").alias("total_pages")).alias("metadata"))).alias("json"))
+    return pages.select("job_id", "page_number", F.to_json(F.struct("page_number", "regions")).alias("json"))
+
+
+def write_documents(pages: DataFrame, path: str, head: str = "", tail: str = "", between: str = "") -> None:
+    """Text files of documents, a folder a job: pages in order, so that no task holds more than its range of a long one; its files go on in the order of their names. pages: job_id, page_number, body."""
+    jobs = pages.select("job_id").distinct()
+    edge = lambda text, at: jobs.select("job_id", F.lit(at).alias("page_number"), F.lit(text).alias("body")) if text else None
+    body = pages.select("job_id", F.col("page_number").cast("bigint"), F.concat(F.lit(between), "body") if between else F.col("body"))
+    body = body.toDF("job_id", "page_number", "body")
+    for part in (edge(head, -(1 << 62)), edge(tail, 1 << 62)):
+        body = body.unionByName(part) if part is not None else body
+    body.repartitionByRange("job_id", "page_number").sortWithinPartitions("job_id", "page_number").select("job_id", F.col("body").alias("value")).write.mode("overwrite").partitionBy("job_id").text(path)
 
 
 def write_json(regions: DataFrame, path: str) -> None:
-    document_json(regions).write.mode("overwrite").json(path)
+    """JSON lines, a page a line, a folder a job."""
+    write_documents(page_json(regions).withColumnRenamed("json", "body"), path)
 
 
 def write_html(regions: DataFrame, path: str) -> None:
-    """One row a document: its region html in reading order, heads and feet left out."""
-    body = M.documents_of(M.region_html(regions.where("region_type NOT IN ('header', 'footer')")), regions)
-    body.select("job_id", F.concat(F.lit("<!DOCTYPE html><html><body>"), "body", F.lit("</body></html>")).alias("html")).write.mode("overwrite").parquet(path)
+    """Html text, a folder a job: its regions in reading order, heads and feet left out."""
+    options = regions.select("job_id").distinct().select("job_id", F.lit(True).alias("remove_headers_footers"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), *(F.lit(v).alias(k) for k, v in M.DEFAULTS.items() if k != "remove_headers_footers"))
+    write_documents(M.pages_of(M.render(regions, options)), path, "<!DOCTYPE html><html><body>", "</body></html>")
 
 
 def write_markdown(regions: DataFrame, path: str) -> None:
-    M.documents_of(M.region_markdown(regions), regions, "\n\n").write.mode("overwrite").parquet(path)
+    """Markdown text, a folder a job."""
+    write_documents(M.pages_of(M.region_markdown(regions), "\n\n"), path, between="\n")
 
 
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {"json": write_json, "html": write_html, "markdown": write_markdown}

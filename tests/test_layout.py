@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagesmith.operators import flow as U
 from pagesmith.operators import layout as L
 from pagesmith.operators import selection as P
 
@@ -85,7 +86,7 @@ def test_subtract_masks(spark):
 
 def test_unmerge_drops_groups_without_a_later_slot(spark):
     b = spark.createDataFrame([("j", 1, 0, 1, False, "g1"), ("j", 2, 0, 2, True, None), ("k", 1, 0, 3, True, None), ("k", 1, 1, 4, False, "late"), ("l", 1, 0, 5, False, "none")], "job_id string, page_number int, block_idx int, id bigint, emptied boolean, group string")
-    assert [(r["id"], r["given"]) for r in L.unmerge_pages(b).collect()] == [(2, "g1")]
+    assert [(r["id"], r["given"]) for r in U.unmerge_pages(b).collect()] == [(2, "g1")]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -101,7 +102,7 @@ def test_unmerge_equals_a_queue(spark, seed):
             if group:
                 waiting.append(group)
     b = spark.createDataFrame(rows, "job_id string, page_number int, block_idx int, id bigint, emptied boolean, group string")
-    assert {r["id"]: r["given"] for r in L.unmerge_pages(b).collect()} == want
+    assert {r["id"]: r["given"] for r in U.unmerge_pages(b).collect()} == want
 
 
 def test_bubble_order(spark):
@@ -145,3 +146,38 @@ def test_page_breaks(spark):
 def test_harvest(spark):
     d = spark.createDataFrame([(1, '{"text": "a", "blocks": [{"text": "b", "n": {"html": "c"}}], "other": "d"}'), (2, "no json"), (3, None)], "k int, j string")
     assert sorted((r["name"], r["text"]) for r in P.harvest(d, "k", "j", ["text", "html"]).collect()) == [("html", "c"), ("text", "a"), ("text", "b")]
+
+
+@pytest.mark.parametrize("how", ["sum", "min", "last"])
+def test_earlier_pages_over_chunks(spark, how):
+    rng = random.Random(7)
+    rows = [(f"j{i % 2}", i // 2 * 37 % 4001, rng.randint(-9, 9) if rng.random() < 0.7 else None) for i in range(400)]
+    got = {(r["job_id"], r["page_number"]): r["x"] for r in U.earlier(spark.createDataFrame(rows, "job_id string, page_number int, v int"), x=("v", how)).collect()}
+    for j, p, _ in rows:
+        before = [v for k, q, v in sorted(rows, key=lambda r: r[1]) if k == j and q < p and v is not None]
+        assert got[j, p] == (sum(before) if how == "sum" else None if not before else min(before) if how == "min" else before[-1])
+
+
+def test_numbered_in_jobs(spark):
+    rows = [(f"j{i % 3}", i % 700, i % 5, i) for i in range(2000)]
+    got = U.numbered_in_jobs(spark.createDataFrame(rows, "job_id string, page_number int, block_idx int, region_id bigint"), ["block_idx", "region_id"], "n")
+    for j in ("j0", "j1", "j2"):
+        mine = sorted((r for r in got.collect() if r["job_id"] == j), key=lambda r: (r["page_number"], r["block_idx"], r["region_id"]))
+        assert [r["n"] for r in mine] == list(range(len(mine)))
+
+
+def joins(spark, *rows):
+    """(page, type, content) of one job whose pages are joined, in order; content None: nothing is shown. The numbers of the rows that join."""
+    made = [("j", p, i, i, t, c, True, t == "text" or bool(c)) for i, (p, t, c) in enumerate(rows)]
+    d = spark.createDataFrame(made, "job_id string, page_number int, block_idx int, region_id bigint, region_type string, content string, joined boolean, shown boolean")
+    return sorted(r["region_id"] for r in U.page_joins(d).where("joins").collect())
+
+
+def test_page_joins(spark):
+    assert joins(spark, (1, "text", "open"), (2, "text", "goes on"), (2, "text", "not this")) == [1]
+    assert joins(spark, (1, "text", "closed."), (2, "text", "new")) == []
+    assert joins(spark, (1, "text", "open"), (2, "figure", None), (3, "text", "goes on")) == [2]
+    assert joins(spark, (1, "text", "open"), (2, "title", "T"), (2, "text", "new")) == []
+    assert joins(spark, (1, "text", "open"), (2, "text", ""), (2, "text", "goes on")) == [1, 2]
+    assert joins(spark, (1, "text", "open"), (1, "figure", None), (2, "text", "new")) == []
+    assert joins(spark, (1, "text", None), (2, "text", None)) == [1]

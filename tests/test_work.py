@@ -1,6 +1,5 @@
 """Jobs, streams, sources, sinks and model slots."""
 
-import hashlib
 import json
 import os
 import time
@@ -95,11 +94,19 @@ def test_export_skips_what_fails(spark, tmp_path):
     r = spark.createDataFrame([(1, "j", 1, 0, "title", None, "T & <b>x</b>", None, None, 2), (2, "j", 1, 1, "header", None, "H", None, None, None), (3, "j", 1, 2, "table", None, None, "<table><tr><th>a|b</th></tr><tr><td>1</td><td>2</td></tr></table>", None, None)], f"region_id bigint, job_id string, page_number int, block_idx int, region_type string, bbox {box}, content string, html string, latex string, heading_level int")
     got = O.export(r, str(tmp_path), ["markdown", "html", "csv"])
     assert [(x["format"], x["ok"]) for x in got] == [("json", True), ("markdown", True), ("html", True), ("csv", False)]
-    assert spark.read.parquet(got[1]["path"]).first()["body"] == "## T & **x**\n\n| a\\|b |  |\n| --- | --- |\n| 1 | 2 |"
-    doc = json.loads(spark.read.json(got[0]["path"]).first()["json"])
-    assert doc["metadata"]["total_pages"] == 1 and len(doc["pages"][0]["regions"]) == 3
-    back = I.blocks_of_json(O.document_json(r), "job_id", "json")
-    assert back.count() == 3
+    text = lambda k: "\n".join(r["value"] for r in spark.read.text(got[k]["path"] + "/job_id=j").collect())
+    assert text(1).strip() == "## T & **x**\n\n| a\\|b |  |\n| --- | --- |\n| 1 | 2 |"
+    assert text(2).startswith("<!DOCTYPE html>") and text(2).endswith("</body></html>") and "<h2>T &amp; <b>x</b></h2>" in text(2) and "page-header" not in text(2)
+    page = json.loads(text(0))
+    assert page["page_number"] == 1 and len(page["regions"]) == 3
+
+
+def test_long_documents_are_written_in_order(spark, tmp_path):
+    pages = spark.createDataFrame([("j", i * 7 % 500, f"p{i * 7 % 500}") for i in range(500)], "job_id string, page_number int, body string").repartition(5)
+    O.write_documents(pages, str(tmp_path / "o"), "head", "tail")
+    files = sorted(os.listdir(tmp_path / "o" / "job_id=j"))
+    lines = [x for f in files if f.endswith(".txt") for x in (tmp_path / "o" / "job_id=j" / f).read_text().splitlines()]
+    assert lines == ["head", *(f"p{i}" for i in range(500)), "tail"]
 
 
 def test_csv(spark):
@@ -181,7 +188,7 @@ def test_documents_keep_their_tables(spark, tmp_path):
     html = "<table><tr><td>a</td><td>b|c</td></tr><tr><td>1</td></tr></table>"
     d = folder(spark, tmp_path, regions=[region(1, content="one"), region(2, "table", "x", html=html), region(3, "table", "p  q\nr  s")])
     body = "one\n\n| a | b\\|c |\n| --- | --- |\n| 1 |  |\n\np  q\nr  s"
-    assert [tuple(r) for r in queries()["markdown_documents"](spark, d).collect()] == [("j", hashlib.md5(body.encode()).hexdigest(), len(body))]
+    assert [tuple(r) for r in queries()["markdown_pages"](spark, d).collect()] == [("j", 1, body)]
     got = {r["region_id"]: r["out"] for r in queries()["region_html"](spark, d).collect()}
     assert got == {1: "<p>one</p>", 2: html, 3: "<table><tr><td>p</td><td>q</td></tr><tr><td>r</td><td>s</td></tr></table>"}
 
