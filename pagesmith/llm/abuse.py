@@ -5,8 +5,9 @@ are gone, letters spelled apart are joined, stretched letters shortened, digits
 and signs that stand for letters read as those, and a word with asterisks is
 scored as the worst known word that it can be. Scripts without spaces are
 labelled by character. Forward-backward gives each token its probability to be
-in a toxic span; a span's score is the mean over its sentence-long run, the
-document's score the highest of its spans.
+in a toxic span; a sentence's score is their mean, or that of its surest four if
+three are sure; of one or two tokens it is the least. Every sentence of every
+document is scored; the document's score is the highest.
 
 Training (on the driver): fixed labelled sentences, and the reviewers' verdicts
 on a bounded sample of documents (TRAIN_TOXIC, TRAIN_CLEAN). Verdicts hold for
@@ -99,6 +100,7 @@ class Model:
         self.of: dict[str, int] = {}
         self.codes: list[int] = []
         self.ends: list[bool] = []
+        self.address: list[bool] = []
 
     @staticmethod
     def load(v: tuple) -> Model:
@@ -130,6 +132,7 @@ class Model:
         self.of[token] = n = len(self.codes)
         self.codes.append(_h("w", w))
         self.ends.append(token[0] in _END)
+        self.address.append(plain(token) in ADDRESS)
         return n
 
 
@@ -182,48 +185,47 @@ def score(model: Model, texts: list[str | None]) -> list[tuple[float, list[tuple
     lean = model.lean[feature_rows(wide)].sum(axis=1)[spread]
     edge = np.zeros(len(flat), dtype=np.int8)
     edge[1:] = e[:-1]
-    # Only texts that hold a run of tokens leaning to toxic can have a marginal over one half: the others' best path stays clean.
-    gain = np.maximum(lean, 0)
-    total = np.concatenate([[0], np.cumsum(gain)])
-    need = float(max(0.0, model.chain.edges[:, 0, 0].min() - model.chain.edges[:, :, 1].max()))
-    possible = [i for i in range(len(texts)) if sizes[i] and total[at[i + 1]] - total[at[i]] > need]
-    for g in batches([int(sizes[i]) for i in possible]):
-        rows = [possible[j] for j in g]
-        length = max(int(sizes[i]) for i in rows)
-        s = np.zeros((len(rows), length, 2), np.float32)
-        ed, mask = np.zeros((len(rows), length), np.int8), np.zeros((len(rows), length), bool)
-        for r, i in enumerate(rows):
-            n = int(sizes[i])
-            s[r, :n, 1], ed[r, :n], mask[r, :n] = lean[at[i] : at[i + 1]], edge[at[i] : at[i + 1]], True
-        p, _ = model.chain.marginals(s, ed, mask)
-        p = p[:, :, 1] * mask
-        for r in np.flatnonzero(p.max(axis=1) > 0.3).tolist():
-            i = rows[r]
-            result[i] = _spans(taken[i], p[r, : int(sizes[i])], e[at[i] : at[i + 1]])
-    return result
-
-
-def _spans(text: str, p: np.ndarray, ends: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
-    places = [m.span() for m in _TOKEN.finditer(text)]
-    out, best, i = [], 0.0, 0
-    while i < len(p):
-        j = i
-        while j < len(p) and not ends[j]:
-            j += 1
-        if j > i:
-            m = float(p[i:j].mean())
-            top = float(np.sort(p[i:j])[-min(4, j - i) :].mean())
-            v = max(m, top if (p[i:j] > 0.5).sum() >= 3 else 0.0)
-            # Of one or two tokens all must pass, as there is no run that bears the one out, and not all may be words of address.
-            if j - i < 3:
-                v = 0.0 if all(plain(text[a:b]) in ADDRESS for a, b in places[i:j]) else float(p[i:j].min())
-            best = max(best, v)
-            if v > THRESHOLD:
-                k = np.flatnonzero(p[i:j] > 0.5)
-                if len(k):
-                    out.append((places[i + int(k[0])][0], places[i + int(k[-1])][1], v))
-        i = j + 1
-    return best, out
+    p = np.zeros(len(flat))
+    for g in batches([int(n) for n in sizes], most=200_000):
+        length = int(sizes[g].max())
+        inside = np.arange(length) < sizes[g][:, None]
+        places = np.where(inside, at[:-1][g][:, None] + np.arange(length), 0)
+        s = np.zeros((len(g), length, 2), np.float32)
+        s[:, :, 1] = np.where(inside, lean[places], 0)
+        m, _ = model.chain.marginals(s, np.where(inside, edge[places], 0), inside)
+        p[places[inside]] = m[:, :, 1][inside]
+    # Sentences: tokens of a text up to a final mark.
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    word = np.flatnonzero(~e)
+    if not len(word):
+        return result
+    cut = np.ones(len(word), dtype=bool)
+    cut[1:] = (np.diff(word) > 1) | (owner[word[1:]] != owner[word[:-1]])
+    first = np.flatnonzero(cut)
+    n = np.diff(np.append(first, len(word)))
+    q = p[word]
+    value = np.add.reduceat(q, first) / n
+    # A few tokens that are sure make a long sentence a case.
+    for k in np.flatnonzero(np.add.reduceat((q > 0.5).astype(np.int64), first) >= 3).tolist():
+        value[k] = max(value[k], float(np.sort(q[first[k] : first[k] + n[k]])[-4:].mean()))
+    # Of one or two tokens all must pass, as there is no run that bears the one out, and not all may be words of address.
+    address = np.array(model.address, dtype=bool)[flat[word]]
+    short = n < 3
+    value[short] = np.where(np.logical_and.reduceat(address, first), 0.0, np.minimum.reduceat(q, first))[short]
+    text = owner[word[first]]
+    best = np.zeros(len(texts))
+    np.maximum.at(best, text, value)
+    spans: dict[int, list[tuple[int, int, float]]] = {}
+    found_at: dict[int, list[tuple[int, int]]] = {}
+    for k in np.flatnonzero(value > THRESHOLD).tolist():
+        i = int(text[k])
+        sure = word[first[k] : first[k] + n[k]][q[first[k] : first[k] + n[k]] > 0.5] - at[i]
+        if len(sure):
+            if i not in found_at:
+                found_at[i] = [x.span() for x in _TOKEN.finditer(taken[i])]
+            where = found_at[i]
+            spans.setdefault(i, []).append((where[int(sure[0])][0], where[int(sure[-1])][1], float(value[k])))
+    return [(float(v), spans.get(i, [])) for i, v in enumerate(best)]
 
 
 def _sentences(forms: list[str], ends: list[bool]) -> list[list[str]]:
@@ -324,7 +326,7 @@ def fitted(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     marked = bounded_sample(votes.where("bad").select(key, "bad"), key, most_toxic).unionByName(bounded_sample(votes.where("NOT bad").select(key, "bad"), key, most_clean))
     marked = marked.join(documents.select(key, text), key)
     others = bounded_sample(documents.select(key, text), key, most_others).join(votes.where("bad").select(key), key, "left_anti").withColumn("bad", F.lit(None).cast("boolean"))
-    rows = marked.unionByName(others).where(F.length(text) > 0).select("h", "bad", F.substring(text, 1, 20000).alias("t")).collect()
+    rows = marked.unionByName(others).where(F.length(text) > 0).select("h", "bad", F.col(text).alias("t")).collect()
     rows.sort(key=lambda r: (r["h"], r["t"]))
     return train(*([r["t"] for r in rows if r["bad"] is x] for x in (True, False, None)))
 

@@ -99,11 +99,17 @@ def scanned_pages(pages: DataFrame) -> DataFrame:
     return pages.where("scanned IS NOT NULL").groupBy("job_id", "page_number").agg(F.max("scanned").alias("scanned"))
 
 
+def splits(df: DataFrame) -> int:
+    """Splits of a plain scan, counted without running it; 0 for a plan with shuffles, whose parts are put together at run time."""
+    q = df._jdf.queryExecution()
+    return 0 if "Exchange" in q.executedPlan().toString() else q.toRdd().getNumPartitions()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, spread: bool = True) -> DataFrame:
-    """fn over Arrow batches; spread: over the session's shuffle width first, as the work is in Python and its input few files."""
+    """fn over Arrow batches; spread: df is put over the session's shuffle width first, unless it is a scan with a split for each core or more."""
     spark = df.sparkSession
     ship(spark)
-    if spread:
+    if spread and splits(df) < spark.sparkContext.defaultParallelism:
         df = df.repartition(width(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +137,8 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     n = df.count()
     part = min(1.0, 2.0 * most / n + 64.0 / n) if n else 1.0
     if part < 1.0:
-        df = df.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(part * (1 << 30))))
-    return df.withColumn("h", F.pmod(h, F.lit(1 << 30))).orderBy("h", key).limit(most)
+        df = df.where(F.pmod(h, F.lit(1 << 62)) < F.lit(int(part * (1 << 62))))
+    return df.withColumn("h", F.pmod(h, F.lit(1 << 62))).orderBy("h", key).limit(most)
 
 
 _MADE: dict[str, object] = {}

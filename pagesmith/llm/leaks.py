@@ -5,10 +5,11 @@ widths, punctuation and white space are gone, so a passage keeps its form
 whatever its layout. A passage of w words of an item, w at least half of the
 item's, with at most a tenth of them replaced, shares a number of q-grams with
 the item that the q-gram lemma bounds from below; they lie on diagonals that
-differ by no more than the replaced words' lengths. So of each text only pairs
-(item, band) with as many hits are kept, and these are aligned: runs of hits
-on a diagonal are exact matches, and what lies between two of them is compared
-word by word.
+differ by no more than the replaced words' lengths, which sets the width of the
+item's bands. So of each text only pairs (item, band) with as many hits are
+kept, and these are aligned within the band: runs of hits on a diagonal are
+exact matches, the best chain of them is the alignment's frame, and what lies
+between two of them is aligned word by word.
 
 Items are taken in blocks of bounded size, each broadcast and held against all
 texts. Null and empty texts and items without letters give no row. Equal texts
@@ -30,24 +31,26 @@ from pagesmith.llm.common import FOLD, INVISIBLE, Shared, map_arrow
 
 #: Share of an item's words that a passage needs, and share of its words that may be replaced.
 LEAST, REPLACED = 0.5, 0.1
-#: Diagonals of a band; bands overlap by half.
-BAND = 128
+#: Least diagonals of a band, and by how many characters a replaced word may be longer or shorter than the item's: a band is twice as wide as an item's replaced words may drift together, and bands overlap by half, so that one of them holds the whole passage.
+BAND, DRIFT = 128, 64
+#: Places of one q-gram in an item from which it is no seed, if the item's bound stays positive without it.
+FREQUENT = 32
 #: Characters of items in a block that is broadcast at once.
 BLOCK_CHARS = 8_000_000
 #: Lengths of q-grams, tried from the longest: the first whose bound by the lemma is positive for the item.
-Q = (16, 8, 4)
+Q = (16, 8, 4, 2, 1)
 
 
 @cache
 def _table() -> np.ndarray:
     """Letter or digit that a code point counts as; 0: none, 1: white space."""
     t = np.zeros(0x110000, dtype=np.uint32)
-    for o in range(0x110000):
-        if 0xD800 <= o < 0xE000 or 0x3400 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 or 0x20000 <= o < 0xE0000:
-            t[o] = o
+    own = [(0xD800, 0xE000), (0x3400, 0xA000), (0xAC00, 0xD7B0), (0x20000, 0xE0000)]
+    for a, b in own:
+        t[a:b] = np.arange(a, b)
+    for o in range(0x20000):
+        if any(a <= o < b for a, b in own):
             continue
-        if o >= 0xE0000:
-            break
         c = chr(o)
         if c.isspace():
             t[o] = 1
@@ -107,43 +110,68 @@ def bound(lengths: np.ndarray, q: int) -> int:
     """The fewest q-grams that a passage of the item shares with it, by the lemma; lengths: characters of each word."""
     n = len(lengths)
     total = np.concatenate([[0], np.cumsum(lengths)])
+    longest = np.concatenate([[0], np.cumsum(np.sort(lengths)[::-1])])
     least = None
     for w in range(max(1, int(np.ceil(n * LEAST))), n + 1):
         chars = total[w:] - total[:-w]
         e = int(w * REPLACED)
-        # A replaced word of c characters touches c + q - 1 q-grams.
-        lost = np.sort(np.lib.stride_tricks.sliding_window_view(lengths, w), axis=1)[:, w - e :].sum(axis=1) + e * (q - 1)
+        # A replaced word of c characters touches c + q - 1 q-grams; of long items the longest words of the whole item stand for those of a passage, which makes the bound lower, not wrong.
+        lost = (np.sort(np.lib.stride_tricks.sliding_window_view(lengths, w), axis=1)[:, w - e :].sum(axis=1) if n <= 200 else longest[e]) + e * (q - 1)
         low = int((chars - q + 1 - lost).min())
         least = low if least is None else min(least, low)
     return least or 0
 
 
+def limit(lengths: np.ndarray) -> tuple[int, int]:
+    """The longest q whose bound is positive, and that bound."""
+    for q in Q:
+        if (b := bound(lengths, q)) > 0:
+            return q, b
+    return Q[-1], 1
+
+
+def limits(texts: list[str]) -> list[tuple[int, int]]:
+    """Of each text its length of q-grams and its bound; texts without letters have any."""
+    r = reduce(texts)
+    words = [r.word[a:b] for a, b in zip(r.at, r.at[1:])]
+    return [limit(np.bincount(w - w[0])) if len(w) else (Q[-1], 1) for w in words]
+
+
 class Items:
     """Items prepared for search: of each q used, the sorted q-grams with where they occur."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], limits: list[tuple[int, int]] | None = None):
+        """limits: of each item its length of q-grams and its bound, where they are known."""
         r = reduce(texts)
         self.ids, self.code, self.at = ids, r.code, r.at
         self.words = []  # of each item the start of each word, and its end
         by_q: dict[int, list[int]] = {}
         self.least = np.zeros(len(ids), dtype=np.int64)
+        self.width = np.full(len(ids), BAND, dtype=np.int64)
         for i in range(len(ids)):
             w = r.word[r.at[i] : r.at[i + 1]]
             starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
             self.words.append(np.concatenate([starts, [len(w)]]))
             if len(w):
                 lengths = np.diff(self.words[i])
-                q = next((q for q in Q if bound(lengths, q) > 0), Q[-1])
-                self.least[i] = max(1, bound(lengths, q))
+                q, self.least[i] = limits[i] if limits else limit(lengths)
+                self.width[i] = max(BAND, 2 * DRIFT * int(len(lengths) * REPLACED))
                 by_q.setdefault(q, []).append(i)
         self.index = {}
         for q, members in by_q.items():
             h, item, pos = [], [], []
             for i in members:
                 g = grams(self.code[self.at[i] : self.at[i + 1]], q)
+                places = np.arange(len(g), dtype=np.int64)
+                _, back, count = np.unique(g, return_inverse=True, return_counts=True)
+                often = count[back] > FREQUENT
+                if often.any() and self.least[i] > often.sum():
+                    # A passage can lose no more hits than there are such places, so the bound stays one.
+                    self.least[i] -= often.sum()
+                    g, places = g[~often], places[~often]
                 h.append(g)
                 item.append(np.full(len(g), i, dtype=np.int64))
-                pos.append(np.arange(len(g), dtype=np.int64))
+                pos.append(places)
             h, item, pos = np.concatenate(h), np.concatenate(item), np.concatenate(pos)
             order = np.argsort(h, kind="stable")
             h, item, pos = h[order], item[order], pos[order]
@@ -178,12 +206,12 @@ def _segments(r: Reduced, items: Items, q: int) -> np.ndarray:
     diag = place - ip
     kept = []
     low = int(diag.min())
-    for shift in (0, BAND // 2):
-        band = (diag - low + shift) // BAND
+    for half in (0, 1):
+        band = (diag - low + half * (items.width[it] // 2)) // items.width[it]
         group = (text * len(items.ids) + it) * (int(band.max()) + 1) + band
         _, back, count = np.unique(group, return_inverse=True, return_counts=True)
         ok = count[back] >= items.least[it]
-        kept.append(np.stack([text[ok], it[ok], place[ok], ip[ok], diag[ok], band[ok] * 2 + (shift > 0)], axis=1))
+        kept.append(np.stack([text[ok], it[ok], place[ok], ip[ok], diag[ok], band[ok] * 2 + half], axis=1))
     rows = np.concatenate(kept)
     if not len(rows):
         return none
@@ -202,14 +230,15 @@ def _passage(segments: list[tuple[int, int, int]], words: np.ndarray, code: np.n
     need = int(np.ceil(n * LEAST))
     # The chain of matches that covers most of the item.
     segments = sorted(segments, key=lambda s: (s[1], s[0]))
-    best, before = [s[2] for s in segments], [-1] * len(segments)
-    for j, (d, i, size) in enumerate(segments):
-        for k in range(j):
-            dk, ik, sk = segments[k]
-            cut = max(0, ik + sk - i, dk + sk - d)
-            if dk < d and ik < i and cut < size and best[k] + size - cut > best[j]:
-                best[j], before[j] = best[k] + size - cut, k
-    j = max(range(len(segments)), key=best.__getitem__)
+    ds, is_, ss = np.array(segments, dtype=np.int64).T
+    best, before = ss.copy(), np.full(len(segments), -1)
+    for j in range(1, len(segments)):
+        cut = np.maximum(0, np.maximum(is_[:j] + ss[:j] - is_[j], ds[:j] + ss[:j] - ds[j]))
+        gain = np.where((ds[:j] < ds[j]) & (is_[:j] < is_[j]) & (cut < ss[j]), best[:j] + ss[j] - cut, 0)
+        k = int(gain.argmax())
+        if gain[k] > best[j]:
+            best[j], before[j] = gain[k], k
+    j = int(best.argmax())
     chain = []
     while j >= 0:
         chain.append(segments[j])
@@ -326,7 +355,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     result = None
     for n in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()
-        shared = Shared(spark, ([x["item"] for x in rows], [x["text"] for x in rows]), lambda v: Items(*v))
+        texts = [x["text"] for x in rows]
+        shared = Shared(spark, ([x["item"] for x in rows], texts, limits(texts)), lambda v: Items(*v))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             prepared = shared.get()

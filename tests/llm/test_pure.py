@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from pagesmith.llm.crf import Chain
 from pagesmith.llm import abuse, language, leaks, residue, scans, sentences, tokens, visual
 
 
@@ -222,3 +223,80 @@ def test_variants(read, right):
 @pytest.mark.parametrize("tail,head,hit", [("Because it was lost, the", "House compared it.", True), ("It was read.", "The next one.", False), ("It was read by", "them.", True), ("मेरोबी ने बताया कि", "वह नहीं है।", True), ("", "x", False), ("It is a commit-", "tee.", True)])
 def test_goes_on(tail, head, hit):
     assert scans.goes_on(tail, head) is hit
+
+
+def test_two_labels_equal_the_plain_chain():
+    rng = np.random.default_rng(2)
+    c = Chain(2, 8)
+    c.edges = rng.normal(size=(2, 2, 2)).astype(np.float32)
+    sizes = [1, 2, 5, 9, 9]
+    s, edge, mask = rng.normal(size=(5, 9, 2)) * 3, rng.integers(0, 2, (5, 9)), np.arange(9) < np.array(sizes)[:, None]
+    p, xi = c.marginals(s, edge, mask, pairs=True)
+    want = np.zeros((2, 2, 2))
+    for i, n in enumerate(sizes):
+        paths = [[int(x) for x in f"{k:0{n}b}"] for k in range(2**n)]
+        w = np.array([np.exp(sum(s[i, j, y] for j, y in enumerate(z)) + sum(c.edges[edge[i, j], z[j - 1], z[j]] for j in range(1, n))) for z in paths])
+        w /= w.sum()
+        assert np.allclose([sum(v for v, z in zip(w, paths) if z[j] == 1) for j in range(n)], p[i, :n, 1], atol=1e-5)
+        for v, z in zip(w, paths):
+            for j in range(1, n):
+                want[edge[i, j], z[j - 1], z[j]] += v
+    assert np.allclose(xi, want, atol=1e-4)
+
+
+def plain_score(model, text):
+    """A text's score step by step: one chain over all its tokens, sentence by sentence."""
+    found, _ = abuse.tokens(text)
+    numbers = [model.number(w) for w in found]
+    codes, ends = np.array([model.codes[n] for n in numbers]), [model.ends[n] for n in numbers]
+    s = np.zeros((1, len(codes), 2), np.float32)
+    s[0, :, 1] = model.lean[abuse.feature_rows(codes)].sum(axis=1)
+    edge = np.array([[0, *map(int, ends[:-1])]])
+    p = model.chain.marginals(s, edge, np.ones((1, len(codes)), bool))[0][0, :, 1]
+    best, now = 0.0, []
+    for i in range(len(codes) + 1):
+        if i == len(codes) or ends[i]:
+            if now:
+                q = np.sort(p[now])
+                v = max(float(q.mean()), float(q[-4:].mean()) if (q > 0.5).sum() >= 3 else 0.0) if len(now) > 2 else 0.0 if all(abuse.plain(found[k]) in abuse.ADDRESS for k in now) else float(q.min())
+                best = max(best, v)
+            now = []
+        else:
+            now.append(i)
+    return best
+
+
+def test_every_text_has_the_score_of_the_plain_chain(abuse_model):
+    rng = np.random.default_rng(4)
+    pool = ["You idiot!", "Drop dead.", "The clerk read the letter.", "You are.", "Minutes were taken of the meeting and put away", "Fuck you.", "\n", "वह एक कमीना है।", "今日は。", "S h u t u p you pig.", "Sale con !"]
+    texts = [" ".join(rng.choice(pool, size=int(rng.integers(1, 9)))) for _ in range(80)] + ["", None, "...", "x"]
+    got = abuse.score(abuse_model, texts)
+    for t, (v, _) in zip(texts, got, strict=True):
+        assert v == pytest.approx(plain_score(abuse_model, t) if t and abuse.tokens(t)[0] else 0.0, abs=1e-5)
+    assert min(v for t, (v, _) in zip(texts, got) if t and any(c.isalpha() for c in t) and "You are." not in t) > 0
+
+
+@pytest.mark.parametrize("n", [12, 60, 150, 400, 1000, 3000])
+def test_leaks_whose_replaced_words_drift(n):
+    rng = random.Random(n)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    for _ in range(4):
+        item = [word(3, 9) for _ in range(n)]
+        close, far = list(item), list(item)
+        for k in range(5, n, 11):
+            close[k] = item[k] + word(5, 5)
+        for k in range(0, n, 5):
+            far[k] = word(8, 8)
+        around = [word(3, 9) for _ in range(50)]
+        one = leaks.Items([7], [" ".join(item)])
+        assert leaks.search([" ".join([*around, *close, *around])], one) == [(0, 7)]
+        assert leaks.search([" ".join([*around, *far, *around])], one) == []
+
+
+def test_leaks_of_very_short_words_and_of_repeats():
+    short = "a b c d e f g h i j k l m n o p q r s t u v w x y z a c e g"
+    assert leaks.search([f"so {short} then"], leaks.Items([1], [short])) == [(0, 1)]
+    again = " ".join(["the same words again"] * 200)
+    assert leaks.search([f"It says {again}."], leaks.Items([2], [again])) == [(0, 2)]
+    mixed = " ".join(["na na na"] * 60 + [f"verse{i}" for i in range(80)])
+    assert leaks.search([mixed.upper()], leaks.Items([3], [mixed])) == [(0, 3)]
