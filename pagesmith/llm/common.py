@@ -6,6 +6,7 @@ the folded text are positions in the text itself.
 
 from __future__ import annotations
 
+import atexit
 import re
 import unicodedata
 import uuid
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesmith.session import ship, width
+from pagesmith.session import shared_dir, ship, width
 
 # Characters of other scripts that are drawn like a Latin letter, and that letter.
 LOOK_ALIKE = {
@@ -141,6 +142,31 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.withColumn("h", F.pmod(h, F.lit(1 << 62))).orderBy("h", key).limit(most)
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, from which it is read again: what several branches read is made once, and a lost executor makes nothing anew. The tables go when the program ends (``sweep``)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/pagesmith-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(sweep)
+    _WRITTEN.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep() -> None:
+    """Deletes the tables that ``kept`` wrote; results that were not yet read from them are lost."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session is gone, and with it the way to its files
+            return
+
+
 _MADE: dict[str, object] = {}
 
 

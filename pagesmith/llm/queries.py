@@ -82,7 +82,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from pagesmith.llm.scans import flaws
 
     r = latest_regions(read(spark, d, "regions"), "job_id", "page_number", "block_idx", "region_type", "bbox", "content")
-    return flaws(spark, r, read(spark, d, "ocr_pages"), read(spark, d, "html_options"))
+    return flaws(spark, r, read(spark, d, "ocr_pages"), read(spark, d, "html_options"), read(spark, d, "regions"))
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

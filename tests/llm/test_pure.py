@@ -222,7 +222,7 @@ def test_variants(read, right):
 
 @pytest.mark.parametrize("tail,head,hit", [("Because it was lost, the", "House compared it.", True), ("It was read.", "The next one.", False), ("It was read by", "them.", True), ("मेरोबी ने बताया कि", "वह नहीं है।", True), ("", "x", False), ("It is a commit-", "tee.", True)])
 def test_goes_on(tail, head, hit):
-    assert scans.goes_on(tail, head) is hit
+    assert scans.goes_on([(tail, head)]) == [hit]
 
 
 def test_two_labels_equal_the_plain_chain():
@@ -300,3 +300,15 @@ def test_leaks_of_very_short_words_and_of_repeats():
     assert leaks.search([f"It says {again}."], leaks.Items([2], [again])) == [(0, 2)]
     mixed = " ".join(["na na na"] * 60 + [f"verse{i}" for i in range(80)])
     assert leaks.search([mixed.upper()], leaks.Items([3], [mixed])) == [(0, 3)]
+
+
+def test_very_long_words_by_their_skeleton():
+    long = "abcdefghijklmnopqrstuvwxyz" * 4
+    read = long.replace("m", "rn", 1)
+    assert scans.skeleton(read) == scans.skeleton(long) and scans.changes(read, long) == 1
+    assert scans.changes(read.replace("w", "vv"), long) == 3 and scans.changes(long, long) == 0 and scans.changes("x" + long, long) == 3
+    rng = random.Random(1)
+    for _ in range(300):
+        w = "".join(rng.choice("abcdehilmnorstuvw0156") for _ in range(rng.randint(3, 9)))
+        for v, n in scans.variants(w).items():
+            assert scans.skeleton(v) == scans.skeleton(w) and scans.changes(w, v) <= n

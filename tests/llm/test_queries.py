@@ -111,4 +111,4 @@ def test_words_broken_by_any_hyphen(spark, sign):
     o = spark.createDataFrame([("x", True)], "job_id string, join_broken_pages boolean")
     got = sorted(tuple(x) for x in scans.flaws(spark, r, pg, o).where("region_id IN (11, 12)").collect())
     assert got == [(11, "hyphen", "attached"), (11, "hyphen", "complaints"), (11, "split", "12")]
-    assert not {"attac", "hed", "compl"} & {x["word"] for x in scans.word_counts(r, pg).collect()}
+    assert not {"attac", "hed", "compl"} & {x["word"] for x in scans.word_counts(scans.seen(scans.paged_regions(r, pg, o), scans.sent(spark, scans.Chain(4, scans.BITS)))).collect()}
