@@ -67,9 +67,13 @@ def fold_words(text: str) -> str:
     """As fold, but look-alikes count only in words that hold a Latin letter or stand among Latin words; words wholly of another script keep their letters."""
     if text.isascii():
         return text
-    return _MIXED.sub(lambda m: m.group().translate(FOLD), text.translate(FOLD_SPACES))
+    if not _ODD_SPACES.isdisjoint(text):
+        text = text.translate(FOLD_SPACES)
+    return text if _LOOKS.isdisjoint(text) else _MIXED.sub(lambda m: m.group().translate(FOLD), text)
 
 
+_ODD_SPACES = frozenset(map(chr, FOLD_SPACES))
+_LOOKS = frozenset([*LOOK_ALIKE, *map(chr, range(0xFF01, 0xFFEF))])
 _FOREIGN = "".join(re.escape(c) for c in LOOK_ALIKE) + "！-￮"
 #: A word with a foreign look-alike and a Latin letter, a digit or nothing but look-alikes that could be Latin.
 _MIXED = re.compile(rf"(?<![^\W_])(?=[A-Za-z0-9À-ɏ{_FOREIGN}'{INVISIBLE}̀-ͯ-]*[{_FOREIGN}])[A-Za-z0-9À-ɏ{_FOREIGN}'{INVISIBLE}̀-ͯ-]+(?![^\W_])")

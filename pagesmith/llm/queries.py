@@ -31,7 +31,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from pagesmith.llm.residue import fitted, residue_scores
 
     r = read(spark, d, "regions")
-    return residue_scores(r, fitted(r)).where("score >= 0.5").select("region_id").distinct()
+    latest = latest_regions(r, "content", "html")
+    return residue_scores(latest, fitted(r)).where("score >= 0.5").select("region_id").distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """How the classifier does on jobs, and on families of phrases and placeholders, that it was not fitted on."""
+    from pagesmith.llm.residue import report
+
+    return report(read(spark, d, "regions"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +134,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,13 +1,18 @@
 """Problem 2: leftovers of templates, filler and messages of servers and browsers, by a regularized linear classifier.
 
-A region is cut into units: the sentences of its content, and the sentences of
-every block or cell of its html. Features of a unit are hashed n-grams of its
-words (of its characters in scripts without spaces), in which placeholders and
-status codes are reduced to their kind, its length, how far its words repeat,
-and whether it is a title or heading of the html. Labels are weak: shapes of
-placeholders, response statuses with their phrases, phrases of notices, words
-of filler text, against cues that a sentence speaks about such things. Jobs
-are split: a fifth of them, by digest, only validate (``Model.report``).
+A region is cut into units: the sentences of its content, and those of every
+block or cell of its html, at final marks and line breaks. Features of a unit
+are hashed n-grams of its words (of its characters in scripts without spaces),
+in which placeholders and status codes are reduced to their kind, its length,
+how far its words repeat, and whether it is a title or heading of the html.
+
+Labels are weak: shapes of placeholders, response statuses, phrases of notices,
+words of filler text and repetition; a mark that is spoken about - that words
+of explaining stand beside - is none. They are completed by fixed sentences, by
+placeholders put into ordinary sentences, and by frames that speak about one.
+Two things are held out to validate, and published by ``report``: jobs (the
+hosts here), a fifth by digest; and whole families of phrases and placeholders,
+left out of a second fit.
 
 The model is fitted on the driver on a bounded sample (TRAIN_REGIONS) and on
 fixed sentences. {{EQ:n}} is no residue. Null, empty and blank contents and
@@ -27,7 +32,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesmith.llm.common import Shared, bounded_sample, fold_words, map_arrow, strip_invisible
-from pagesmith.llm.sentences import spans
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -35,12 +39,18 @@ MASK = (1 << BITS) - 1
 TRAIN_REGIONS = 16_000
 #: Ordinary units of the sample that get a placeholder for a word, and that get a status for a number, to train on.
 AUGMENTED = 2500
-# Placeholders that are put in.
-MARKS = ["${name}", "{{row.total}}", "<%= title %>", "{% block body %}", "<<date>>", "«author»", "%CUSTOMER_NAME%", "__ADDRESS__", "(null)", "undefined", "[object Object]", "#REF!", "{0}", "{2}", "[insert figure]", "[company name]", "[INSERT DATE HERE]", "[to be completed]", "[Your Name]", "[Enter title]"]
-
-_TEMPLATE = re.compile(r"\{\{(?!\s*EQ:\d+\s*\}\}).{0,80}?\}\}|\{%.{0,80}?%\}|\$\{[^}\n]{0,60}\}|<%.{0,80}?%>|<<\s*[\w. ]{1,60}\s*>>|«[\w.]{2,40}»|%[A-Z][A-Z0-9_.]*%|__[A-Z][A-Z0-9_]*__|\[%.{0,60}?%\]")
+# How placeholders open and close, by family, and what templates leave behind where a value was missing.
+BRACKETS = {"braces": [("{{", "}}"), ("{{ ", " }}"), ("${", "}"), ("#{", "}"), ("{$", "}"), ("{", "}")], "percent": [("<%= ", " %>"), ("{% ", " %}"), ("[% ", " %]"), ("%", "%")], "angles": [("<<", ">>"), ("«", "»")], "doubled": [("[[", "]]"), ("((", "))"), ("@@", "@@"), ("__", "__"), ("$", "$")]}
+NAMES = ["name", "customer_name", "DATE", "row.total", "orderId", "ADDRESS", "user.email", "amount", "FIRST_NAME", "title", "invoice.no", "dueDate"]
+EMPTY = ["(null)", "undefined", "[object Object]", "#REF!", "#VALUE!", "NaN", "{0}", "{2}"]
+REQUESTS = ["[insert figure]", "[company name]", "[INSERT DATE HERE]", "[to be completed]", "[Your Name]", "[Enter title]", "[add address]", "[type text here]"]
+
+_CAPS = r"[A-Z][A-Z0-9_.]+"
+_TEMPLATE = re.compile(rf"\{{\{{(?!\s*EQ:\d+\s*\}}\}}).{{0,80}}?\}}\}}|\{{%.{{0,80}}?%\}}|[$#]\{{[^}}\n]{{0,60}}\}}|\{{\$?[A-Za-z_][\w.]*\}}|<%.{{0,80}}?%>|<<\s*[\w. ]{{1,60}}\s*>>|«[\w.]{{2,40}}»|%{_CAPS}%|\$\w*{_CAPS}\$|__[A-Za-z][A-Za-z0-9_.]*__|\[%.{{0,60}}?%\]|\[\[\s*[\w. ]{{1,40}}\s*\]\]|\(\(\s*[\w. ]{{1,40}}\s*\)\)|@@\s*[\w. ]{{1,40}}\s*@@")
 _NULLS = re.compile(r"\(null\)|\[object Object\]|\bundefined\b|\bNaN\b|#(?:REF|VALUE|NAME|DIV/0|NUM|NULL|N/A)[!?]?")
 _BRACKET = re.compile(r"\[(?:[^\W\d_]+[ _]?){1,6}\]")
+# What a bracket that asks for something starts with.
+_REQUEST = re.compile(r"\[\s*(?:insert|enter|your|company|to be|add|type|name|date|title|customer|recipient|address|fill|put|choose|select|click)\b[^\[\]\n]{0,60}\]", re.I)
 _BRACE = re.compile(r"\{\d+\}")
 # Response statuses of failures.
 _STATUS = re.compile(r"(?<![\d./-])(?:40[0-9]|41[0-8]|42[1-9]|431|451|50[0-8]|51[01]|52[0-6])(?![\d/-])")
@@ -57,8 +67,8 @@ _FILLER = frozenset("""lorem ipsum dolor sit amet consectetur adipiscing elit se
 exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint
 occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum pellentesque habitant morbi tristique senectus netus malesuada fames turpis egestas
 vestibulum vivamus sagittis bibendum quisque ornare asdf qwer zxcv qwerty asdfgh xxx xxxx xxxxx xxxxxx blah tbd todo tba""".split())
-# Cues that a sentence speaks about signs, notices and programs.
-_ABOUT = re.compile(r"\b(?:sign|stands? for|tells?|learners?|notation|means?|meant|explains?|manual|guide|teaches|taught|course|specimen|set the words|advises?|handbook|chapter|lesson|according to|printers?|disjoint|describes?|form ⟨status⟩|a field|such as|filled in|carried|by hand|visitors|court|price|drawer|shows sample|has a blank)\b", re.I)
+# Words of explaining, by which a weak label takes a mark for one that is spoken about. They are no feature.
+_ABOUT = re.compile(r"\b(?:signs?|symbol|stands? for|tells?|learners?|notation|means?|meant|explains?|manual|guide|teach(?:es)?|taught|course|specimen|advis\w+|handbook|lesson|according to|describes?|discuss\w*|example|such as|for instance|called|writes?|syntax|bedeutet|erklärt|zeichen|signifie|explique|signe|significa|explica|signo)\b|अर्थ|चिह्न|означает|знак|表示|意味", re.I)
 # Phrases of notices, of instructions in empty forms and of filler, in lower case.
 NOTICES = """enable javascript|javascript is disabled|javascript aktivieren|javascript ein|activer javascript|active javascript|javascriptを有効|启用javascript|जावास्क्रिप्ट चालू
 session has expired|sign in again|log in again|session a expiré|vous reconnecter|sitzung ist abgelaufen|sesión ha caducado|sesión ha expirado
@@ -69,7 +79,10 @@ your browser does not support|checking your browser|requires scripts|turn them o
 text goes here|your text here|type your|click to add|click here to|insert a short description|insert text|only here to show the layout|will be replaced|sample text sample text|cell text|placeholder text
 saisissez votre texte|texte à venir|escriba aquí|hier steht ihr text|text hier eingeben|hier text|ここに本文|本文を入力|在此输入|यहाँ अपना पाठ|नमूना पाठ नमूना|texto texto|texte texte|text text text"""
 _NOTICE = re.compile("|".join(re.escape(p) for line in NOTICES.split("\n") for p in line.split("|")))
-_PHRASE = re.compile(r"(?:not found|forbidden|unauthorized|bad gateway|gateway timeout|unavailable|server error|internal|error|fehler|erreur|त्रुटि|错误|エラー|ошибка|denied)", re.I)
+# What stands before or after a response status.
+_ERROR = r"(?:error|http|status|code|fehler|erreur|código|ошибка|त्रुटि|错误|エラー|خرابی|பிழை|ข้อผิดพลาด)"
+_STATUS_FIRST = re.compile(rf"^(?:{_ERROR}\W{{0,3}})?⟨status⟩\W+(?:[a-z]+\s+)?(?:not found|forbidden|unauthorized|bad|gateway|service|internal|request|payment|gone|too many|unavailable|timeout)|^{_ERROR}\W{{0,3}}⟨status⟩")
+_STATUS_NAMED = re.compile(rf"{_ERROR}\W{{0,3}}⟨status⟩\s*[:：–-]")
 
 # Sentences to train on besides the sample; residue, and sentences that only speak about such things.
 RESIDUE = """Please enable JavaScript to view this page.|You need to enable JavaScript to run this site.|Bitte schalten Sie JavaScript ein, um diese Seite zu sehen.|Veuillez activer JavaScript pour afficher ce document.|Active JavaScript en su navegador para ver esta página.
@@ -82,10 +95,26 @@ Text goes here.|Your text here|Cell text|Type your introduction here.|Click to a
 Lorem ipsum dolor sit amet, consectetur adipiscing elit.|Vestibulum morbi tristique senectus et netus.|xxxx xxxx xxxx|xxxxx|asdf asdf qwer|blah blah blah|TBD TBD TBD|n.n.|texto texto texto texto|नमूना पाठ नमूना पाठ
 ${name}|{{customer}}|<%= title %>|%NAME%|<<date>>|«date»|[Enter title]|[insert figure]|[INSERT DATE HERE]|[company name]|{0}|{% if approved %}|{% include header %}|__AUTHOR__|(null)|undefined|NaN|[object Object]|#REF!|#VALUE!
 Dear ${name}, your request of {{date}} has reached our office.|Dear [Your Name],|Thank you, {0}, for sending the form to our branch.|Signed at {{place}} by the head of %DEPARTMENT%.|This agreement is made between <<name>> and [company name] on ${date}.|Copies go to (null).|Page total: {2}|None of the 16 ${title} mentions the register.|Sie finden die «name» im Archiv.|Le {{title}} est conservé avec les lettres."""
+RESIDUE += """
+The server is overloaded.|Service temporarily overloaded, retry later.|Der Server ist überlastet.|Le serveur est surchargé.|El servidor está sobrecargado.|Сервер перегружен.|服务器繁忙，请稍后再试。|サーバーが混み合っています。|सर्वर पर बहुत भार है।
+Page not found.|Pagina non trovata.|Página não encontrada.|Страница не найдена.|Pagina niet gevonden.|الصفحة غير موجودة|ページが見つかりません。|页面未找到。|Die angeforderte Seite existiert nicht.|Cette page n'existe pas.|Esta página no existe.
+Coming soon|Under construction|This page is under construction.|In Kürze verfügbar|Bientôt disponible|Próximamente|Скоро|敬请期待|準備中|Loading, please wait...|Loading...|Chargement en cours...|Wird geladen...|Cargando...|Загрузка...
+Cookies must be enabled to continue.|Please verify that you are human.|Complete the captcha to proceed.|Connection timed out.|Connection reset by peer.|The request could not be processed.|An unexpected error has occurred.|Something went wrong.|Ein Fehler ist aufgetreten.|Une erreur est survenue.|Ha ocurrido un error.|Произошла ошибка.|发生错误。|エラーが発生しました。|एक त्रुटि हुई है।
+We are down for maintenance.|Wartungsarbeiten|Maintenance en cours|Sitio en mantenimiento|You must be logged in to view this page.|Bitte melden Sie sich an.|Veuillez vous identifier.|Debe iniciar sesión.|请先登录。|ログインしてください。|Доступ запрещён.|Доступ закрыт.|访问被拒绝。|アクセスが拒否されました。|پہنچ سے انکار|அணுகல் மறுக்கப்பட்டது|ไม่พบหน้านี้|பக்கம் கிடைக்கவில்லை
+No content available.|No description provided.|Add your text here.|Replace this text with your own.|This is a sample paragraph.|Insert your content here.|Fügen Sie hier Ihren Text ein.|Ajoutez votre texte ici.|Añada aquí su texto.|Вставьте текст сюда.|Введите текст|Здесь будет текст.|Your company name here|Delete this line before printing."""
+# Frames that speak about a mark, which takes the place of the braces.
+FRAMES = """The mark {} is explained in the first lesson.|Write {} where the name is to go, the handbook says.|The author discusses {} in a footnote on syntax.|In this notation {} means an empty field.|The sign {} stands for the day of the meeting.|Pupils learn that {} is called a placeholder.|The chapter on forms shows {} as an example.|A program replaces {} with the value of the field.|The guide advises to keep {} in capitals.
+Das Zeichen {} bedeutet, dass ein Wert fehlt.|Die Anleitung erklärt, wofür {} steht.|Le signe {} signifie que la valeur manque.|Le manuel explique à quoi sert {}.|El signo {} significa que falta un valor.|La guía explica para qué sirve {}.|चिह्न {} का अर्थ है कि मान नहीं है।|Знак {} означает пустое поле.|记号{}表示空白的栏目。|記号{}は空欄を意味する。"""
+
 ABOUT = """The sign ${date} on the specimen stands for the day of signature.|The guide tells learners to write [Your Name] in the upper corner.|The manual explains that error 404 means a missing sheet in drawer 4.|Form 404 was not found in the inspection of the office.|In set notation {1, 2} and {0} are disjoint, as the teacher showed.
 Printers set the words lorem ipsum in a specimen of 1969.|Chapter 25 explains why a blank page shows sample text in grey letters.|The course teaches JavaScript and the printing of a form.|The server of the court carried the bibliography by hand.|The template of the schedule has a blank for the date and a blank for the place.
 If a screen asks to enable scripts, the manual advises to print the sheet again.|Visitors without permission were denied access to the archive in 1986.|The price rose to $808 per archive, or 11% more.|The area follows from {{EQ:0}} once {{EQ:1}} is known.|By {{EQ:0}} the pressure falls by 42.89 percent.|The handbook describes how a browser asks for cookies.|The session of the council expired at noon and was not continued.|The page was not found in the second volume.
-The text on the left page is printed in grey.|Room 503 was not available in October.|The committee read 404 pages and found 12 errors.|Please return the form to the office.|The office closes at 5 p.m. and opens again at 8 a.m.|Insert the key and turn it twice, the manual says.|The document was returned to the office within 30 days.|None of the letters mentions the register [see note 4]."""
+The text on the left page is printed in grey.|Room 503 was not available in October.|The committee read 404 pages and found 12 errors.|Please return the form to the office.|The office closes at 5 p.m. and opens again at 8 a.m.|Insert the key and turn it twice, the manual says.|The document was returned to the office within 30 days.|None of the letters mentions the register [see note 4].|xvi|iv|LXII|p. 22|- 13 -|Page 7 of 12|12|A.|B|Fig. 3|Index|Table IV"""
+
+
+_BROKEN = re.compile(r"-\n(?=[^\W\d_])")
+#: Line breaks within a running sentence: the line does not end one, and the next does not start in upper case.
+_JOINED = re.compile(r"(?<![.!?:。！？।۔\n])\n(?=[^\W\d_A-ZÀ-ÞА-Я])")
 
 
 def blocks_of(content: str | None, html: str | None) -> list[tuple[str, bool]]:
@@ -100,25 +129,30 @@ def blocks_of(content: str | None, html: str | None) -> list[tuple[str, bool]]:
             t = html_lib.unescape(_TAG.sub("", part)).strip()
             if t:
                 blocks.append((t, t in heads))
-    return [(re.sub(r"-\n(?=[^\W\d_])", "", b), t) for b, t in blocks if any(c.isalpha() or c in "#{%" for c in b)]
+    return [(_JOINED.sub(" ", _BROKEN.sub("", b)) if "\n" in b else b, t) for b, t in blocks if any(c.isalpha() or c in "#{%" for c in b)]
+
+
+_UNIT_END = re.compile(r"[.!?…][\"'”»)\]]*\s+|[。！？।۔؟][”」』）]*\s*|\n+")
+_INITIAL = re.compile(r"(?:^|[^\w])[^\W\d_]$")
+
+
+def cut_block(b: str) -> list[str]:
+    """A block's units: cut at final marks and line breaks that no placeholder holds; what has no letter stays with what stands before it."""
+    if not (cuts := [m.span() for m in _UNIT_END.finditer(b)]):
+        return [b]
+    held = [m.span() for m in _TEMPLATE.finditer(b)] if any(c in b for c in "{%<«[(@$_") else []
+    out, at = [], 0
+    for p, q in cuts:
+        if not any(x < q and p < y for x, y in held) and not (b[p] == "." and _INITIAL.search(b[max(0, p - 2) : p])):
+            out.append(b[at:q].strip())
+            at = q
+    out.append(b[at:].strip())
+    return [x for x in out if x]
 
 
 def units_of(rows: list[tuple[str | None, str | None]]) -> list[list[tuple[str, bool]]]:
-    """Of each (content, html) the sentences of content and of html's blocks and cells; all texts are cut together."""
-    blocks = [blocks_of(c, h) for c, h in rows]
-    cuts = iter(spans([b for x in blocks for b, _ in x]))
-    result = []
-    for x in blocks:
-        out: list[tuple[str, bool]] = []
-        for b, t in x:
-            cut = next(cuts)
-            if len(cut) > 1 and (marks := [m.span() for m in _TEMPLATE.finditer(b)]):
-                # A placeholder that holds what looks like a sentence's end stays in one unit.
-                cut = [c for c in cut if not any(p < c[0] < q for p, q in marks)]
-                cut = [(a, n[0] if n else len(b)) for (a, _), n in zip(cut, [*cut[1:], None])]
-            out += [(b[a:e], t) for a, e in cut]
-        result.append(out)
-    return result
+    """Of each (content, html) the units of content and of html's blocks and cells."""
+    return [[(u, t) for b, t in blocks_of(c, h) for u in cut_block(b)] for c, h in rows]
 
 
 def units(content: str | None, html: str | None) -> list[tuple[str, bool]]:
@@ -129,22 +163,27 @@ def reduced(unit: str) -> str:
     u = fold_words(strip_invisible(unit))
     if any(c in u for c in "{}$%<[«(#_") or "undefined" in u or "NaN" in u:
         u = _EQ.sub(" ", u)
-        u = _BRACE.sub(" ⟨brace⟩ ", _BRACKET.sub(" ⟨bracket⟩ ", _NULLS.sub(" ⟨null⟩ ", _TEMPLATE.sub(" ⟨template⟩ ", u))))
+        u = _BRACE.sub(" ⟨brace⟩ ", _BRACKET.sub(" ⟨bracket⟩ ", _REQUEST.sub(" ⟨request⟩ ", _NULLS.sub(" ⟨null⟩ ", _TEMPLATE.sub(" ⟨template⟩ ", u)))))
     return _STATUS.sub(" ⟨status⟩ ", u)
 
 
-def words(text: str) -> list[str]:
-    out = []
-    for w in _WORD.findall(text):
-        if _NO_SPACES.match(w):
-            out += [w[i : i + 2] for i in range(max(1, len(w) - 1))]
-        elif w.isdigit():
-            out.append("0")
-        else:
-            out.append(w.lower())
+_SPLIT: dict[str, tuple[str, ...]] = {}
+
+
+def _parts(w: str) -> tuple[str, ...]:
+    out = tuple(w[i : i + 2] for i in range(max(1, len(w) - 1))) if _NO_SPACES.match(w) else ("0",) if w.isdigit() else (w.lower(),)
+    if len(_SPLIT) > 300_000:
+        _SPLIT.clear()
+    _SPLIT[w] = out
     return out
 
 
+def words(text: str) -> list[str]:
+    """Words in lower case; numbers are 0, scripts without spaces go by pairs of characters."""
+    get = _SPLIT.get
+    return [x for w in _WORD.findall(text) for x in get(w) or _parts(w)]
+
+
 def _h(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x) & MASK
 
@@ -162,14 +201,16 @@ def _code(w: str, kind: str = "w ") -> int:
     return c
 
 
+_MARK = frozenset("⟨0#%")
+
+
 def _shape(r: str, w: list[str], title: bool) -> list[int]:
     """Features of a unit's shape, each of which counts in full."""
     n = len(w)
-    real = [x for x in w if x[0] not in "⟨0#%"]
+    real = [x for x in w if x[0] not in _MARK]
     shape = ["bias", f"n {n if n < 8 else 8 + min(n // 8, 6)}"]
     if n > len(real):
-        about = bool(_ABOUT.search(r))
-        shape += [f"{'all' if not real else 'about' if about else 'some'} {k}" for k in {x for x in w if x[0] == "⟨"}]
+        shape += [f"{'all' if not real else 'some'} {k} {min(len(real) // 6, 2)}" for k in {x for x in w if x[0] == "⟨"}]
     if real:
         shape.append(f"filler {round(4 * sum(x in _FILLER for x in real) / len(real))}")
         if len(real) >= 3:
@@ -206,14 +247,11 @@ def weak_label(unit: str) -> int:
     about = bool(_ABOUT.search(r))
     w = words(r)
     real = [x for x in w if x[0] not in "⟨0#%"]
-    marks = any(x in low for x in ("⟨template⟩", "⟨null⟩", "⟨brace⟩"))
+    marks = any(x in low for x in ("⟨template⟩", "⟨null⟩", "⟨brace⟩", "⟨request⟩"))
     bracket = "⟨bracket⟩" in low
     if marks:
         return 0 if about and len(real) >= 5 else 1
     if bracket:
-        # A bracket that stands alone, or that asks for something to be put in.
-        if re.search(r"\[\s*(?:insert|enter|your|company|to be|add|type|name|date|title|customer|recipient|address)\b", unit, re.I):
-            return 0 if about and len(real) >= 5 else 1
         return 1 if not real else 0
     if real and sum(x in _FILLER for x in real) >= 0.6 * len(real):
         return 1
@@ -221,17 +259,15 @@ def weak_label(unit: str) -> int:
         return 1
     if _NOTICE.search(low):
         return 0 if about and len(real) >= 6 else 1
-    if "⟨status⟩" in low and len(w) <= 14:
-        head = low.strip()[:24]
-        if not about and _PHRASE.search(low) and ("⟨status⟩" in head):
-            return 1
+    if "⟨status⟩" in low and len(w) <= 14 and (_STATUS_FIRST.search(low.strip()) or (_STATUS_NAMED.search(low) and not about)):
+        return 1
     return 0
 
 
 @dataclass
 class Model:
     weights: np.ndarray
-    report: dict[str, float] = field(default_factory=dict)
+    report: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def dump(self) -> tuple:
         rows = np.flatnonzero(np.abs(self.weights) > 1e-4)
@@ -300,17 +336,57 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight: n
     return w
 
 
-def train(sample: list[tuple[str, str | None, str | None]]) -> Model:
-    """A model from (job, content, html) of sampled regions and the fixed sentences; jobs of a digest divisible by five only validate."""
-    fixed = [(u, 1) for line in RESIDUE.split("\n") for u in line.split("|")] + [(u, 0) for line in ABOUT.split("\n") for u in line.split("|")]
+def family_of(unit: str) -> int:
+    """The family of the phrase or placeholder that a weak label goes by, from 1; 0: none of them."""
+    low = reduced(unit).lower()
+    if m := _NOTICE.search(low):
+        return 1 + next(i for i, line in enumerate(NOTICES.split("\n")) if m.group() in line.split("|"))
+    if m := _TEMPLATE.search(unit):
+        return 20 + next((i for i, f in enumerate(BRACKETS.values()) if any(m.group().startswith(o.strip()) for o, _ in f)), len(BRACKETS))
+    return 0
+
+
+def held_out(family: int) -> bool:
+    return family > 0 and family % 3 == 0
+
+
+def train(sample: list[tuple[str, str | None, str | None]], phrases: bool = False) -> Model:
+    """A model from (job, content, html) of sampled regions and the fixed sentences; jobs of a digest divisible by five only validate. phrases: a third of the families of phrases and placeholders only validate, too."""
+    rng = np.random.default_rng(9)
     rows, labels, weight = [], [], []
-    for u, y in fixed:
-        rows.append(featurize(u, False))
+    held: dict[str, list[tuple[tuple[np.ndarray, np.ndarray], int]]] = {"jobs": [], "phrases": []}
+
+    def add(u: str, t: bool, y: int, w: float) -> None:
+        rows.append(featurize(u, t))
         labels.append(y)
-        weight.append(5.0)
+        weight.append(w)
+
+    families = [f for i, f in enumerate(BRACKETS.values()) if not (phrases and held_out(20 + i))]
+
+    def mark() -> str:
+        k = int(rng.integers(5))
+        if k == 0:
+            return str(rng.choice(EMPTY))
+        if k == 1:
+            return str(rng.choice(REQUESTS))
+        f = families[int(rng.integers(len(families)))]
+        a, b = f[int(rng.integers(len(f)))]
+        return a + str(rng.choice(NAMES if a not in ("%", "$") else [n for n in NAMES if n.isupper()])) + b
+
+    for k, line in enumerate(RESIDUE.split("\n")):
+        for u in line.split("|"):
+            if phrases and (held_out(k + 1) or held_out(family_of(u))):
+                held["phrases"].append((featurize(u, False), 1))
+            else:
+                add(u, False, 1, 5.0)
+    for line in ABOUT.split("\n"):
+        for u in line.split("|"):
+            add(u, False, 0, 5.0)
+    for line in FRAMES.split("\n"):
+        for f in line.split("|"):
+            for _ in range(8):
+                add(f.format(mark()), False, 0, 2.0)
     plain: list[str] = []
-    numbered: list[str] = []
-    held: list[tuple[tuple[np.ndarray, np.ndarray], int]] = []
     seen: set[tuple[str, bool]] = set()
     for (job, _, _), found in zip(sample, units_of([(c, h) for _, c, h in sample]), strict=True):
         test = xxhash.xxh3_64_intdigest(job or "") % 5 == 0
@@ -319,50 +395,53 @@ def train(sample: list[tuple[str, str | None, str | None]]) -> Model:
             if k in seen or (y := weak_label(u)) < 0:
                 continue
             seen.add(k)
-            f = featurize(u, t)
-            if test:
-                held.append((f, y))
+            if phrases and y and held_out(family_of(u)):
+                held["phrases"].append((featurize(u, t), 1))
+            elif test:
+                held["jobs"].append((featurize(u, t), y))
+                if not y:
+                    held["phrases"].append(held["jobs"][-1])
             else:
-                rows.append(f)
-                labels.append(y)
-                weight.append(1.0)
+                add(u, t, y, 1.0)
                 if not y:
                     plain.append(u)
-                    numbered.append(u)
     # Placeholders are put in the place of words of ordinary sentences, as such residue comes about; numbers that happen to be statuses make none.
-    rng = np.random.default_rng(9)
-    plain = [u for u in plain if len(u) > 20]
-    for i in rng.permutation(len(plain))[:AUGMENTED].tolist():
-        parts = plain[i].split(" ") if " " in plain[i] else [plain[i][: len(plain[i]) // 2], "", plain[i][len(plain[i]) // 2 :]]
+    long = [u for u in plain if len(u) > 20 and not _ABOUT.search(u)]
+    for i in rng.permutation(len(long))[:AUGMENTED].tolist():
+        parts = long[i].split(" ") if " " in long[i] else [long[i][: len(long[i]) // 2], "", long[i][len(long[i]) // 2 :]]
         at = int(rng.integers(len(parts)))
-        if _ABOUT.search(plain[i]):
-            continue
-        mark = MARKS[int(rng.integers(len(MARKS)))]
-        rows.append(featurize(" ".join([*parts[:at], mark, *parts[at + 1 :]]), False))
-        labels.append(1)
-        weight.append(1.0)
-    numbered = [u for u in numbered if re.search(r"\d", u)]
+        add(" ".join([*parts[:at], mark(), *parts[at + 1 :]]), False, 1, 1.0)
+    numbered = [u for u in plain if re.search(r"\d", u)]
     for i in rng.permutation(len(numbered))[:AUGMENTED].tolist():
         code = str(rng.choice([400, 401, 403, 404, 405, 410, 429, 500, 502, 503, 504, 417, 406]))
         u = re.sub(r"\d+", code, numbered[i], count=1)
         if weak_label(u) == 0:
-            rows.append(featurize(u, False))
-            labels.append(0)
-            weight.append(1.0)
-    y = np.array(labels, dtype=np.float32)
-    m = Model(fit(rows, y, np.array(weight, dtype=np.float32)))
-    if held:
-        p = np.array([m.weights[f] @ v > 0 for (f, v), _ in held])
-        t = np.array([bool(v) for _, v in held])
-        m.report = {"units": float(len(held)), "accuracy": float((p == t).mean()), "recall": float(p[t].mean()) if t.any() else 1.0, "precision": float(t[p].mean()) if p.any() else 1.0}
+            add(u, False, 0, 1.0)
+    m = Model(fit(rows, np.array(labels, dtype=np.float32), np.array(weight, dtype=np.float32)))
+    for kind, h in held.items():
+        if any(v for _, v in h) or kind == "jobs" and h:
+            p = np.array([m.weights[f] @ v > 0 for (f, v), _ in h])
+            t = np.array([bool(v) for _, v in h])
+            m.report[kind] = {"units": len(h), "residue": int(t.sum()), "accuracy": float((p == t).mean()), "recall": float(p[t].mean()) if t.any() else 1.0, "precision": float(t[p].mean()) if p.any() else 1.0}
     return m
 
 
+def report(regions: DataFrame, most: int = TRAIN_REGIONS) -> DataFrame:
+    """(held, units, residue, recall, precision): how the model does on units of jobs, and of families of phrases and placeholders, that it was not fitted on; the labels are the weak ones and the fixed sentences'."""
+    sample = sampled(regions, most)
+    models = [train(sample), train(sample, phrases=True)] if sample else []
+    rows = [(k, m.report[k]["units"], m.report[k]["residue"], round(m.report[k]["recall"], 4), round(m.report[k]["precision"], 4)) for k, m in zip(("jobs", "phrases"), models) if k in m.report]
+    return regions.sparkSession.createDataFrame(rows, "held string, units int, residue int, recall double, precision double")
+
+
+def sampled(regions: DataFrame, most: int) -> list[tuple[str, str | None, str | None]]:
+    rows = bounded_sample(regions.where("content IS NOT NULL OR html IS NOT NULL").select("region_id", "job_id", "content", "html"), "region_id", most)
+    return [(r["job_id"], r["content"], r["html"]) for r in sorted(rows.collect(), key=lambda r: (r["h"], r["content"] or ""))]
+
+
 def fitted(regions: DataFrame, most: int = TRAIN_REGIONS) -> Model:
     """The model fitted on a bounded sample of the regions that have content or html."""
-    rows = bounded_sample(regions.where("content IS NOT NULL OR html IS NOT NULL").select("region_id", "job_id", "content", "html"), "region_id", most)
-    got = rows.select("h", "job_id", F.substring("content", 1, 4000).alias("c"), F.substring("html", 1, 4000).alias("t")).collect()
-    return train([(r["job_id"], r["c"], r["t"]) for r in sorted(got, key=lambda r: (r["h"], r["c"] or ""))])
+    return train(sampled(regions, most))
 
 
 def residue_scores(regions: DataFrame, model: Model) -> DataFrame:

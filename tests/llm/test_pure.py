@@ -177,6 +177,15 @@ def test_residue(residue_model, content, html, hit):
     assert bool(residue_model.residue([(content, html)])[0] >= 0.5) is hit
 
 
+@pytest.mark.parametrize("text,hit", [("{$user_name}", True), ("Dear ((CLIENT)), thank you.", True), ("Der Server ist überlastet.", True), ("Coming soon", True), ("The author discusses %NAME% in a footnote on syntax.", False), ("The letter of ((DATE)) was read by the clerk.", True)])
+def test_residue_of_other_kinds(residue_model, text, hit):
+    assert bool(residue_model.residue([(text, None)])[0] >= 0.5) is hit
+
+
+def test_units_are_cut_at_ends_and_not_in_placeholders():
+    assert residue.cut_block("One. Two! <% a. b %> three\nFour।पाँच।") == ["One.", "Two!", "<% a. b %> three", "Four।", "पाँच।"]
+
+
 def test_residue_weighs_a_batch_like_single_units(residue_model):
     found = [("${name}", False), ("The letter of office 7.", False), ("404 Not Found", True), ("", False), ("a b ${x} c", False)]
     one = [residue.featurize(u, t) for u, t in found]
@@ -185,7 +194,7 @@ def test_residue_weighs_a_batch_like_single_units(residue_model):
 
 
 def test_residue_on_unseen_jobs(residue_model):
-    assert residue_model.report["accuracy"] > 0.95
+    assert residue_model.report["jobs"]["accuracy"] > 0.95
 
 
 @pytest.fixture(scope="module")
