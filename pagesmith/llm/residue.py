@@ -241,7 +241,7 @@ def featurize(unit: str, title: bool) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weak_label(unit: str) -> int:
-    """1 residue, 0 none, -1 not sure."""
+    """1 residue, 0 none."""
     r = reduced(unit)
     low = r.lower()
     about = bool(_ABOUT.search(r))
@@ -387,24 +387,28 @@ def train(sample: list[tuple[str, str | None, str | None]], phrases: bool = Fals
             for _ in range(8):
                 add(f.format(mark()), False, 0, 2.0)
     plain: list[str] = []
-    seen: set[tuple[str, bool]] = set()
+    # Equal units are one row, which weighs more the more often it stands in the sample.
+    often: dict[tuple[str, bool], int] = {}
+    each: list[tuple[str, str, bool]] = []
     for (job, _, _), found in zip(sample, units_of([(c, h) for _, c, h in sample]), strict=True):
-        test = xxhash.xxh3_64_intdigest(job or "") % 5 == 0
         for u, t in found:
             k = (re.sub(r"\d+", "0", u), t)
-            if k in seen or (y := weak_label(u)) < 0:
-                continue
-            seen.add(k)
-            if phrases and y and held_out(family_of(u)):
-                held["phrases"].append((featurize(u, t), 1))
-            elif test:
-                held["jobs"].append((featurize(u, t), y))
-                if not y:
-                    held["phrases"].append(held["jobs"][-1])
-            else:
-                add(u, t, y, 1.0)
-                if not y:
-                    plain.append(u)
+            often[k] = often.get(k, 0) + 1
+            if often[k] == 1:
+                each.append((job, u, t))
+    for job, u, t in each:
+        test = xxhash.xxh3_64_intdigest(job or "") % 5 == 0
+        y = weak_label(u)
+        if phrases and y and held_out(family_of(u)):
+            held["phrases"].append((featurize(u, t), 1))
+        elif test and often[re.sub(r"\d+", "0", u), t] == 1:
+            held["jobs"].append((featurize(u, t), y))
+            if not y:
+                held["phrases"].append(held["jobs"][-1])
+        else:
+            add(u, t, y, 1.0 + float(np.log(often[re.sub(r"\d+", "0", u), t])))
+            if not y:
+                plain.append(u)
     # Placeholders are put in the place of words of ordinary sentences, as such residue comes about; numbers that happen to be statuses make none.
     long = [u for u in plain if len(u) > 20 and not _ABOUT.search(u)]
     for i in rng.permutation(len(long))[:AUGMENTED].tolist():
