@@ -110,14 +110,14 @@ class Chain:
             rng.shuffle(groups)
             for g in groups:
                 length = max(len(sequences[i][2]) for i in g)
-                width = sequences[g[0]][0].shape[1]
+                width = max(sequences[i][0].shape[1] for i in g)
                 f = np.full((len(g), length, width), -1, dtype=np.int64)
                 edge = np.zeros((len(g), length), dtype=np.int8)
                 y = np.zeros((len(g), length), dtype=np.int64)
                 mask = np.zeros((len(g), length), dtype=bool)
                 for r, i in enumerate(g):
                     x, c, lab = sequences[i]
-                    f[r, : len(lab)], edge[r, : len(lab)], y[r, : len(lab)], mask[r, : len(lab)] = x, c, lab, True
+                    f[r, : len(lab), : x.shape[1]], edge[r, : len(lab)], y[r, : len(lab)], mask[r, : len(lab)] = x, c, lab, True
                 p, xi = self.marginals(self.emissions(f), edge, mask, pairs=True)
                 d = p
                 r, c = np.nonzero(mask)

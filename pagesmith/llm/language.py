@@ -218,7 +218,7 @@ def train(texts: list[tuple[str, str | None]]) -> Model:
         chains.append(part)
         at += n
     cache_: dict[tuple[str, bool], list[int]] = {}
-    sequences = []
+    sequences, chained = [], []
     for part in chains:
         words, edge, y = [], [], []
         for i in part:
@@ -228,17 +228,19 @@ def train(texts: list[tuple[str, str | None]]) -> Model:
             y += [lab] * len(w)
         if not words:
             continue
-        f = [cache_.setdefault(w, hashed(features(*w), BITS)) for w in words]
+        chained.append(([cache_.setdefault(w, hashed(features(*w), BITS)) for w in words], np.array(edge), np.array(y)))
+    chained.sort(key=lambda c: max(map(len, c[0])))
+    for f, edge, y in chained:
         x = np.full((len(f), max(map(len, f))), -1, dtype=np.int64)
         for r, row in enumerate(f):
             x[r, : len(row)] = row
-        sequences.append((x[:, :48] if x.shape[1] >= 48 else np.pad(x, ((0, 0), (0, 48 - x.shape[1])), constant_values=-1), np.array(edge), np.array(y)))
+        sequences.append((x, edge, y))
     return Model(Chain(NONE + 1, BITS).fit(sequences, epochs=5))
 
 
 def fitted(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", most: int = TRAIN_TEXTS) -> Model:
     """The model fitted on a sample of so many texts."""
-    rows = bounded_sample(documents.select(key, text, label), key, most).select("h", F.substring(text, 1, 4000).alias("t"), F.col(label).alias("l")).collect()
+    rows = bounded_sample(documents.select(key, text, label), key, most).select("h", F.col(text).alias("t"), F.col(label).alias("l")).collect()
     return train([(r["t"], r["l"]) for r in sorted(rows, key=lambda r: r["h"]) if r["t"] and len(r["t"]) > 20])
 
 

@@ -12,9 +12,14 @@ from pagesmith.llm.common import latest_regions, read, scanned_pages
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """(region_id, content, further columns) of regions that are text with content as they were delivered last."""
+    return latest_regions(read(spark, d, "regions"), "region_type", "content", *columns).where("region_type = 'text' AND content IS NOT NULL AND content <> ''").drop("region_type")
+
+
 def digital_text(spark: SparkSession, d: str) -> DataFrame:
     """(region_id, content) of text regions with content on pages with a digital text layer, each region once."""
-    r = latest_regions(read(spark, d, "regions").where("region_type = 'text' AND content IS NOT NULL AND content <> ''"), "job_id", "page_number", "content")
+    r = texts(spark, d, "job_id", "page_number")
     p = scanned_pages(read(spark, d, "ocr_pages")).where("NOT scanned")
     return r.join(p.select("job_id", "page_number"), ["job_id", "page_number"], "left_semi").select("region_id", "content")
 
@@ -46,7 +51,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Text regions with a language in which a whole sentence is written while the job's ocr_lang does not name it."""
     from pagesmith.llm.language import fitted, named_languages, written_languages
 
-    r = latest_regions(read(spark, d, "regions").where("region_type = 'text' AND content IS NOT NULL AND content <> ''"), "job_id", "content")
+    r = texts(spark, d, "job_id")
     written = written_languages(r.select("region_id", "content"), "region_id", "content", fitted(read(spark, d, "documents")))
     named = named_languages(read(spark, d, "submit_options"), read(spark, d, "lang_codes"))
     return written.join(r.select("region_id", "job_id"), "region_id").join(named, ["job_id", "lang"], "left_anti").select("region_id", "lang")
@@ -56,7 +61,7 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence of every text region with its language and confidence; lang null where it has none."""
     from pagesmith.llm.language import fitted, sentence_languages
 
-    r = latest_regions(read(spark, d, "regions").where("region_type = 'text' AND content IS NOT NULL AND content <> ''"), "content")
+    r = texts(spark, d)
     s = sentence_languages(r, "region_id", "content", fitted(read(spark, d, "documents")))
     z = s.select("region_id", F.explode(F.arrays_zip("starts", "ends", "langs", "confidences")).alias("s"))
     return z.select("region_id", F.col("s.starts").alias("start_pos"), F.col("s.ends").alias("end_pos"), F.col("s.langs").alias("lang"), F.round("s.confidences", 4).alias("confidence"))
@@ -85,6 +90,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return regions.unionByName(runs.select(F.lit("run").alias("kind"), "key_a", "key_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Regions that look the same, by look and spelling: a row a spelling, with how many regions have it."""
+    from pagesmith.llm.visual import look_classes
+
+    return look_classes(digital_text(spark, d), "region_id", "content")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Flaws of scanned pages: broken and misread words, furniture among the text, paragraphs split by a page's end."""
     from pagesmith.llm.scans import flaws
@@ -134,7 +146,7 @@ def p8_sources(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_segments": p3_segments, "p3_documents": p3_documents, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_scores": p8_scores, "p8_sources": p8_sources}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -227,7 +227,9 @@ def symbols(text: str) -> np.ndarray:
     """Class of each character of a text without tags and invisible characters."""
     folded = fold_words(text)
     raw = np.frombuffer(folded.encode("utf-32-le"), dtype=np.uint32)
-    cls = classes()[np.where(raw < 0x10000, raw, 0x4E00)].copy()
+    # Beyond the first plane: ideographs, symbols, and letters of other scripts stand for one of their kind.
+    kind = np.where((raw >= 0x20000) & (raw < 0x40000), 0x4E00, np.where((raw >= 0x1F000) & (raw < 0x1FB00), 0x263A, 0x61))
+    cls = classes()[np.where(raw < 0x10000, raw, kind)].copy()
     if "'" in folded or "’" in folded:
         for m in re.finditer("['’]", folded):
             i = m.start()

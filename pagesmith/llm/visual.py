@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesmith.llm.common import HYPHENS, INVISIBLE, LOOK_ALIKE, SPACES, map_arrow
-from pagesmith.session import shared_dir
+from pagesmith.llm.common import HYPHENS, INVISIBLE, LOOK_ALIKE, SPACES, kept, map_arrow
 
 ZWNJ, ZWJ = "‌", "‍"
 #: Joiners after a virama, or between letters of a joining script, show in print.
@@ -40,7 +39,8 @@ def _maps() -> tuple[dict[int, str], re.Pattern]:
         if d.startswith(("<wide>", "<narrow>")) or 0xFB00 <= o <= 0xFB06 or 0xFB13 <= o <= 0xFB17:
             table[o] = "".join(table.get(ord(c), c) for c in unicodedata.normalize("NFKC", chr(o)))
     unstable = []
-    for o in range(0x80, 0x10000):
+    # Beyond these planes no character has a canonical form of its own.
+    for o in range(0x80, 0x30000):
         c = chr(o)
         if 0xD800 <= o < 0xE000:
             continue
@@ -52,7 +52,7 @@ def _maps() -> tuple[dict[int, str], re.Pattern]:
         j = i
         while j + 1 < len(unstable) and unstable[j + 1] == unstable[j] + 1:
             j += 1
-        parts.append(f"\\u{unstable[i]:04x}" + (f"-\\u{unstable[j]:04x}" if j > i else ""))
+        parts.append(f"\\U{unstable[i]:08x}" + (f"-\\U{unstable[j]:08x}" if j > i else ""))
         i = j + 1
     return table, re.compile(f"[^\\x00-\\x1f]?[{''.join(parts)}]+")
 
@@ -94,21 +94,32 @@ def look_digests(df: DataFrame, key: str, text: str) -> DataFrame:
     return map_arrow(df.select(key, text), run, f"`{key}` {kind}, look binary, form binary")
 
 
+#: Rows of one look from which it is parted into several keys of the join.
+HOT = 2000
+
+
+def look_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(look, form, first_key, members): the spellings of each look that has more than one, with the least key that is so spelled and how many are. The bounded statement of ``look_alike_pairs``: two rows are a pair if their looks are equal and their forms differ."""
+    d = look_digests(df, key, text).dropDuplicates([key, "look", "form"]).groupBy("look", "form").agg(F.min(key).alias("first_key"), F.count("*").alias("members"))
+    mixed = d.groupBy("look").agg(F.count("*").alias("_n")).where("_n > 1").select("look")
+    return d.join(mixed, "look", "left_semi").select(F.hex("look").alias("look"), F.hex("form").alias("form"), "first_key", "members")
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key_a, key_b), key_a < key_b: rows whose texts look the same but differ in code points.
 
     The texts are read once: their digests are written to the shared folder.
     Only digests are shuffled. Groups of one form only, however large, are
     dropped by an aggregate before the join, so that exact copies never meet
-    each other; what is left is joined on the look, and rows of one form again
-    do not pair.
+    each other; what is left is joined on the look, a large look in parts, and
+    rows of one form again do not pair.
     """
-    shared_dir(df.sparkSession)
-    d = look_digests(df, key, text).dropDuplicates([key, "look", "form"]).checkpoint()
-    mixed = d.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).where("_lo <> _hi").select("look")
-    d = d.join(mixed, "look", "left_semi")
-    a, b = (d.select("look", F.col("form").alias(f"form_{x}"), F.col(key).alias(f"key_{x}")) for x in "ab")
-    return a.join(b, "look").where("key_a < key_b AND form_a <> form_b").select("key_a", "key_b").distinct()
+    d = kept(look_digests(df, key, text).dropDuplicates([key, "look", "form"]))
+    mixed = d.groupBy("look").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi").select("look", F.ceil(F.col("_n") / HOT).cast("int").alias("_parts"))
+    d = d.join(mixed, "look")
+    a = d.select("look", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int").alias("_part"), F.col("form").alias("form_a"), F.col(key).alias("key_a"))
+    b = d.select("look", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.col("form").alias("form_b"), F.col(key).alias("key_b"))
+    return a.join(b, ["look", "_part"]).where("key_a < key_b AND form_a <> form_b").select("key_a", "key_b").distinct()
 
 
 def look_alike_runs(runs: DataFrame, regions: DataFrame) -> DataFrame:

@@ -321,3 +321,11 @@ def test_very_long_words_by_their_skeleton():
         w = "".join(rng.choice("abcdehilmnorstuvw0156") for _ in range(rng.randint(3, 9)))
         for v, n in scans.variants(w).items():
             assert scans.skeleton(v) == scans.skeleton(w) and scans.changes(w, v) <= n
+
+
+def test_characters_beyond_the_first_plane():
+    import unicodedata
+
+    for c in ("\U0002f800", "\U0001d15e", "\U000110a1\U000110ba", "\U0001f600"):
+        assert visual.canonical(f"a {c} b") == unicodedata.normalize("NFC", f"a {c} b")
+    assert cut("It is \U0001f600 good. The end \U0001f600 came.") == ["It is \U0001f600 good.", "The end \U0001f600 came."]

@@ -49,6 +49,31 @@ def test_look_alike_pairs(spark):
     assert got == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
 
 
+def test_a_hot_look_in_parts_and_its_classes(spark, monkeypatch):
+    monkeypatch.setattr(visual, "HOT", 3)
+    rows = [(i, ("The file", "The ﬁle", "Thе file")[i % 3]) for i in range(30)] + [(100 + i, "copies") for i in range(50)]
+    df = spark.createDataFrame(rows, "id bigint, t string")
+    want = sorted((a, b) for a, x in rows for b, y in rows if a < b < 30 and x != y)
+    assert sorted(tuple(r) for r in visual.look_alike_pairs(df, "id", "t").collect()) == want
+    got = visual.look_classes(df, "id", "t").collect()
+    assert sorted((r["first_key"], r["members"]) for r in got) == [(0, 10), (1, 10), (2, 10)] and len({r["look"] for r in got}) == 1
+
+
+def test_older_deliveries_do_not_come_back(spark, tmp_path):
+    import shutil
+
+    d = tmp_path / "d"
+    shutil.copytree(DATA, d)
+    schema = spark.read.parquet(f"{DATA}/regions.parquet").schema
+    at = __import__("datetime").datetime
+    row = lambda content, day: tuple({"region_id": 1, "job_id": "j", "page_number": 1, "block_idx": 0, "region_type": "text", "content": content, "ingested_at": at(2024, 1, day)}.get(c) for c in schema.names)
+    os.remove(d / "regions.parquet")
+    spark.createDataFrame([row("${name} is here. One.", 1), row("", 2)], schema).write.parquet(str(d / "regions.parquet"))
+    os.remove(d / "ocr_pages.parquet")
+    spark.createDataFrame([("j", 1, 1.0, 1.0, False)], "job_id string, page_number int, width double, height double, scanned boolean").write.parquet(str(d / "ocr_pages.parquet"))
+    assert Q.queries()["p1_found"](spark, str(d)).count() == 0 and Q.queries()["p2_found"](spark, str(d)).count() == 0
+
+
 def test_look_alike_runs(spark):
     regions = spark.createDataFrame([(1, "A <b>bold</b> word"), (2, None)], "region_id bigint, content string")
     runs = spark.createDataFrame([(10, 1, "bold"), (11, 1, "bоld"), (12, 1, "Bold"), (13, 1, None), (14, 1, ""), (15, 2, "x"), (16, 9, "x"), (11, 1, "bоld")], "run_id bigint, region_id bigint, text string")
