@@ -85,8 +85,13 @@ def reading_size(w: Column, h: Column, most: int) -> Column:
 CHARACTER = 0.48
 
 
-def fitted_size(lengths: Column, w: Column, h: Column, ratio: float = CHARACTER, steps: int = 20) -> Column:
-    """The largest font size at which lines of these lengths, wrapped, fit a box: binary search on [1, h], at most 20 halvings, until closer than a half; 1 without text or area."""
+# How far the search for a size goes, as (halvings at most, closeness): by a mean width of characters, by a font's own widths, in a browser.
+SEARCH = {"mean": (20, 0.5), "metric": (25, 0.25), "browser": (40, 0.05)}
+
+
+def fitted_size(lengths: Column, w: Column, h: Column, ratio: float = CHARACTER, search: str = "mean") -> Column:
+    """The largest font size at which lines of these lengths, wrapped, fit a box: binary search on [1, h] as far as SEARCH says; 1 without text or area. lengths: characters, or with ratio 1 widths at size 1."""
+    steps, close = SEARCH[search]
     def needed(size: Column) -> Column:
         per_line = F.greatest(F.lit(1.0), F.floor(w / (size * ratio)).cast("double"))
         rows = F.aggregate(lengths, F.lit(0.0), lambda a, n: a + F.greatest(F.lit(1.0), F.ceil(n / per_line).cast("double")))
@@ -95,7 +100,7 @@ def fitted_size(lengths: Column, w: Column, h: Column, ratio: float = CHARACTER,
     def halve(s: Column, _: Column) -> Column:
         mid = (s["lo"] + s["hi"]) / 2
         fits = needed(mid) <= h
-        open_ = s["hi"] - s["lo"] >= 0.5
+        open_ = s["hi"] - s["lo"] >= close
         return F.struct(F.when(open_ & fits, mid).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~fits, mid).otherwise(s["hi"]).alias("hi"), F.when(open_ & fits, mid).otherwise(s["best"]).alias("best"))
 
     start = F.struct(F.lit(1.0).alias("lo"), F.greatest(F.lit(1.0), h).alias("hi"), F.lit(1.0).alias("best"))

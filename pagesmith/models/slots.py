@@ -35,6 +35,34 @@ def _font() -> Step:
     return lambda s: s.map(lambda b: None if b is None or len(b) < 32 else ("Tinos", "Arimo", "Cousine")[b[0] % 3])
 
 
+def _translate() -> Callable[[pd.DataFrame], pd.Series]:
+    """Marks a text with its language, which can be undone."""
+    return lambda d: "[" + d["tgt"].astype(str) + "] " + d["text"].astype(str)
+
+
+register("translate", "local", _translate)  # type: ignore[arg-type]
+
+
+def maker(kind: str, mode: str) -> Callable:
+    """What makes a slot's step in a worker; an unknown mode raises when the plan is made."""
+    return _MAKERS[kind, mode]
+
+
+def translation(text: Column, tgt: Column, mode: str = "local") -> Column:
+    """A column of texts in the language of another column; the stand-in stays in the JVM."""
+    if mode == "local":
+        return F.concat(F.lit("["), tgt, F.lit("] "), text)
+    make = _MAKERS["translate", mode]
+
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        step = make()
+        for a, b in parts:
+            yield step(pd.DataFrame({"text": a, "tgt": b}))
+
+    run.__annotations__ = {"parts": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(text, tgt)
+
+
 for _kind, _make in (("ocr", _recognise), ("table", _table), ("font", _font)):
     register(_kind, "local", _make)
 

@@ -151,3 +151,83 @@ def pair_texts(boxes: DataFrame, texts: DataFrame) -> DataFrame:
     t = t.join(n, "page").withColumn("k", F.least(F.col("i").cast("bigint"), F.col("n")))
     g = t.groupBy("page", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("text"), F.avg("score").alias("score"))
     return b.join(g, ["page", "k"]).where("text <> ''").select("page", F.col("id").alias("box_id"), "text", "score")
+
+
+def admitted(jobs: DataFrame, slots: dict[str, int], running: tuple[str, ...] = ("processing", "retrying")) -> DataFrame:
+    """(job_id, class, turn): which queued jobs start now: of each class of jobs as many as its slots leave, short ones first, in the order of their coming among equals.
+
+    A class that is full does not hold up the other, so that each class takes the
+    first of its own queue. jobs: job_id, job_type, status, total_pages,
+    created_at; recognition and headings are one class, all else the other.
+    """
+    kind = F.when(F.col("job_type").isin("ocr", "heading_correction"), "ocr").otherwise("llm")
+    j = jobs.withColumn("class", kind)
+    limit = F.create_map(*(F.lit(x) for kv in slots.items() for x in kv))
+    busy = j.where(F.col("status").isin(*running)).groupBy("class").agg(F.count("*").alias("busy"))
+    most = max(slots.values())
+    turn = F.row_number().over(W.partitionBy("class").orderBy(F.coalesce("total_pages", F.lit(0)), "created_at", "job_id"))
+    first = j.where("status = 'queued'").withColumn("turn", turn).where(F.col("turn") <= most)
+    return first.join(busy, "class", "left").where(F.col("turn") <= F.try_element_at(limit, F.col("class")) - F.coalesce("busy", F.lit(0))).select("job_id", "class", "turn")
+
+
+def rate_limited(calls: DataFrame) -> DataFrame:
+    """(doc, n_calls, n_limited, n_after): of each document the calls, those that were turned away, and those that came through after the first such. calls: doc, ord, limited. The count starts anew with each document."""
+    first = calls.groupBy("doc").agg(F.min(F.when(F.col("limited"), F.col("ord"))).alias("_first"))
+    c = calls.join(first, "doc", "left")
+    return c.groupBy("doc").agg(F.count("*").alias("n_calls"), F.count_if("limited").alias("n_limited"), F.count_if(~F.col("limited") & (F.col("ord") > F.col("_first"))).alias("n_after"))
+
+
+def last_results(results: DataFrame, n: int) -> DataFrame:
+    """Of each group its last n results, in their order. results: grp, ord and others. No task holds more than n of a group that it has not read."""
+    k = F.row_number().over(W.partitionBy("grp").orderBy(F.col("ord").desc()))
+    return results.withColumn("_k", k).where(F.col("_k") <= n).drop("_k")
+
+
+def by_key(df: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key, found by a filter that reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def accepted_uploads(files: DataFrame, largest: int = 100 * 1024 * 1024) -> DataFrame:
+    """(name, size, first_id, n): uploads that are documents and not too large, each name and size once: the one that came first. files: id, name, size, at."""
+    ok = F.lower("name").endswith(".pdf") & (F.col("size") <= largest)
+    return files.where(ok).groupBy("name", "size").agg(F.min_by("id", F.struct("at", "id")).alias("first_id"), F.count("*").alias("n"))
+
+
+def parsed_reply(reply: Column) -> Column:
+    """struct(text, score) of a recogniser's reply: lines of a JSON object, each a text or an object with one; else its text; what is no object counts as text at 0.9; the empty and null reply is unreadable at 0."""
+    lines = F.from_json(reply, "lines array<string>, text string")
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(reply)).startswith("OBJECT"), F.lit(False))
+    each = F.transform(lines["lines"], lambda x: F.when(F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), F.coalesce(F.get_json_object(x, "$.text"), F.lit(""))).otherwise(x))
+    blank = T.strip(F.coalesce(reply, F.lit(""))) == ""
+    text = F.when(blank, "[unreadable]").when(~is_object, reply).otherwise(F.coalesce(F.array_join(each, "\n"), lines["text"], F.lit("")))
+    return F.struct(text.alias("text"), F.when(blank, 0.0).when(~is_object, 0.9).otherwise(1.0).alias("score"))
+
+
+# Kinds of a user's schema and what a value of theirs is called.
+KINDS = {"string": "STRING", "number": "DOUBLE|DECIMAL|BIGINT|FLOAT|INT|SMALLINT|TINYINT", "integer": "BIGINT|INT|SMALLINT|TINYINT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
+
+
+def against_schema(df: DataFrame, key: str, json: str, schema: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
+    """(key, field, fault): what in a result does not keep to a user's schema (field: kind): missing, null where it is required, another kind, or not in the schema; fault json for what is no object. Right results give no row."""
+    v = df.select(key, F.try_parse_json(F.col(json)).alias("v")).withColumn("ok", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    out = v.where(~F.col("ok")).select(key, F.lit(None).cast("string").alias("field"), F.lit("json").alias("fault"))
+    good = v.where("ok")
+
+    def fault(name: str) -> Column:
+        x = F.try_variant_get("v", f"$['{name}']", "variant")
+        kind = F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
+        return F.when(x.isNull(), "missing" if name in required else None).when(kind == "VOID", "null" if name in required else None).when(~kind.rlike(f"^(?:{KINDS[schema[name]]})$"), "kind")
+
+    named = good.select(key, F.explode(F.array(*(F.struct(F.lit(n).alias("field"), fault(n).alias("fault")) for n in schema))).alias("f")).select(key, "f.*").where("fault IS NOT NULL")
+    keys = F.json_object_keys(F.to_json("v"))
+    extra = good.select(key, F.explode(keys).alias("field")).where(~F.col("field").isin(*schema)).withColumn("fault", F.lit("unknown"))
+    return out.unionByName(named).unionByName(extra)
+
+
+def heading_prompt(titles: DataFrame) -> DataFrame:
+    """(job_id, page_number, prompt): what a model is asked about the headings of a page: one line a heading with its level. titles: job_id, page_number, block_idx, region_id, content, heading_level."""
+    line = F.concat(F.lit("- ["), F.coalesce(F.col("heading_level").cast("string"), F.lit("?")), F.lit("] "), "content")
+    each = F.sort_array(F.collect_list(F.struct("block_idx", "region_id", line.alias("line"))))
+    ask = F.lit("Give every heading its level from 1 to 6 as a JSON list of text and level.\n")
+    return titles.groupBy("job_id", "page_number").agg(F.concat(ask, F.array_join(F.transform(each, lambda x: x["line"]), "\n")).alias("prompt"))

@@ -18,6 +18,11 @@ def large_enough(boxes: DataFrame, part: float = 0.0005, least: float = 20.0) ->
     return boxes.where(G.area(F.col("bbox")) >= F.greatest(F.lit(part) * F.col("width") * F.col("height"), F.lit(least)))
 
 
+def class_of_crop(w: Column, h: Column, name: Column, sure: Column, least: float = 0.4) -> Column:
+    """The class that a model gave a crop: null if the crop is too small for one, or the model less sure than least."""
+    return F.when((crop_gate(w, h) == "ok") & (sure >= least), name)
+
+
 def crop_gate(w: Column, h: Column) -> Column:
     """What a model may do with a crop: under ten pixels it is unreadable, under 32 it has no class."""
     least = F.least(w, h)
@@ -102,13 +107,15 @@ def line_scale(natural: Column, w: Column, last: Column) -> Column:
     return F.when(last, F.least(s, F.lit(150.0))).otherwise(s)
 
 
-def harvest(df: DataFrame, key: str, json: str, names: list[str], depth: int = 6) -> DataFrame:
-    """(key, name, text): every string under one of the names, at any level of a JSON value down to the depth. What is no JSON gives no row."""
+def harvest(df: DataFrame, key: str, json: str, names: list[str]) -> DataFrame:
+    """(key, name, text): every string under one of the names, at any level of a JSON value. What is no JSON gives no row."""
+    from pagesmith.sources.files import deepest
+
+    depth = max(1, deepest(df, json))
     now = df.select(key, F.try_parse_json(F.col(json)).alias("v")).where("v IS NOT NULL")
     out = None
     for _ in range(depth):
-        now.createOrReplaceTempView("_harvest")
-        now = df.sparkSession.sql(f"SELECT `{key}`, e.key AS name, e.value AS v FROM _harvest, LATERAL variant_explode(v) AS e")
+        now = now.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, F.col("key").alias("name"), F.col("value").alias("v"))
         hit = now.where(F.col("name").isin(*names) & (F.schema_of_variant("v") == "STRING")).select(key, "name", F.try_variant_get("v", "$", "string").alias("text"))
         out = hit if out is None else out.unionByName(hit)
     return out

@@ -42,16 +42,16 @@ S["synthetic_docs"] = """SELECT doc_id, region_type, count(*) AS n, count(DISTIN
 
 
 def _trees(spark, d):
-    """A tree of each job's titles: those of a page under the first of the page."""
-    t = regions(spark, d).where("region_type = 'title' AND content IS NOT NULL")
+    """A tree of each page's titles, each under the one before it."""
+    t = regions(spark, d, "job_id", "page_number", "block_idx", "region_type", "content").where("region_type = 'title' AND content IS NOT NULL")
     g = t.groupBy("job_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("block_idx", "region_id", "content"))).alias("b"))
-    node = F.struct("page_number", F.struct(F.element_at("b", 1)["content"].alias("title"), F.lit(1).alias("level"), F.transform(F.slice("b", F.lit(2), F.greatest(F.size("b") - 1, F.lit(0))), lambda x: F.struct(x["content"].alias("title"), F.lit(2).alias("level"))).alias("children")).alias("n"))
-    return g.groupBy("job_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", F.to_json(node["n"]).alias("n")))), lambda x: x["n"]), ","), F.lit("]")).alias("toc"))
+    node = lambda x, i: F.concat(F.lit('{"title":'), F.element_at(F.array(F.to_json(F.array(x["content"]))), 1), F.lit(',"level":'), (i + 1).cast("string"), F.lit(',"children":['))
+    opened = F.transform("b", lambda x, i: F.regexp_replace(node(x, i), r'^\{"title":\[(.*)\],"level"', '{"title":$1,"level"'))
+    return g.select(F.concat_ws("/", "job_id", F.col("page_number").cast("string")).alias("page"), F.concat(F.lit("["), F.array_join(opened, ""), F.repeat(F.lit("]}"), F.size("b")), F.lit("]")).alias("toc"))
 
 
-Q["toc_flatten"] = lambda spark, d: I.flatten_contents(_trees(spark, d), "job_id", "toc").select("job_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "level", "title")
-S["toc_flatten"] = f"""WITH t AS (SELECT job_id, page_number, content, row_number() OVER (PARTITION BY job_id, page_number ORDER BY block_idx, region_id) AS k, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) - 1 AS p FROM {R} WHERE region_type = 'title' AND content IS NOT NULL)
- SELECT job_id, CASE WHEN k = 1 THEN p::VARCHAR ELSE p || '.' || (k - 2) END AS path, CASE WHEN k = 1 THEN 1 ELSE 2 END AS level, content AS title FROM t"""
+Q["toc_flatten"] = lambda spark, d: I.flatten_contents(_trees(spark, d), "page", "toc").select("page", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"), "level", "title")
+S["toc_flatten"] = f"SELECT job_id || '/' || page_number AS page, array_to_string(list_transform(range(k), lambda x: '0'), '.') AS path, k::INT AS level, content AS title FROM (SELECT *, row_number() OVER (PARTITION BY job_id, page_number ORDER BY block_idx, region_id) AS k FROM {R} WHERE region_type = 'title' AND content IS NOT NULL)"
 
 # A null value is an empty field; its column stays in the header.
 _RESULT = "CASE doc_id % 3 WHEN 0 THEN to_json(array(map('id', cast(doc_id as string), 'src', source), map('id', 'x', 'lang', lang)), map('ignoreNullFields', 'false')) WHEN 1 THEN to_json(named_struct('data', array(map('lang', lang, 'id', cast(doc_id as string)))), map('ignoreNullFields', 'false')) ELSE to_json(named_struct('id', cast(doc_id as string), 'src', source), map('ignoreNullFields', 'false')) END"

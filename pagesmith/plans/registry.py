@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["text", "layout", "markup", "work", "files", "small"]
+MODULES = ["text", "layout", "markup", "work", "files", "small", "more"]
 
 
 def _modules():

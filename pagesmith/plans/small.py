@@ -14,12 +14,20 @@ Q: dict = {}
 S: dict[str, str] = {}
 R = SQL_REGIONS
 
+
+
+def _shown(spark, d):
+    """Regions with the display of figures that their job asks for."""
+    o = read(spark, d, "html_options").where("job_id IS NOT NULL").groupBy("job_id").agg(F.max("figure_display").alias("figure_display"))
+    return regions(spark, d, "job_id", "region_type", "bbox").join(o, "job_id", "left")
+
+
 Q["large_boxes"] = lambda spark, d: P.large_enough(regions(spark, d, "job_id", "page_number", "bbox").join(pages(spark, d), ["job_id", "page_number"])).select("region_id")
 S["large_boxes"] = f"SELECT region_id FROM {R} JOIN {SQL_PAGES} USING (job_id, page_number) WHERE greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) >= greatest(0.0005 * width * height, 20)"
 Q["crop_gates"] = lambda spark, d: regions(spark, d, "bbox").where("bbox IS NOT NULL").select("region_id", P.crop_gate(G.width(F.col("bbox")), G.height(F.col("bbox"))).alias("gate"))
 S["crop_gates"] = f"SELECT region_id, CASE WHEN least(bbox.x1 - bbox.x0, bbox.y1 - bbox.y0) < 10 THEN 'unreadable' WHEN least(bbox.x1 - bbox.x0, bbox.y1 - bbox.y0) < 32 THEN 'no class' ELSE 'ok' END AS gate FROM {R} WHERE bbox IS NOT NULL"
-Q["crop_candidates"] = lambda spark, d: P.equation_crops(regions(spark, d, "region_type", "bbox", "latex")).select("region_id", F.lit("equation").alias("kind")).unionByName(P.figure_crops(regions(spark, d, "region_type", "bbox", "latex"), F.lit("image")).select("region_id", F.lit("figure").alias("kind")))
-S["crop_candidates"] = f"SELECT region_id, CASE region_type WHEN 'formula' THEN 'equation' ELSE 'figure' END AS kind FROM {R} WHERE greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) > 0 AND ((region_type = 'formula' AND latex IS NULL) OR region_type = 'figure')"
+Q["crop_candidates"] = lambda spark, d: P.equation_crops(regions(spark, d, "region_type", "bbox", "latex")).select("region_id", F.lit("equation").alias("kind")).unionByName(P.figure_crops(_shown(spark, d), F.coalesce("figure_display", F.lit("image"))).select("region_id", F.lit("figure").alias("kind")))
+S["crop_candidates"] = f"SELECT region_id, CASE region_type WHEN 'formula' THEN 'equation' ELSE 'figure' END AS kind FROM {R} r LEFT JOIN (SELECT job_id, max(figure_display) AS fd FROM html_options GROUP BY job_id) o USING (job_id) WHERE greatest(0, bbox.x1 - bbox.x0) * greatest(0, bbox.y1 - bbox.y0) > 0 AND ((region_type = 'formula' AND latex IS NULL) OR (region_type = 'figure' AND coalesce(fd, 'image') = 'image'))"
 Q["request_options"] = lambda spark, d: read(spark, d, "submit_options").select("job_id", P.checked_option("formula_display", F.col("formula_display")).alias("formula_display"), P.checked_option("figure_display", F.col("figure_display")).alias("figure_display"), P.as_flag(F.col("formula_enable").cast("string"), True).alias("formulas")).distinct()
 _OPT = lambda n: f"CASE WHEN lower(trim(coalesce({n}, ''))) = '' THEN '{P.OPTIONS[n][0]}' WHEN lower(trim({n})) IN ({', '.join(repr(x) for x in P.OPTIONS[n])}) THEN lower(trim({n})) END"
 S["request_options"] = f"SELECT DISTINCT job_id, {_OPT('formula_display')} AS formula_display, {_OPT('figure_display')} AS figure_display, coalesce(formula_enable, true) AS formulas FROM submit_options"
@@ -50,7 +58,7 @@ Q["page_breaks"] = lambda spark, d: P.page_breaks(regions(spark, d, "job_id", "p
 S["page_breaks"] = f"""WITH b AS (SELECT job_id, list({{'id': region_id, 'h': greatest(0, bbox.y1 - bbox.y0)::DOUBLE, 'p': 0, 'y': 0.0::DOUBLE, 'z': 0.0::DOUBLE}} ORDER BY page_number, block_idx, region_id) AS b FROM {R} WHERE bbox IS NOT NULL GROUP BY job_id),
  o AS (SELECT list_reduce(list_transform(b, lambda x: [x]), lambda s, x: s || [CASE WHEN s[len(s)].z > 0 AND s[len(s)].z + x[1].h > 700.0 THEN struct_update(x[1], p := s[len(s)].p + 1, y := 0.0::DOUBLE, z := x[1].h + 8.0) ELSE struct_update(x[1], p := s[len(s)].p, y := s[len(s)].z, z := s[len(s)].z + x[1].h + 8.0) END], [{{'id': 0::BIGINT, 'h': 0.0::DOUBLE, 'p': 1, 'y': 0.0::DOUBLE, 'z': 0.0::DOUBLE}}]) AS s FROM b)
  SELECT x.id AS id, x.p AS out_page, round(x.y, 4) AS y FROM (SELECT unnest(s[2:]) AS x FROM o)"""
-Q["json_harvest"] = lambda spark, d: P.harvest(jobs(spark, d).where("tool_config IS NOT NULL"), "job_id", "tool_config", ["ocr_lang"], 3)
+Q["json_harvest"] = lambda spark, d: P.harvest(jobs(spark, d).where("tool_config IS NOT NULL"), "job_id", "tool_config", ["ocr_lang"])
 S["json_harvest"] = f"SELECT job_id, 'ocr_lang' AS name, json_extract_string(tool_config, '$.ocr_lang') AS text FROM {SQL_JOBS} WHERE json_type(tool_config, '$.ocr_lang') = 'VARCHAR'"
 Q["first_pages"] = lambda spark, d: first_pages(regions(spark, d, "job_id", "page_number"), 10).groupBy("job_id").agg(F.count("*").alias("n"))
 S["first_pages"] = f"SELECT job_id, count(*) AS n FROM (SELECT job_id, dense_rank() OVER (PARTITION BY job_id ORDER BY page_number) AS k FROM {R}) WHERE k <= 10 GROUP BY job_id"

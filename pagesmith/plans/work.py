@@ -92,8 +92,6 @@ Q["elapsed"] = lambda spark, d: jobs(spark, d).where("started_at IS NOT NULL AND
 S["elapsed"] = f"SELECT job_id, (epoch_us(completed_at) - epoch_us(started_at)) // 1000 AS elapsed_ms, strftime(started_at, '%Y-%m-%dT%H:%M:%S') AS iso FROM {SQL_JOBS} WHERE started_at IS NOT NULL AND completed_at IS NOT NULL"
 Q["capacity"] = lambda spark, d: jobs(spark, d).select("job_id", J.slots((F.col("total_pages") % 64).cast("double")).alias("slots"), J.layout_batch((F.col("total_pages") % 64).cast("double")).alias("batch"), J.back_off(F.col("retry_count")).alias("wait_s"))
 S["capacity"] = f"SELECT job_id, greatest(1, floor(((total_pages % 64) - 7) / 4))::INT AS slots, least(32, greatest(1, trunc(((total_pages % 64) - 6) / 0.9)))::INT AS batch, pow(2.0, retry_count) AS wait_s FROM {SQL_JOBS}"
-Q["unique_uploads"] = lambda spark, d: read(spark, d, "jobs").where("lower(file_path) LIKE '%.pdf'").groupBy("file_name", "total_pages").agg(F.min("job_id").alias("job_id"), F.count("*").alias("n"))
-S["unique_uploads"] = "SELECT file_name, total_pages, min(job_id) AS job_id, count(*) AS n FROM jobs WHERE lower(file_path) LIKE '%.pdf' GROUP BY ALL"
 Q["job_pages"] = lambda spark, d: pages(spark, d).groupBy("job_id").agg(F.count("*").alias("n_pages"), F.count_if("scanned").alias("n_scanned")).join(jobs(spark, d).select("job_id", "total_pages"), "job_id", "left").select("job_id", "n_pages", "n_scanned", (F.coalesce(F.nullif("total_pages", F.lit(0)), "n_pages")).cast("bigint").alias("pages_known"))
 S["job_pages"] = f"SELECT p.job_id, n_pages, n_scanned, coalesce(nullif(total_pages, 0), n_pages)::BIGINT AS pages_known FROM (SELECT job_id, count(*) AS n_pages, count(*) FILTER (WHERE scanned) AS n_scanned FROM {SQL_PAGES} GROUP BY job_id) p LEFT JOIN {SQL_JOBS} j USING (job_id)"
 Q["block_histogram"] = lambda spark, d: regions(spark, d, "job_id", "region_type", "heading_level").groupBy("job_id", "region_type", F.coalesce("heading_level", F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
@@ -113,21 +111,3 @@ Q["box_text_pair"] = lambda spark, d: J.pair_texts(_TX(regions(spark, d, "job_id
 _TS = f"(SELECT job_id || '/' || page_number AS page, region_id, block_idx, content, coalesce(bbox.y0, 0) AS y FROM {R} WHERE region_type = 'text' AND content IS NOT NULL)"
 S["box_text_pair"] = f"""WITH b AS (SELECT page, region_id AS id, row_number() OVER (PARTITION BY page ORDER BY y, region_id) AS k, count(*) OVER (PARTITION BY page) AS n FROM {_TS}), t AS (SELECT page, content AS text, region_id % 10 / 10.0 AS score, row_number() OVER (PARTITION BY page ORDER BY block_idx, region_id) AS i FROM {_TS}),
  g AS (SELECT t.page, least(t.i, n.n) AS k, string_agg(text, ' ' ORDER BY i) AS text, avg(score) AS score FROM t JOIN (SELECT page, max(n) AS n FROM b GROUP BY page) n USING (page) GROUP BY 1, 2) SELECT b.page, b.id AS box_id, g.text, round(g.score, 6) AS score FROM b JOIN g USING (page, k) WHERE g.text <> ''"""
-
-_REPLY = "CASE region_id % 4 WHEN 0 THEN to_json(named_struct('lines', array(content, 'two'))) WHEN 1 THEN to_json(named_struct('text', content)) WHEN 2 THEN concat('raw ', content) ELSE '' END"
-
-
-def _replies(spark, d):
-    """Replies of a recogniser: lines, or one text, or something that is no JSON, or nothing."""
-    r = regions(spark, d).where("region_type = 'text' AND content IS NOT NULL").select("region_id", F.expr(_REPLY).alias("reply"))
-    lines = F.from_json("reply", "lines array<string>, text string")
-    is_json = F.col("reply").startswith("{")
-    text = F.when(F.col("reply") == "", "[unreadable]").when(~is_json, F.col("reply")).otherwise(F.coalesce(F.array_join(lines["lines"], "\n"), lines["text"], F.lit("")))
-    return r.select("region_id", text.alias("text"), F.when(F.col("reply") == "", 0.0).when(~is_json, 0.9).otherwise(1.0).alias("score"))
-
-
-Q["reply_parse"] = _replies
-S["reply_parse"] = f"SELECT region_id, CASE region_id % 4 WHEN 0 THEN content || chr(10) || 'two' WHEN 1 THEN content WHEN 2 THEN 'raw ' || content ELSE '[unreadable]' END AS text, CASE region_id % 4 WHEN 2 THEN 0.9 WHEN 3 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM {R} WHERE region_type = 'text' AND content IS NOT NULL"
-Q["preview_diff"] = lambda spark, d: regions(spark, d, "region_type", "content").where("region_type = 'text' AND content IS NOT NULL").select("region_id", F.posexplode(F.split("content", "\n")).alias("i", "line")).groupBy("region_id").agg(F.count("*").alias("n"), F.count_if(T.squeeze(F.col("line")) != F.col("line")).alias("n_changed"))
-_SQ = r"regexp_replace(regexp_replace(l, '\s+', ' ', 'g'), '^ | $', '', 'g')"
-S["preview_diff"] = f"SELECT region_id, len(p)::BIGINT AS n, len(list_filter(p, lambda l: {_SQ} <> l))::BIGINT AS n_changed FROM (SELECT region_id, string_split(content, chr(10)) AS p FROM {R} WHERE region_type = 'text' AND content IS NOT NULL)"

@@ -51,10 +51,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; a folder of this machine only where it is unset, as in tests."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Where it is unset a local session takes a folder of this machine; on a cluster that would be lost on other machines, so it is an error."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         have = tempfile.mkdtemp(prefix="pagesmith_ck_")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(have)

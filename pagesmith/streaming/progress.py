@@ -79,3 +79,22 @@ def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 ho
 def expired(tasks: DataFrame, now: str, seconds: int = 120) -> DataFrame:
     """(job_id): finished tasks that ended more than so many seconds before now; what they hold is dropped, what describes them stays."""
     return tasks.where(F.col("status").isin(*FINAL) & (F.col("completed_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds)))).select("job_id")
+
+
+def expire(events: DataFrame, ttl: str = "120 seconds") -> DataFrame:
+    """(job_id): finished tasks as their time runs out, by a timer of each task's own: what they hold may go. An event of a task that has not finished stops its timer. events: job_id, ts, status; streaming."""
+    ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0],)], columns=["job_id"])
+            return
+        last = pd.concat(list(batches)).sort_values("ts")["status"].iloc[-1]
+        if last in FINAL:
+            state.update((last,))
+            state.setTimeoutDuration(ms)
+        elif state.exists:
+            state.remove()
+
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id string", "status string", "update", GroupStateTimeout.ProcessingTimeTimeout)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagesmith.models import slots
 from pagesmith.operators import jobs as J
+from pagesmith.operators import translation as X
 from pagesmith.operators.scan import numbered
 from pagesmith.plans.registry import queries
 from pagesmith.sources import files as I
@@ -209,3 +210,62 @@ def test_csv_of_documents_with_nulls(spark, tmp_path):
     for r in queries()["json_to_csv"](spark, d).orderBy("doc_id", "line_no").collect():
         got.setdefault(r["doc_id"], []).append(r["line"])
     assert got == {3: ['"id","src","lang"', '"3",,', '"x",,'], 4: ['"lang","id"', ',"4"'], 5: ['"id","src"', '"5",'], 6: ['"id","src","lang"', '"6","s",', '"x",,"en"']}
+
+
+def test_admitted_takes_the_first_of_each_class(spark):
+    rows = [("a", "ocr", "queued", 9, 1), ("b", "ocr", "queued", 2, 2), ("c", "heading_correction", "queued", 2, 3), ("d", "ocr", "processing", 1, 0), ("e", "translate", "queued", None, 4), ("f", "ocr", "queued", 2, 1)]
+    j = spark.createDataFrame(rows, "job_id string, job_type string, status string, total_pages int, created_at int")
+    assert sorted((r["job_id"], r["turn"]) for r in J.admitted(j, {"ocr": 3, "llm": 1}).collect()) == [("b", 2), ("e", 1), ("f", 1)]
+    assert J.admitted(j, {"ocr": 1, "llm": 0}).count() == 0
+
+
+@pytest.mark.parametrize("reply,want", [('{"lines": ["a", {"text": "b"}]}', ("a\nb", 1.0)), ('{"text": "t"}', ("t", 1.0)), ("{no json", ("{no json", 0.9)), ("plain", ("plain", 0.9)), ("", ("[unreadable]", 0.0)), (None, ("[unreadable]", 0.0)), ("[1]", ("[1]", 0.9)), ("{}", ("", 1.0))])
+def test_parsed_reply(spark, reply, want):
+    assert tuple(spark.createDataFrame([(reply,)], "r string").select(J.parsed_reply(F.col("r")).alias("x")).first()["x"]) == want
+
+
+def test_against_schema(spark):
+    d = spark.createDataFrame([(1, '{"a": "x", "n": 3, "extra": 1}'), (2, '{"a": null, "n": "3"}'), (3, "no"), (4, None), (5, '{"n": 1.5}')], "k int, j string")
+    got = sorted((r["k"], r["field"] or "", r["fault"]) for r in J.against_schema(d, "k", "j", {"a": "string", "n": "integer"}, ("a",)).collect())
+    assert got == [(1, "extra", "unknown"), (2, "a", "null"), (2, "n", "kind"), (3, "", "json"), (4, "", "json"), (5, "a", "missing"), (5, "n", "kind")]
+
+
+def test_translated_json_keeps_everything_else(spark):
+    docs = [
+        {"pages": [{"n": 1, "regions": [{"type": "text", "content": "one", "bbox": [1, 2], "odd": {"x": [1]}}, {"type": "table", "table_html": "<table><tr><td>a <b>b</b></td><td> </td></tr></table>"}, {"type": "figure", "content": "stays"}]}], "metadata": {"file_name": "f"}},
+        {"content_list": [{"type": "title", "text": "t", "font_size": 9}, {"type": "text", "text": " "}]},
+        [{"type": "text", "content": "bare"}],
+        {"pdf_info": [{"preproc_blocks": [{"type": "list", "text": "l"}]}]},
+    ]
+    raw = [json.dumps(x) for x in docs] + ["no json", None]
+    df = spark.createDataFrame([(i, x, "tam_Taml") for i, x in enumerate(raw)], "k int, j string, tgt string")
+    got = {r["k"]: r["json"] for r in X.translate_json(df, "k", "j", "tgt").collect()}
+    assert got[4] == "no json" and got[5] is None
+    r = json.loads(got[0])["pages"][0]["regions"]
+    assert [r[0]["content"], r[1]["table_html"], r[2]["content"]] == ["[tam_Taml] one", "<table><tr><td>[tam_Taml] a b</td><td> </td></tr></table>", "stays"]
+    undone = {k: json.loads(v.replace("[tam_Taml] ", "")) for k, v in got.items() if k in (1, 2, 3)}
+    assert [undone[1], undone[2], undone[3]] == docs[1:]
+    assert json.loads(got[0].replace("[tam_Taml] ", "").replace("a b", "a <b>b</b>")) == docs[0]
+
+
+def test_trees_of_any_depth(spark):
+    toc = '{"title": "x", "level": 1}'
+    for _ in range(11):
+        toc = '{"title": "[x", "level": 1, "children": [' + toc + "]}"
+    d = spark.createDataFrame([(1, f"[{toc}]"), (2, None), (3, "no")], "k int, j string")
+    assert max(len(r["path"]) for r in I.flatten_contents(d, "k", "j").collect()) == 12
+    from pagesmith.operators.selection import harvest
+
+    assert harvest(d.withColumn("j", F.regexp_replace("j", r"^\[|\]$", "")), "k", "j", ["title"]).count() == 12
+
+
+def test_finished_tasks_expire_by_a_timer(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "completed"), ("b", 1, "processing")], "job_id string, ts int, status string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job_id string, ts int, status string").parquet(str(tmp_path / "in"))
+    q = S.expire(stream, "1 second").writeStream.outputMode("update").format("memory").queryName("gone").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        time.sleep(0.5)
+        if spark.sql("SELECT count(*) FROM gone").first()[0]:
+            break
+    q.stop()
+    assert [r["job_id"] for r in spark.sql("SELECT * FROM gone").collect()] == ["a"]
