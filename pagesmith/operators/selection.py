@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pagesmith.functions import geometry as G
 from pagesmith.functions import text as T
 
+#: Blocks of a piece that page_breaks folds at once.
+PIECE = 256
+
 # What a request may ask for; the first is the default.
 OPTIONS = {"processing_mode": ["local", "cloud"], "table_mode": ["local", "cloud"], "formula_display": ["rendered", "image"], "table_display": ["rendered", "image"], "figure_display": ["image", "text"]}
 
@@ -82,17 +85,57 @@ def table_font(row_height: Column, most: float = 12.0, least: float = 6.0) -> Co
     return F.least(F.lit(most), F.greatest(F.lit(least), row_height * 0.6))
 
 
-def page_breaks(blocks: DataFrame, page: float, gap: float = 8.0) -> DataFrame:
-    """(id, out_page, y): blocks of a document set one below the other, on a new page where one does not fit. blocks: doc, ord, id, h. A fold over a document's blocks in order."""
-    g = blocks.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("ord", "id", F.col("h").cast("double").alias("h")))).alias("b"))
-    start = F.struct(F.lit(1).alias("page"), F.lit(0.0).alias("y"), F.array().cast("array<struct<id:bigint,out_page:int,y:double>>").alias("out"))
-
-    def put(s: Column, b: Column) -> Column:
-        over = (s["y"] > 0) & (s["y"] + b["h"] > page)
-        p, y = F.when(over, s["page"] + 1).otherwise(s["page"]), F.when(over, 0.0).otherwise(s["y"])
-        return F.struct(p.alias("page"), (y + b["h"] + gap).alias("y"), F.concat(s["out"], F.array(F.struct(b["id"].alias("id"), p.alias("out_page"), y.alias("y")))).alias("out"))
-
-    return g.select(F.explode(F.aggregate("b", start, put)["out"]).alias("o")).select("o.*")
+def page_breaks(blocks: DataFrame, page: float, gap: float = 8.0, part: Column | None = None) -> DataFrame:
+    """(id, out_page, y): blocks of a document set one below the other, on a new page where one does not fit.
+
+    blocks: doc, ord, id, h (0 or more). part: a number from 0 that never falls
+    along ord, as each part of a document is gathered apart; without it a document
+    is one part. Parts are cut in pieces of PIECE blocks, as a fold that returns
+    its blocks costs the square of their number. A piece takes over only how far
+    the page is filled. However far, its first break is at one of its blocks up to
+    the first that breaks an empty page, and after a break all is as if the piece
+    began there. So a piece is summed up by what follows from a break at each of
+    these blocks, and only these sums are folded over a whole document. A document
+    begins behind a full page 0 (NaN, above any number), so its first piece breaks
+    at its first block.
+    """
+    n, y, no, full = F.lit(0), F.lit(0.0), F.lit(False), F.lit(float("nan"))
+    over = lambda s, h: (s["y"] > 0) & (s["y"] + h > page)
+    at = lambda n, y, **more: F.struct(n.alias("n"), y.alias("y"), *(v.alias(k) for k, v in more.items()))
+    nothing = lambda kind: F.array().cast(f"array<{kind}>")
+
+    def put(s: Column, b: Column) -> tuple[Column, Column]:
+        return F.when(over(s, b["h"]), s["n"] + 1).otherwise(s["n"]), F.when(over(s, b["h"]), 0.0).otherwise(s["y"])
+
+    def set_down(s: Column, b: Column) -> Column:
+        p, top = put(s, b)
+        return at(p, top + b["h"] + gap)
+
+    def placed(s: Column, b: Column) -> Column:
+        p, top = put(s, b)
+        return at(p, top + b["h"] + gap, out=F.concat(s["out"], F.array(F.struct(b["id"].alias("id"), p.alias("out_page"), top.alias("y")))))
+
+    def sums(piece: Column, k: Column) -> Column:
+        """The blocks at which the piece may break first; with each: pages begun after a break there, and how far the last is filled."""
+        first = F.aggregate(piece, at(n, y, broke=no), lambda s, b: F.when(s["broke"], s).otherwise(at(s["n"] + 1, s["y"] + b["h"] + gap, broke=over(s, b["h"]))), lambda s: s["n"])
+        return F.transform(F.slice(piece, F.lit(1), F.when((F.col("key.part") == 0) & (k == 0), 1).otherwise(first)), lambda b, i: F.struct(b["h"].alias("h"), F.aggregate(F.slice(piece, i + 1, F.lit(PIECE)), at(n, y), set_down).alias("then")))
+
+    def to_break(s: Column, b: Column) -> Column:
+        return F.when(s["broke"], s).when(over(s, b["h"]), at(s["n"] + 1 + b["then"]["n"], b["then"]["y"], broke=F.lit(True))).otherwise(at(s["n"], s["y"] + b["h"] + gap, broke=no))
+
+    def over_piece(s: Column, piece: Column) -> Column:
+        return F.aggregate(piece, at(s["n"], s["y"], broke=no), to_break, lambda e: at(e["n"], e["y"], starts=F.concat(s["starts"], F.array(at(s["n"], s["y"])))))
+
+    def over_part(s: Column, p: Column) -> Column:
+        return F.aggregate(p["pieces"], at(s["n"], s["y"], starts=nothing("struct<n:int,y:double>")), over_piece, lambda e: at(e["n"], e["y"], parts=F.concat(s["parts"], F.array(F.struct(p["key"].alias("key"), e["starts"].alias("starts"))))))
+
+    rows = blocks.groupBy(F.struct("doc", (F.lit(0) if part is None else part).alias("part")).alias("key")).agg(F.sort_array(F.collect_list(F.struct("ord", "id", F.col("h").cast("double").alias("h")))).alias("b"))
+    pieces = rows.select("key", F.transform(F.sequence(F.lit(1), F.size("b"), F.lit(PIECE)), lambda i: F.slice("b", i, F.lit(PIECE))).alias("pieces"))
+    docs = pieces.select("key", F.transform("pieces", sums).alias("pieces")).groupBy("key.doc").agg(F.sort_array(F.collect_list(F.struct("key", "pieces"))).alias("parts"))
+    kind = pieces.schema["key"].dataType.simpleString()
+    begun = docs.select(F.explode(F.aggregate("parts", at(n, full, parts=nothing(f"struct<key:{kind},starts:array<struct<n:int,y:double>>>")), over_part, lambda s: s["parts"])).alias("o")).select("o.*")
+    each = F.zip_with("pieces", "starts", lambda piece, s: F.aggregate(piece, at(s["n"], s["y"], out=nothing("struct<id:bigint,out_page:int,y:double>")), placed, lambda e: e["out"]))
+    return pieces.join(begun, "key").select(F.explode(F.flatten(each)).alias("o")).select("o.*")
 
 
 def layer_size(n_lines: Column, h: Column) -> Column:

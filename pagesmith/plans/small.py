@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagesmith.functions import geometry as G
 from pagesmith.operators import markup as M
 from pagesmith.operators import selection as P
+from pagesmith.operators.flow import CHUNK
 from pagesmith.operators.scan import SQL_JOBS, SQL_PAGES, SQL_REGIONS, first_pages, jobs, pages, read, regions
 from pagesmith.plans.markup import _C
 
@@ -54,7 +55,9 @@ S["cell_offsets"] = f"""WITH f AS (SELECT *, sum(colspan) OVER (PARTITION BY reg
  SELECT f.region_id, f.row_idx, f.cell_idx, round(x.x_pct, 4) AS x_pct FROM f JOIN x ON f.region_id = x.region_id AND f.first = x.col"""
 Q["layer_sizes"] = lambda spark, d: regions(spark, d, "bbox", "content").where("content IS NOT NULL AND bbox IS NOT NULL").select("region_id", P.layer_size(F.size(F.split("content", "\n")), G.height(F.col("bbox"))).alias("size"), F.round(P.line_scale(F.length("content") * 5.0, G.width(F.col("bbox")), F.lit(True)), 3).alias("scale"), F.round(P.table_font(G.height(F.col("bbox")) / 4), 3).alias("font"))
 S["layer_sizes"] = f"""SELECT region_id, list_reduce(range(16), lambda s, i: CASE WHEN s > 3 AND s * 1.2 * n > h THEN s - 0.5 ELSE s END, 11.0::DOUBLE) AS size, round(least(CASE WHEN len > 0 THEN w / (len * 5.0) * 100 ELSE 100.0 END, 150.0), 3) AS scale, round(least(12.0, greatest(6.0, h / 4 * 0.6)), 3) AS font FROM (SELECT region_id, len(string_split(content, chr(10))) AS n, bbox.y1 - bbox.y0 AS h, bbox.x1 - bbox.x0 AS w, length(content) AS len FROM {R} WHERE content IS NOT NULL AND bbox IS NOT NULL)"""
-Q["page_breaks"] = lambda spark, d: P.page_breaks(regions(spark, d, "job_id", "page_number", "block_idx", "bbox").where("bbox IS NOT NULL").select(F.col("job_id").alias("doc"), F.struct("page_number", "block_idx", "region_id").alias("ord"), F.col("region_id").alias("id"), G.height(F.col("bbox")).alias("h")), 700.0).withColumn("y", F.round("y", 4))
+# Regions without a page or block number come last, as in SQL.
+_AT = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(2**63 - 1)).alias(c)
+Q["page_breaks"] = lambda spark, d: P.page_breaks(regions(spark, d, "job_id", "page_number", "block_idx", "bbox").where("bbox IS NOT NULL").select(F.col("job_id").alias("doc"), F.struct(_AT("page_number"), _AT("block_idx"), "region_id").alias("ord"), F.col("region_id").alias("id"), F.greatest(F.lit(0.0), G.height(F.col("bbox"))).alias("h")), 700.0, part=F.greatest(F.lit(0), F.floor(F.col("ord.page_number") / CHUNK))).withColumn("y", F.round("y", 4))
 S["page_breaks"] = f"""WITH b AS (SELECT job_id, list({{'id': region_id, 'h': greatest(0, bbox.y1 - bbox.y0)::DOUBLE, 'p': 0, 'y': 0.0::DOUBLE, 'z': 0.0::DOUBLE}} ORDER BY page_number, block_idx, region_id) AS b FROM {R} WHERE bbox IS NOT NULL GROUP BY job_id),
  o AS (SELECT list_reduce(list_transform(b, lambda x: [x]), lambda s, x: s || [CASE WHEN s[len(s)].z > 0 AND s[len(s)].z + x[1].h > 700.0 THEN struct_update(x[1], p := s[len(s)].p + 1, y := 0.0::DOUBLE, z := x[1].h + 8.0) ELSE struct_update(x[1], p := s[len(s)].p, y := s[len(s)].z, z := s[len(s)].z + x[1].h + 8.0) END], [{{'id': 0::BIGINT, 'h': 0.0::DOUBLE, 'p': 1, 'y': 0.0::DOUBLE, 'z': 0.0::DOUBLE}}]) AS s FROM b)
  SELECT x.id AS id, x.p AS out_page, round(x.y, 4) AS y FROM (SELECT unnest(s[2:]) AS x FROM o)"""

@@ -1,7 +1,9 @@
 """Operators over boxes against plain loops, with ties, nulls and repeated rows."""
 
 import random
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,54 @@ def test_page_breaks(spark):
     assert got == [(0, 1, 0.0), (1, 1, 55.0), (2, 2, 0.0), (3, 3, 0.0)]
 
 
+def set_on_pages(heights, page, gap):
+    out, n, y = [], 1, 0.0
+    for h in heights:
+        if y > 0 and y + h > page:
+            n, y = n + 1, 0.0
+        out.append((n, y))
+        y = y + h + gap
+    return out
+
+
+@pytest.mark.parametrize("parts", [False, True])
+@pytest.mark.parametrize("page, gap", [(100.0, 8.0), (100.0, 0.0), (0.0, 0.0), (float("inf"), 1.0)])
+def test_page_breaks_over_pieces(spark, monkeypatch, page, gap, parts):
+    monkeypatch.setattr(P, "PIECE", 7)
+    rng = random.Random(11)
+    heights = {"short": [30.1], "mixed": [rng.choice([0.0, 0.1, 12.3, 40.7, 99.9, 100.0, 300.0]) for _ in range(150)], "equal": [23.0] * 100, "zero": [0.0] * 50, "low": [1.1] * 120, None: [rng.uniform(0, 60) for _ in range(90)]}
+    rows = [(d, i, 1000 * k + i, h) for k, (d, hs) in enumerate(heights.items()) for i, h in enumerate(hs)]
+    want = [(1000 * k + i, *at) for k, hs in enumerate(heights.values()) for i, at in enumerate(set_on_pages(hs, page, gap))]
+    rng.shuffle(rows)
+    b = spark.createDataFrame(rows, "doc string, ord int, id bigint, h double")
+    # Parts of 16 blocks; those of a document need not begin at 0.
+    got = P.page_breaks(b, page, gap, part=F.floor(F.col("ord") / 16) + F.when(F.col("doc") == "equal", 3).otherwise(0) if parts else None).collect()
+    assert sorted((r["id"], r["out_page"], r["y"]) for r in got) == want
+
+
+def test_page_breaks_of_one_long_document(spark):
+    def took(documents):
+        b = spark.range(40_000).select((F.col("id") % documents).cast("string").alias("doc"), F.col("id").alias("ord"), "id", (F.col("id") % 97).cast("double").alias("h"))
+        began = time.time()
+        P.page_breaks(b, 700.0).write.format("noop").mode("overwrite").save()
+        return time.time() - began
+
+    took(1000)
+    assert took(1) < 4 * took(1000) + 4
+
+
+def test_page_breaks_of_odd_rows_equals_sql(spark, tmp_path):
+    from pagesmith.plans import small
+
+    box = lambda h: None if h is None else (0.0, 50.0, 10.0, 50.0 + h)
+    rows = [(1, "j", 1, 0, box(300.0)), (2, "j", 1, 1, box(-40.0)), (3, "j", None, 0, box(200.0)), (4, "j", 600, None, box(390.0)), (5, "j", 600, 2, box(120.0)), (6, "j", 2, 0, (0.0, 50.0, 10.0, None)), (7, "j", -3, 0, box(350.5)), (8, "j", 2, 1, None), (9, None, 1, 0, box(10.0)), (10, None, 300, 0, box(695.0))]
+    spark.createDataFrame(rows, f"region_id bigint, job_id string, page_number int, block_idx int, bbox {BOX}").withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp")).write.parquet(str(tmp_path / "regions.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW regions AS SELECT * FROM '{tmp_path}/regions.parquet/*.parquet'")
+    got = small.Q["page_breaks"](spark, str(tmp_path)).select("id", "out_page", "y").collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(f"SELECT id, out_page, y FROM ({small.S['page_breaks']})").fetchall())
+
+
 def test_harvest(spark):
     d = spark.createDataFrame([(1, '{"text": "a", "blocks": [{"text": "b", "n": {"html": "c"}}], "other": "d"}'), (2, "no json"), (3, None)], "k int, j string")
     assert sorted((r["name"], r["text"]) for r in P.harvest(d, "k", "j", ["text", "html"]).collect()) == [("html", "c"), ("text", "a"), ("text", "b")]
